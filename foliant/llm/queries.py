@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, mixing, quality_classifier, quality_rules, simhash, token_counts, token_shards, url_filter
+from foliant.llm import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_shards, url_filter
 from foliant.llm._common import table
 
 
@@ -40,6 +40,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(table(spark, sf_dir, "documents"))
 
@@ -48,13 +52,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as their SHA-256."""
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op7_token_shards, op8_decontamination, op10_simhash)
+    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -96,4 +106,15 @@ q AS (SELECT e.source, edge, row_number() OVER (PARTITION BY e.source ORDER BY a
 t AS (SELECT d.doc_id, d.size, f.source_size, f.target, CASE WHEN d.size > 0 THEN whole + (bin < edge)::INT ELSE 0 END::BIGINT AS copies
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN q ON d.source IS NOT DISTINCT FROM q.source AND k = 1)
 SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM t""",
+    "op9_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT r, doc_id, t, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM d),
+g AS (SELECT *, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY r ORDER BY pos)),
+w AS (SELECT r, doc_id, t, pos, x, y, z FROM g WHERE z IS NOT NULL AND regexp_matches(x || y || z, '[^\x20\x09-\x0D]')),
+k AS (SELECT r, pos, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, pos) AS n FROM w),
+c AS (SELECT DISTINCT r, pos + s AS pos FROM k, (VALUES (0), (1), (2)) AS v(s) WHERE n > 1),
+a AS (SELECT r, string_agg(pos, ',' ORDER BY pos) AS removed, count(*) AS n FROM c GROUP BY r),
+b AS (SELECT r, string_agg(x, chr(10) ORDER BY pos) AS kept FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.r = p.r AND c.pos = p.pos) GROUP BY r)
+SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(l) END::BIGINT AS n_lines, coalesce(a.n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
+  sha256(coalesce(kept, '')) AS text_sha256 FROM d LEFT JOIN a USING (r) LEFT JOIN b USING (r)""",
 }
