@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from foliant.functions import dates, json_repair, sections
-from foliant.operators import cleaning, lines, scoring, tailoring
+from foliant.operators import cleaning, lines, records, scoring, tailoring
 from foliant.plans.registry import query
 from foliant.plans.text_queries import docs
 from foliant.plans.tracker_queries import read
 from foliant.sources import files
+from foliant.sources.shared import shared_dir
 from foliant.streaming import tracker as stream
 
 
@@ -73,8 +74,7 @@ def stream_view_dedupe(spark, sf_dir):
 
 def _drained(spark, frame, mode):
     """What a stream returns for all that is there now."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/foliant").rstrip("/")
-    path = f"{base}/streams/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     frame.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -95,3 +95,11 @@ def cleaned_lines(spark, sf_dir):
 @query(None)
 def host_capabilities(spark, sf_dir):
     return files.capabilities(spark)
+
+
+@query(None)
+def parsed_records(spark, sf_dir):
+    """Every conversation's turns as one pasted text, to a record."""
+    said = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    found = records.parse_texts(said)
+    return found.select("doc_id", "contact_information.name", "contact_information.email", F.size("work_experience").alias("n_roles"), F.size("education").alias("n_degrees"), "confidence.overall")
