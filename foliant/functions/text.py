@@ -18,6 +18,11 @@ WS = rf"\x09-\x0d\x1c-\x20{_FAR}"
 INVISIBLE = f"{chr(0x200B)}-{chr(0x200D)}{chr(0xFEFF)}"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; expressions that name a value often would else hold it as often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column, more: str = "") -> Column:
     """Without white space (and the characters of more) at both ends."""
     return F.regexp_replace(c, rf"^[{WS}{more}]+|[{WS}{more}]+$", "")
