@@ -6,7 +6,8 @@ stays whole.
 
 Windows are known by two 64-bit hashes of their lines, the second with another seed. First occurrences are minima by
 hash, formed before the shuffle; only windows that occur twice are joined back, so a window that a third of all
-documents share costs a join that can be split, and no task sees all its places as a group.
+documents share costs a join that can be split, and no task sees all its places as a group. Texts are shuffled once, to
+meet their covered lines, by the same join at every size.
 
 Cases: lines end at \\n; texts of fewer than three lines and null texts stay as they are (a null text is an empty one);
 a window of three lines without words is none; rows of one doc_id and text count as one document and are treated alike;
@@ -49,7 +50,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (comma-joined positions from 0) and text without the removed lines."""
     found = stash(repeats(docs), "repeats").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "covered")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    joined = rows.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     split = joined.select("doc_id", "t", "covered", F.split("t", "\n").alias("l"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("l") - 1), "covered"), lambda i: F.get("l", i))
     n = F.when(F.col("t") == "", 0).otherwise(F.size("l")).cast("long")
