@@ -85,11 +85,16 @@ class View:
     """Logistic regression on scaled features; a fitted one is a linear function of the raw features."""
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 250, decay: float = 3e-4) -> View:
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 0.25 * x.std(0).mean() + 1e-6)
+        self.mean = x.mean(0, dtype=np.float64)
+        squares = sum((np.square(x[i : i + 512], dtype=np.float64).sum(0) for i in range(0, len(x), 512)))
+        spread = np.sqrt(np.maximum(squares / len(x) - self.mean**2, 0))
+        self.scale = np.maximum(spread, 0.25 * spread.mean() + 1e-6)
         if x.shape[1] == DIM:
             self.scale[-3:] /= OWN  # else the many hashed features hide them
-        z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))].astype(np.float32)
-        z /= np.sqrt(z.shape[1])
+        z = np.ones((len(x), x.shape[1] + 1), np.float32)  # the one copy of the rows
+        np.subtract(x, self.mean.astype(np.float32), out=z[:, :-1], casting="same_kind")
+        z[:, :-1] /= self.scale.astype(np.float32)
+        z /= np.float32(np.sqrt(z.shape[1]))
         weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(np.float32)
         w, m, v = (np.zeros(z.shape[1], np.float32) for _ in range(3))
         for t in range(1, steps + 1):  # Adam on all rows
@@ -144,6 +149,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: i
 
 
 def features(docs: DataFrame) -> DataFrame:
+    """doc_id, y and both views' features as packed numbers, which take little memory where they are gathered."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ys, langs, sources = (batch.column(c).to_pylist() for c in ("doc_id", "y", "lang", "source"))
@@ -151,12 +157,12 @@ def features(docs: DataFrame) -> DataFrame:
             for i, y, t, a, b in zip(ids, ys, utf8(batch.column("text")), langs, sources):
                 x = content(t)
                 at = np.flatnonzero(x)
-                rows.append((i, y, at.astype(np.int32), x[at].astype(np.float32), metadata(t, a, b)))
+                rows.append((i, y, at.astype("<i4").tobytes(), x[at].astype("<f4").tobytes(), metadata(t, a, b).astype("<f8").tobytes()))
             if rows:
-                kinds = [pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float64())]
+                kinds = [pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "y", "at", "x", "meta"])
 
-    return docs.select("doc_id", "y", "text", "lang", "source").mapInArrow(of, "doc_id long, y double, at array<int>, x array<float>, meta array<double>")
+    return docs.select("doc_id", "y", "text", "lang", "source").mapInArrow(of, "doc_id long, y double, at binary, x binary, meta binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labelled: int = 4000, most_pool: int = 4000, rounds: int = 3) -> list[View] | None:
@@ -174,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_label
         return None
     x = np.zeros((len(rows), DIM), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["at"]] = r["x"]
-    meta = np.array([r["meta"] for r in rows])
+        x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["x"], "<f4")
+    meta = np.array([np.frombuffer(r["meta"], "<f8") for r in rows])
     held = ~np.isnan(y) & np.array([xxhash.xxh32_intdigest(str(r["doc_id"])) % 4 == 0 for r in rows])
     if len({*y[~np.isnan(y) & ~held]}) < 2:
         held[:] = False
