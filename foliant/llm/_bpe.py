@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -39,7 +40,7 @@ class Pieces:
     The memory holds `most` pieces at most: when it is full, only the latest call's pieces stay.
     """
 
-    def __init__(self, path: str, most: int = 400_000, wide: bool = False):
+    def __init__(self, path: str, most: int = 700_000, wide: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,10 +52,11 @@ class Pieces:
         new = [p for p in wanted if p not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known = {p: self.known[p] for p in wanted if p in self.known}
+        code = "H" if self.dtype.itemsize == 2 else "I"
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, self.dtype).tobytes()
+                self.known[p] = array(code, e.ids).tobytes()
         return self.known
 
     def encode(self, texts: list[str]) -> list[bytes]:
