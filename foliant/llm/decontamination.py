@@ -7,6 +7,10 @@ former can't reach the threshold, a block when the sum of the latter can't; both
 text. In the blocks that are left, WAND runs: items by number, terms by their next item, and an item is scored only
 when the block maxima of the terms up to the pivot reach the threshold.
 
+An item of more than `PASSAGE` words is also indexed by passages of that many words, half overlapping, each with a score
+of its own: the whole of it may fit no window, but each of its passages lies whole in one. What is retrieved, by the item
+or by a passage, is the item, and its score is the best of them.
+
 What is retrieved is verified against the words around the window: an item's question is its first two thirds, its
 answer the rest; of the shingles of each, at least `overlap` must occur there. A pair whose shingles agree by chance in
 one part alone is not a leak.
@@ -35,6 +39,7 @@ from foliant.llm._common import bound_batches, stash, utf8
 
 K1, B = 1.2, 0.75
 BLOCK = 4
+PASSAGE = 256
 _DIVIDE = bytes(ord(" ") if chr(i) in string.punctuation or chr(i) in string.whitespace else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -42,15 +47,24 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_DIVIDE).split()
 
 
+def passages(words: list[bytes]) -> list[list[bytes]]:
+    """The words, and where they are many also half-overlapping passages that cover them, the last one at the end."""
+    n = len(words)
+    starts = [*range(0, n - PASSAGE, PASSAGE // 2), n - PASSAGE] if n > PASSAGE else []
+    return [words, *(words[i : i + PASSAGE] for i in starts)]
+
+
 class Index:
     """Postings of a group of items, with the largest weights of each term over all and over each block."""
 
     def __init__(self, items: list[tuple[int, bytes]], df: dict[bytes, int], n_items: int, mean_words: float, overlap: float, shingle: int = 3):
-        self.ids, self.overlap, self.shingle = [], overlap, shingle
+        self.ids, self.whole, self.overlap, self.shingle = [], [], overlap, shingle  # whole: the item that an indexed text is from
         texts = []
-        like = [(sorted(set(w), key=lambda t: (-df[t], t))[:8], item_id, w) for item_id, text in items if (w := words_of(text))]
-        for _, item_id, w in sorted(like):  # items that share common words lie in the same blocks, which keeps block maxima low
+        wholes = [(item_id, w) for item_id, text in items if (w := words_of(text))]
+        like = [(sorted(set(w), key=lambda t: (-df[t], t))[:8], item_id, w, k) for k, (item_id, all_) in enumerate(wholes) for w in passages(all_)]
+        for _, item_id, w, k in sorted(like):  # items that share common words lie in the same blocks, which keeps block maxima low
             self.ids.append(item_id)
+            self.whole.append(k)
             texts.append(w)
         n_blocks = -(-len(texts) // BLOCK)
         self.vocab: dict[bytes, int] = {}
@@ -69,9 +83,9 @@ class Index:
                 self.most[t] = max(self.most[t], x)
                 self.block_most[t, i // BLOCK] = max(self.block_most[t, i // BLOCK], x)
         self.longest = max(map(len, texts), default=0)
-        self.lengths = [len(w) for w in texts]
+        self.lengths = [len(w) for _, w in wholes]
         self.parts = []
-        for w in texts:
+        for _, w in wholes:
             cut = max(1, round(len(w) * 2 / 3))
             self.parts.append(tuple(self.shingles(p) for p in (w[:cut], w[cut:])))
 
@@ -147,7 +161,13 @@ class Index:
             own = np.unique(term[first[w] : first[min(w + 2, n_halves)]])
             blocks = [b for b in blocks if self.block_most[own, b].sum() >= threshold - 1e-5]
             s, e = w * step, min(n, (w + 2) * step)
-            for item, score in self.wand(own.tolist(), blocks, threshold):
+            best: dict[tuple[int, int], float] = {}  # of an item and its passages
+            for i, score in self.wand(own.tolist(), blocks, threshold):
+                key = self.ids[i], self.whole[i]
+                best[key] = max(score, best.get(key, 0.0))
+            for (item_id, item), score in best.items():
+                if out.get(item_id, (0.0,)) >= (score, 1.0, 1.0):
+                    continue
                 near = words[max(0, s - self.lengths[item]) : e + self.lengths[item]]
                 q, a = self.parts[item]
                 have = self.shingles(near) if len(near) >= self.shingle else set()
@@ -158,8 +178,8 @@ class Index:
                     shares.append(len(p & there) / len(p) if p else 1.0)
                 if min(shares) >= self.overlap:
                     found = (score, *shares)
-                    if self.ids[item] not in out or found > out[self.ids[item]]:
-                        out[self.ids[item]] = found
+                    if item_id not in out or found > out[item_id]:
+                        out[item_id] = found
         return out
 
 
@@ -169,7 +189,8 @@ _INDEXES: dict[object, Index] = {}
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, window: int = 64, group_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document and item that it leaks.
 
-    A window has at least twice the words of the longest item, up to 512, so any item of up to 256 words lies whole in one.
+    A window has at least twice the words of the longest item or passage, so any item of up to `PASSAGE` words and any
+    passage of a longer one lies whole in one.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -194,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
             if index is None:
                 _INDEXES.clear()
                 index = _INDEXES[name] = Index(part, own, n_items, n_words / max(1, n_items), overlap)
-            wide = max(window, min(512, 2 * index.longest))
+            wide = max(window, min(2 * PASSAGE, 2 * index.longest))
             for batch in batches:
                 out = [(i, item, *x) for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) for item, x in index.search(t, threshold, wide).items()]
                 if out:

@@ -261,6 +261,21 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    r = random.Random(9)
+    vocab = [f"word{i}" for i in range(3000)]
+    prose = lambda n: [r.choice(vocab) for _ in range(n)]
+    sizes = [20, 256, 257, 700, 1000, 1500, 4000]
+    items = [(i, prose(n)) for i, n in enumerate(sizes)]
+    docs = [(i, [*prose(137 * i), *w, *prose(90)]) for i, w in items]
+    docs += [(100 + i, [*prose(50), *w[: len(w) // 2]]) for i, w in items]  # the answer is not there
+    docs += [(200, prose(3000)), (201, [x for i in (3, 5) for x in (*items[i][1], *prose(40))])]
+    frame, bench = (spark.createDataFrame([(i, " ".join(w)) for i, w in x], schema) for x, schema in ((docs, "doc_id long, text string"), (items, "item_id long, text string")))
+    got = {(x["doc_id"], x["item_id"]): x for x in decontamination.leaks(frame, bench).collect()}
+    assert set(got) == {*((i, i) for i, _ in items), (201, 3), (201, 5)}
+    assert all(x["question_overlap"] == x["answer_overlap"] == 1 for x in got.values())
+
+
 def test_wand_retrieves_all_above_the_threshold():
     r = random.Random(2)
     vocab = [f"t{i}".encode() for i in range(60)]
