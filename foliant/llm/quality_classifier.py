@@ -2,13 +2,15 @@
 
 The content view is a logistic regression on the text's words: shares of hashed lower-cased words and of hashed word
 shapes (case, digits, marks), how varied the words are, and the share that repeat the word before. The metadata view is one on language, source, length and
-layout: lines, line lengths, shares of white space, capitals, digits and marks. In each round either view labels the
-unlabelled documents that it is surest of, and these join the training rows of the other. At the end each view is
+layout: lines, line lengths, shares of white space, capitals, digits and marks. In each round both views score all
+unlabelled documents, and those that a view is surest of join the training rows of the other. At the end each view is
 calibrated on labelled rows that it was not fitted on (Platt), and the score of a document is the mean of both calibrated
 logits, weighted by what each view tells about the held-out rows.
 
-The fit uses at most `most_labelled` labelled and `most_pool` unlabelled documents, the first by hash of doc_id; all
-documents are scored, in whole.
+The fit uses at most `most_labelled` labelled documents, the first by hash of doc_id. Of the unlabelled ones none is left
+out of the rounds; what a view takes in a round is bounded: `share` of their number, counted up to `most_pool`, divided by
+class and then by language and source as the sure documents are, but one at least of each class, language and source
+that has any. All documents are scored, in whole.
 
 Cases: null text is an empty one, null language or source a value of its own; labels without quality don't count, and
 of several for one document the mean decides; without labels of both kinds nothing can be learned and all documents are
@@ -18,8 +20,9 @@ the carried columns and quality_content, quality_metadata, quality_score, kept,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from operator import eq
 
 import numpy as np
@@ -47,23 +50,30 @@ def slots(word: bytes) -> tuple[int, int]:
     return xxhash.xxh32_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh32_intdigest(short) % SHAPES
 
 
-def content(text: bytes) -> np.ndarray:
-    """Shares of words and shapes, how varied the words are, the share that repeat the word before, 1 for no words."""
+def content(text: bytes, known: dict[bytes, tuple[int, int]] | None = None) -> np.ndarray:
+    """Shares of words and shapes, how varied the words are, the share that repeat the word before, 1 for no words.
+
+    known: the slots of words, which is added to.
+    """
     out = np.zeros(DIM)
     words = text.split()
     if not words:
         out[-1] = 1
         return out
-    for w in words:
-        a, b = slots(w)
-        out[a] += 1
-        out[b] += 1
-    out[:-3] /= len(words)
-    out[-3:-1] = variety(words, set(words))
+    known = {} if known is None else known
+    if len(known) > 300_000:
+        known.clear()
+    distinct = Counter(words)
+    for w in distinct:
+        if w not in known:
+            known[w] = slots(w)
+    at = np.fromiter(chain.from_iterable(map(known.__getitem__, distinct)), np.int64, 2 * len(distinct))
+    out[:-3] = np.bincount(at, np.repeat(np.fromiter(distinct.values(), float, len(distinct)), 2), DIM - 3) / len(words)
+    out[-3:-1] = variety(words, distinct)
     return out
 
 
-def variety(words: list[bytes], distinct: set[bytes]) -> tuple[float, float]:
+def variety(words: list[bytes], distinct: set[bytes] | Counter) -> tuple[float, float]:
     return np.log1p(len(distinct)) / np.log1p(len(words)), sum(map(eq, words, islice(words, 1, None))) / len(words)
 
 
@@ -127,65 +137,138 @@ class View:
         self.worth = max(0.02, 1 + float((y * np.log(q) + (1 - y) * np.log(1 - q)).mean()) / least)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = 3, share: float = 0.1, sure: float = 0.95) -> list[View]:
-    """Two fitted, calibrated views. views: features of all rows; y: 0, 1 or NaN; held: rows kept for calibration."""
-    known = ~np.isnan(y) & ~held
-    own = [np.where(known, y, np.nan) for _ in views]
-    pool = np.isnan(y)
-    models = [View().fit(x[known], y[known]) for x in views]
+def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, surest: Callable, rounds: int = 3) -> list[View]:
+    """Two fitted, calibrated views. views: features of the labelled rows; y: 0 or 1; held: rows kept for calibration.
+
+    surest(models, good) -> for either view the features of what the other labels for it, and the labels.
+    """
+    own = [(x[~held], y[~held]) for x in views]
+    models = [View().fit(*o) for o in own]
     for _ in range(rounds):
-        for giver, taker in ((0, 1), (1, 0)):
-            open_ = np.flatnonzero(pool & np.isnan(own[taker]))
-            p = sigmoid(models[giver].logit(views[giver][open_]))
-            good = np.nanmean(own[taker])
-            for label, order, q in ((1, np.argsort(-p, kind="stable"), good), (0, np.argsort(p, kind="stable"), 1 - good)):
-                best = order[: max(1, round(share * q * pool.sum()))]
-                best = best[(p[best] >= sure) if label else (p[best] <= 1 - sure)]
-                own[taker][open_[best]] = label
-        models = [View().fit(x[~np.isnan(o)], o[~np.isnan(o)]) for x, o in zip(views, own)]
+        more = surest(models, [o.mean() for _, o in own])
+        own = [tuple(np.concatenate(both) for both in zip(o, m)) for o, m in zip(own, more)]
+        models = [View().fit(*o) for o in own]
     for m, x in zip(models, views):
         m.calibrate(x[held], y[held])
     return models
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, y and both views' features as packed numbers, which take little memory where they are gathered."""
+    """doc_id, key (of id and text), stratum (of language and source) and both views' features as packed numbers."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            ids, ys, langs, sources = (batch.column(c).to_pylist() for c in ("doc_id", "y", "lang", "source"))
+            ids, langs, sources = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "source"))
             rows = []
-            for i, y, t, a, b in zip(ids, ys, utf8(batch.column("text")), langs, sources):
-                x = content(t)
+            for i, t, a, b in zip(ids, utf8(batch.column("text")), langs, sources):
+                x, m = content(t, known), metadata(t, a, b)
                 at = np.flatnonzero(x)
-                rows.append((i, y, at.astype("<i4").tobytes(), x[at].astype("<f4").tobytes(), metadata(t, a, b).astype("<f8").tobytes()))
+                key = np.uint64(xxhash.xxh64_intdigest(t, (i or 0) % 2**64)).astype(np.int64)
+                rows.append((i, int(key), int(m[:TAGS].argmax() * TAGS + m[TAGS : 2 * TAGS].argmax()), at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes(), m.astype("<f8").tobytes()))
             if rows:
-                kinds = [pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "y", "at", "x", "meta"])
-
-    return docs.select("doc_id", "y", "text", "lang", "source").mapInArrow(of, "doc_id long, y double, at binary, x binary, meta binary")
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "key", "stratum", "at", "x", "meta"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string")).mapInArrow(of, "doc_id long, key long, stratum int, at binary, x binary, meta binary")
+
+
+def unpacked(at: list[bytes], x: list[bytes], meta: list[bytes]) -> list[np.ndarray]:
+    """Both views' features of the rows."""
+    rows = np.zeros((len(at), DIM), np.float32)
+    for row, a, b in zip(rows, at, x):
+        row[np.frombuffer(a, "<u2")] = np.frombuffer(b, "<f4")
+    return [rows, np.frombuffer(b"".join(meta), "<f8").reshape(len(at), META)]
+
+
+class Pool:
+    """All unlabelled documents, of which each round takes the surest."""
+
+    def __init__(self, seen: DataFrame, known: DataFrame, most: int, share: float = 0.1, sure: float = 0.95):
+        self.seen, self.known, self.most, self.share, self.edge = seen, known.select("doc_id"), most, share, float(np.log(sure / (1 - sure)))
+        self.taken: list[set[int]] = [set(), set()]
+
+    def scored(self, models: list[View]) -> DataFrame:
+        """key, stratum, taker (a view), z (the other one's logit) of each unlabelled document and view."""
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    views = unpacked(*(batch.column(c).to_pylist() for c in ("at", "x", "meta")))
+                    zs = [pa.array(np.asarray(m.logit(x), float)) for m, x in zip(models, views)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "stratum")), *zs], ["doc_id", "key", "stratum", "u", "v"])
+
+        rows = self.seen.mapInArrow(of, "doc_id long, key long, stratum int, u double, v double").join(self.known, "doc_id", "left_anti")
+        rows = stash(rows.select("key", "stratum", "u", "v"), "scored")
+        return rows.select("key", "stratum", F.explode(F.array(F.struct(F.lit(1).alias("taker"), F.col("u").alias("z")), F.struct(F.lit(0).alias("taker"), F.col("v").alias("z")))).alias("e")).select("key", "stratum", "e.*")
+
+    def surest(self, models: list[View], good: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For either view the features of what the other one is surest of, and its labels.
+
+        Sure documents are counted by view, class, stratum and step, a quarter of a logit. Steps above that where the quota is
+        met are taken whole; from that one twice what is missing comes, by hash, and the rest is cut here.
+        """
+        spark = self.seen.sparkSession
+        rows = self.scored(models).withColumns({"label": (F.col("z") > 0).cast("int"), "step": F.least(F.floor((F.abs("z") - self.edge) * 4), F.lit(63)).cast("int")})
+        counts = rows.groupBy("taker", "label", "stratum", F.greatest("step", F.lit(-1)).alias("step")).count().collect()
+        n = sum(r["count"] for r in counts) // 2
+        taken = spark.createDataFrame([(t, k) for t in (0, 1) for k in sorted(self.taken[t])], "taker int, key long")
+        rows = rows.where("step >= 0").join(F.broadcast(taken), ["taker", "key"], "left_anti")
+        if taken.count():
+            counts = rows.groupBy("taker", "label", "stratum", "step").count().collect()
+        steps: dict[tuple[int, int], dict[int, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
+        for r in counts:
+            if r["step"] >= 0:
+                steps[r["taker"], r["label"]][r["stratum"]][r["step"]] = r["count"]
+        quotas, cuts = {}, []
+        for (taker, label), strata in sorted(steps.items()):
+            most = max(1, round(self.share * (good[taker] if label else 1 - good[taker]) * min(n, self.most)))
+            there = sum(sum(x.values()) for x in strata.values())
+            for stratum, x in sorted(strata.items()):
+                quota = left = min(sum(x.values()), max(1, most * sum(x.values()) // max(most, there)))
+                quotas[taker, label, stratum] = quota
+                for step in sorted(x, reverse=True):
+                    if x[step] >= left:
+                        cuts.append((taker, label, stratum, step, min(1.0, (2 * left + 20) / x[step])))
+                        break
+                    left -= x[step]
+        best = defaultdict(list)
+        if cuts:
+            at = F.broadcast(spark.createDataFrame(cuts, "taker int, label int, stratum int, cut int, part double"))
+            draw = F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1 << 20)) / (1 << 20)
+            near = rows.join(at, ["taker", "label", "stratum"]).where((F.col("step") > F.col("cut")) | (F.col("step") == F.col("cut")) & (draw < F.col("part")))
+            for r in near.select("taker", "label", "stratum", "key", F.abs("z").alias("z")).distinct().collect():
+                best[r["taker"], r["label"], r["stratum"]].append((-r["z"], r["key"]))
+        labels: list[dict[int, int]] = [{}, {}]
+        for (taker, label, stratum), found in sorted(best.items()):
+            labels[taker].update((key, label) for _, key in sorted(found)[: quotas[taker, label, stratum]])
+        keys = sorted({*labels[0], *labels[1]})
+        wanted = spark.createDataFrame([(k,) for k in keys], "key long")
+        got = self.seen.join(F.broadcast(wanted), "key").dropDuplicates(["key"]).orderBy("key").collect()
+        views = unpacked(*([r[c] for r in got] for c in ("at", "x", "meta")))
+        out = []
+        for taker in (0, 1):
+            self.taken[taker] |= set(labels[taker])
+            own = [i for i, r in enumerate(got) if r["key"] in labels[taker]]
+            out.append((views[taker][own], np.array([labels[taker][got[i]["key"]] for i in own], float)))
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labelled: int = 4000, most_pool: int = 4000, rounds: int = 3) -> list[View] | None:
     """The two views, or None where the labelled sample holds one kind only."""
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y"))
+    seen = stash(features(docs), "features")
     order = F.xxhash64("doc_id", F.lit("sample"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    labelled = ids.join(known, "doc_id").orderBy(order, "doc_id").limit(most_labelled)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(most_pool).withColumn("y", F.lit(None).cast("double"))
-    sample = stash(labelled.unionByName(pool), "sample")  # most_labelled + most_pool rows at most
-    rows = features(docs.select("doc_id", "text", "lang", "source").join(F.broadcast(sample), "doc_id")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    y = np.array([np.nan if r["y"] is None else r["y"] for r in rows], float)
-    if len({*y[~np.isnan(y)]}) < 2:
+    ids = seen.select("doc_id").where("doc_id is not null").distinct()
+    sample = stash(ids.join(known, "doc_id").orderBy(order, "doc_id").limit(most_labelled), "sample")
+    rows = seen.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    y = np.array([r["y"] for r in rows], float)
+    if len({*y}) < 2:
         return None
-    x = np.zeros((len(rows), DIM), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["x"], "<f4")
-    meta = np.array([np.frombuffer(r["meta"], "<f8") for r in rows])
-    held = ~np.isnan(y) & np.array([xxhash.xxh32_intdigest(str(r["doc_id"])) % 4 == 0 for r in rows])
-    if len({*y[~np.isnan(y) & ~held]}) < 2:
+    views = unpacked(*([r[c] for r in rows] for c in ("at", "x", "meta")))
+    held = np.array([xxhash.xxh32_intdigest(str(r["doc_id"])) % 4 == 0 for r in rows])
+    if len({*y[~held]}) < 2:
         held[:] = False
-    return co_train([x, meta], y, held, rounds)
+    return co_train(views, y, held, Pool(seen, known, most_pool).surest, rounds)
 
 
 def score(docs: DataFrame, models: list[View] | None, carry: list[str], threshold: float = 0.5, only_kept: bool = False) -> DataFrame:
@@ -235,5 +318,5 @@ def score(docs: DataFrame, models: list[View] | None, carry: list[str], threshol
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, threshold: float = 0.5, only_kept: bool = False, **fit) -> DataFrame:
-    """Train on the labelled and some unlabelled documents, and score all."""
+    """Train on the labelled and the surest unlabelled documents, and score all."""
     return score(docs, train(docs, labels, **fit), carry if carry is not None else docs.columns, threshold, only_kept)

@@ -167,6 +167,20 @@ def test_classifier(spark, odd, empty):
     assert quality_classifier.classify(empty, labels).count() == 0
 
 
+def test_classifier_learns_from_all_unlabelled_documents(spark):
+    r = random.Random(7)
+    def text(kind, good):  # the content view can't see lines, and knows no words of the rare kind
+        return ("  " if good else "\n\n").join(f"{kind}{'good' if good else 'bad'}{r.randrange(40)}" for _ in range(r.randint(40, 80)))
+    frame = spark.range(1500).select(F.col("id"), F.xxhash64("id", F.lit("sample")).alias("h")).orderBy("h")
+    ids = [x["id"] for x in frame.collect()]
+    rows = [(i, text("common", i % 2), "en", "s") for i in ids[:-30]] + [(i, text("rare", i % 2), "xx", "t") for i in ids[-30:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids[:200]], "doc_id long, quality int")
+    view = quality_classifier.train(docs, labels, most_pool=300)[0]
+    score = lambda good: float(np.mean([view.logit(quality_classifier.content(text("rare", good).encode())) for _ in range(20)]))
+    assert score(True) > score(False) + 1
+
+
 def brute_pii(t):
     t, out = t or "", []
     out += [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
