@@ -4,8 +4,9 @@ The fixed patterns (email, ip, card, phone) find the seeds, leftmost and without
 are written so that Java's matcher runs in linear time and bounded stack: runs are possessive, and a run starts only
 where its characters do or where the last match ended.
 
-Bootstrapping: candidates are identifier-like tokens (6 to 64 characters of [A-Za-z0-9._%+@-], four digits or more)
-outside seeds. Each seed and candidate stands in up to three lexical patterns: the word before it, the two words before,
+Bootstrapping: candidates, all outside seeds, are tokens with an @, runs of 7 to 19 digits with up to three spaces,
+brackets, dots or hyphens between digits, and what these leave of identifier-like tokens (6 to 64 characters of
+[A-Za-z0-9._%+@-], four digits or more). Each seed and candidate stands in up to three lexical patterns: the word before it, the two words before,
 and the word before with the word after. A pattern scores, for a kind, the sum of the scores of its distinct values by
 their number plus one; a seed's value scores 1 for its kind; a candidate, for the kinds that its shape allows, the
 best score of its patterns if that is `sure`. Three rounds; then candidates in a pattern with score `sure` and `support`
@@ -37,6 +38,10 @@ PATTERNS = {
 }
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,60}[0-9])[A-Za-z0-9._%+@-]{6,64}(?![A-Za-z0-9._%+@-])"
+#: Addresses of any domain, and numbers in groups.
+MAIL = r"(?<![\p{L}\p{N}._%+@-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}._-]{0,253}[\p{L}\p{N}])?(?![\p{L}\p{N}@])"
+_INNER = "[ ().-]{0,3}"
+NUMBER = rf"(?<![0-9]{_INNER})(?:(?<![\p{{L}}0-9_%+@])\((?=[0-9]{{1,6}}\))|(?<![\p{{L}}0-9._%+@-]))[0-9](?:{_INNER}[0-9]){{6,18}}(?!{_INNER}[0-9])(?!-?[\p{{L}}_%+@])"
 SPAN = "array<struct<kind:int,s:int,e:int,v:string,before:string,after:string>>"
 
 
@@ -100,10 +105,17 @@ def seeds(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens that touch no seed."""
-    tokens = F.when(text.rlike("[0-9][^0-9]{0,3}[0-9][^0-9]{0,3}[0-9]"), matches(text, TOKEN, -1)).otherwise(F.array().cast(SPAN))
-    rich = F.filter(tokens, lambda x: F.char_length(F.regexp_replace(x["v"], "[^0-9]", "")) >= 4)
-    return F.filter(rich, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    """Addresses, numbers in groups and other identifier-like tokens; none touches a seed or another."""
+
+    def found(hint: str, pattern: str) -> Column:
+        return F.when(text.rlike(hint), matches(text, pattern, -1)).otherwise(F.array().cast(SPAN))
+
+    def clear(spans: Column, of: Column) -> Column:
+        return F.filter(spans, lambda x: ~F.exists(of, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+
+    wide = clear(F.concat(found("@", MAIL), found(rf"[0-9](?:{_INNER}[0-9]){{6}}", NUMBER)), base)
+    rich = F.filter(found("[0-9](?:[A-Za-z._%+@-]{0,60}[0-9]){3}", TOKEN), lambda x: F.char_length(F.regexp_replace(x["v"], "[^0-9]", "")) >= 4)
+    return let(wide, lambda w: F.concat(w, clear(clear(rich, base), w)))
 
 
 def patterns(span: Column) -> Column:
@@ -123,7 +135,7 @@ def patterns(span: Column) -> Column:
 def allowed(v: Column) -> Column:
     """The kinds that a candidate's shape allows."""
     digits = F.char_length(F.regexp_replace(v, "[^0-9]", ""))
-    return F.array_compact(F.array(F.when(v.rlike("^[^@]+@[^@]+$"), 0), F.when(v.rlike(r"^[0-9]+(?:\.[0-9]+){2,}$"), 1), F.when(v.rlike("^[0-9-]+$") & digits.between(12, 19), 2), F.when(v.rlike("^[+0-9.-]+$") & digits.between(7, 15), 3)))
+    return F.array_compact(F.array(F.when(v.rlike("^[^@]+@[^@]+$"), 0), F.when(v.rlike(r"^[0-9]+(?:\.[0-9]+){2,}$"), 1), F.when(v.rlike("^[0-9 -]+$") & digits.between(12, 19), 2), F.when(v.rlike("^[+0-9 ().-]+$") & digits.between(7, 15), 3)))
 
 
 def extract(docs: DataFrame) -> DataFrame:

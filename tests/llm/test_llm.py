@@ -217,6 +217,20 @@ def test_pii_discovers_by_context(spark):
     assert got[91] == ("", 0) and got[92] == ("", 0)
 
 
+def test_pii_discovers_usual_forms(spark):
+    def card(i):
+        body = [int(c) for c in f"4{i:014d}"]
+        odd = sum(c * 2 - 9 * (c > 4) for c in body[::2]) + sum(body[1::2])
+        return "".join(map(str, [*body, -odd % 10]))
+    texts = [f"please call us under +1 {200 + i} 555 {1000 + i} today" for i in range(40)]
+    texts += [f"please write to user{i}@host{i}.example soon" for i in range(40)] + [f"we charge card {card(10**9 * i + 77)} today" for i in range(40)]
+    forms = [("phone", "please call us under {} today", x) for x in ("(0664) 123 4567", "030 123 4567", "030.123.4567", "(030) 123-45-67")]
+    forms += [("email", "please write to {} soon", x) for x in ("anna@intranet", "anna@büro.example")] + [("card", "we charge card {} today", x) for x in ("4111 1111 1111 1112", "4111-1111-1111-1112")]
+    rows = texts + [t.format(v) for _, t, v in forms] + ["part (0664) 123 4567 is out", "a talk @ noon with anna@intranet"]
+    got = [x["spans"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got[len(texts) :] == [f"{k}:{t.index('{')}:{t.index('{') + len(v)}" for k, t, v in forms] + ["", ""]
+
+
 def test_token_shards(spark, odd, empty, tmp_path):
     folder = f"file://{tmp_path}/shards"
     manifest = token_shards.write_shards(odd, folder)
