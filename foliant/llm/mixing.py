@@ -5,12 +5,15 @@ source can't take goes to the others by weight, until none is above its cap. Wit
 the uncapped ones all sit at one level, so the fixed point is found with running sums over the sources alone.
 
 A document is taken floor(rate) times, rate being its source's target by size, and once more if its seeded hash lies
-below the source's cut. Hashes fall into `bins` bins by source, words are summed by bin before any shuffle, and the cut is
+below the source's cut. The hash is of doc_id, text and a number among equal rows, so rows without an id or with the same one
+are spread like others. Hashes fall into `bins` bins by source, words are summed by bin before any shuffle, and the cut is
 the bin's edge whose running sum is nearest to the words that are still due.
 
-Cases: null text has size 0, and a document of size 0 is never taken; a null source is a source of its own, the last in
-order; a source without words has target 0; rows of one doc_id are taken alike; an empty table gives no row. Columns of the
-result's own names are replaced, others stay where `mix` is asked to carry them.
+Cases: null and empty texts have size 0, and a document of size 0 is never taken; a very long text is one document like
+others, and its source can miss its target by half its words; a null source is a source of its own, the last in order; a source
+without words has target 0; of rows equal in doc_id, source and text each gets a number, and which one is taken more often is
+left open; a tie between two edges goes to the lower one; an empty table gives no row. Columns of any name are carried where
+asked for; in `mix` the result's own names replace them, `mixed` returns the columns of docs as they were.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from foliant.llm._common import stash
+from foliant.llm._common import fresh, number_equals, row_hash, stash
 
 WEIGHTS = (5.0, 2.0, 1.0)
+OWN = ["size", "source_size", "target", "copies", "taken"]
 
 
 def word_count(text: Column) -> Column:
@@ -60,31 +64,46 @@ def plan(sized: DataFrame, weights: tuple[float, ...], epochs: float, bins: int)
     return near.groupBy("f.source").agg(*(F.first(c).alias(c) for c in ("source_size", "target", "whole")), cut.alias("cut"))
 
 
-def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, epochs: float = 3.0, seed: int = 7, bins: int = 4096, few: int = 10_000) -> DataFrame:
-    """The carried columns of docs (all, if not given) and size, source_size, target, copies, taken.
+def planned(docs: DataFrame, carry: list[str], weights: tuple[float, ...], epochs: float, seed: int, bins: int, few: int) -> tuple[DataFrame, dict[str, str]]:
+    """The carried columns with size, source_size, target and copies, under names of their own, and these names.
 
     The plan of up to `few` sources is sent to the executors as a constant table, that of more is joined with the
     documents in 16 parts for each source.
     """
-    own = ["size", "source_size", "target", "copies", "taken"]
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in own]
-    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 7)
-    bin_ = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(bins))
-    rows = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), bin_.alias("_bin"))
-    sized = stash(docs.select("source", word_count(F.col("text")).alias("size"), bin_.alias("bin")).groupBy("source", "bin").agg(F.sum("size").alias("size")), "sizes")
-    table = stash(plan(sized, weights, epochs, bins).withColumnRenamed("source", "_of"), "plan")
-    first = table.limit(few + 1).collect()
-    if len(first) <= few:
-        kinds = StructType([StructField("_of", StringType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("whole", LongType()), StructField("cut", LongType())])
-        known = docs.sparkSession.createDataFrame([tuple(r) for r in first], kinds)
-        joined = rows.join(F.broadcast(known), F.col("_source").eqNullSafe(F.col("_of")))
+    cols = [F.col(f"`{c}`") for c in carry]
+    source, size, bin_, text_id, k1, k2, number, of, total, target, whole, cut, salt, copies = names = fresh(
+        carry, "_source", "_size", "_bin", "_text_id", "_k1", "_k2", "_number", "_of", "_source_size", "_target", "_whole", "_cut", "_salt", "_copies"
+    )
+    first, second = row_hash("doc_id", "source", "text")
+    id_ = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.select(*cols, F.col("source").alias(source), word_count(F.col("text")).alias(size), id_.alias(text_id), first.alias(k1), second.alias(k2))
+    rows = number_equals(rows, [k1, k2], number)
+    digits = F.substring(F.md5(F.concat_ws(":", text_id, number, F.lit(str(seed)))), 1, 7)
+    rows = rows.withColumn(bin_, F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(bins))).drop(text_id, k1, k2, number)
+    sized = rows.select(F.col(source).alias("source"), F.col(bin_).alias("bin"), F.col(size).alias("size"))
+    table = stash(plan(sized, weights, epochs, bins).select(F.col("source").alias(of), F.col("source_size").alias(total), F.col("target").alias(target), F.col("whole").alias(whole), F.col("cut").alias(cut)), "plan")
+    first_rows = table.limit(few + 1).collect()
+    if len(first_rows) <= few:
+        kinds = StructType([StructField(n, t) for n, t in zip((of, total, target, whole, cut), (StringType(), LongType(), DoubleType(), LongType(), LongType()))])
+        known = docs.sparkSession.createDataFrame([tuple(r) for r in first_rows], kinds)
+        joined = rows.join(F.broadcast(known), F.col(source).eqNullSafe(F.col(of)))
     else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        joined = rows.join(salted, F.col("_source").eqNullSafe(F.col("_of")) & (F.pmod("_bin", F.lit(16)) == F.col("_salt")))
-    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("_bin") < F.col("cut")).cast("long")).otherwise(0).cast("long")
-    return joined.select(*(F.col(f"`{c}`") for c in carry), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(15))))
+        joined = rows.join(salted, F.col(source).eqNullSafe(F.col(of)) & (F.pmod(bin_, F.lit(16)) == F.col(salt)))
+    times = F.when(F.col(size) > 0, F.col(whole) + (F.col(bin_) < F.col(cut)).cast("long")).otherwise(0).cast("long")
+    out = joined.select(*cols, size, total, target, times.alias(copies))
+    return out, {"size": size, "source_size": total, "target": target, "copies": copies}
+
+
+def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, epochs: float = 3.0, seed: int = 7, bins: int = 4096, few: int = 10_000) -> DataFrame:
+    """The carried columns of docs (all, if not given) and size, source_size, target, copies, taken."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in OWN]
+    rows, own = planned(docs, carry, weights, epochs, seed, bins, few)
+    return rows.select(*(F.col(f"`{c}`") for c in carry), *(F.col(own[c]).alias(c) for c in OWN[:4]), (F.col(own["copies"]) * F.col(own["size"])).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = 3.0, seed: int = 7, bins: int = 4096, few: int = 10_000) -> DataFrame:
     """The rows of docs as often as the mix takes them."""
-    return mix(docs, **options).where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    rows, own = planned(docs, docs.columns, weights, epochs, seed, bins, few)
+    copies = own["copies"]
+    return rows.where(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -89,8 +89,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.2
   AND n_stop_words / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.5 AND n_repeat_words / n_words <= 0.5 AS kept, n_lines, n_stop_words FROM b""",
     "op3_mixing": rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 7))::BIGINT % 4096 AS bin FROM documents),
+WITH e0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS no FROM documents),
+d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || no || ':7'), 1, 7))::BIGINT % 4096 AS bin FROM e0),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS weight FROM s),
 c AS (SELECT *, source_size * 3.0::DOUBLE AS cap FROM w),
@@ -107,11 +108,12 @@ t AS (SELECT d.doc_id, d.size, f.source_size, f.target, CASE WHEN d.size > 0 THE
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN q ON d.source IS NOT DISTINCT FROM q.source AND k = 1)
 SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM t""",
     "op9_line_dedup": r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+WITH e AS (SELECT doc_id, coalesce(text, '') AS t, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS th FROM documents),
+d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, th) AS r, doc_id, t, string_split(t, chr(10)) AS l FROM e),
 p AS (SELECT r, doc_id, t, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM d),
 g AS (SELECT *, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY r ORDER BY pos)),
 w AS (SELECT r, doc_id, t, pos, x, y, z FROM g WHERE z IS NOT NULL AND regexp_matches(x || y || z, '[^\x20\x09-\x0D]')),
-k AS (SELECT r, pos, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, pos) AS n FROM w),
+k AS (SELECT r, pos, row_number() OVER (PARTITION BY x, y, z ORDER BY r, pos) AS n FROM w),
 c AS (SELECT DISTINCT r, pos + s AS pos FROM k, (VALUES (0), (1), (2)) AS v(s) WHERE n > 1),
 a AS (SELECT r, string_agg(pos, ',' ORDER BY pos) AS removed, count(*) AS n FROM c GROUP BY r),
 b AS (SELECT r, string_agg(x, chr(10) ORDER BY pos) AS kept FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.r = p.r AND c.pos = p.pos) GROUP BY r)
