@@ -2,10 +2,11 @@
 
 Items are the indexed side, each training passage (a window of words, half overlapping the next) is a query. Item
 scores are divided by the score that an item gets against itself, so one threshold holds for all. Postings lie in blocks
-of items; each term has its largest weight over all items and over each block. A window is dropped when the sum of the
-former can't reach the threshold, a block when the sum of the latter can't; both sums come from running sums over the
-text. In the blocks that are left, WAND runs: items by number, terms by their next item, and an item is scored only
-when the block maxima of the terms up to the pivot reach the threshold.
+of items; each term has its largest weight over all items and, sparsely, over each block that holds it. Terms of a window
+whose largest weights together stay below the threshold open no block by themselves; blocks of the other terms are dropped
+when the sum of block maxima and of what those terms can add can't reach the threshold. In the blocks that are left, WAND
+runs: items by number, terms by their next item, and an item is scored only when the block maxima of the terms up to the
+pivot reach the threshold.
 
 An item of more than `PASSAGE` words is also indexed by passages of that many words, half overlapping, each with a score
 of its own: the whole of it may fit no window, but each of its passages lies whole in one. What is retrieved, by the item
@@ -13,19 +14,23 @@ or by a passage, is the item, and its score is the best of them.
 
 What is retrieved is verified against the words around the window: an item's question is its first two thirds, its
 answer the rest; of the shingles of each, at least `overlap` must occur there. A pair whose shingles agree by chance in
-one part alone is not a leak.
+one part alone is not a leak. Shingles are numbers of their words' numbers, exact for up to three words.
 
-Words: A-Z lower-cased, ASCII punctuation and white space divide. Items of fewer than `least_words` words are verified and
-retrieved like others. An item without words matches nothing; a null text has no words; repeated items each match; an empty
-table on either side gives no pair. Items come to the executors in groups of at most `group_bytes` of text, each group
-in a pass of its own over the documents; their document frequencies are those of all items.
+Words: A-Z lower-cased, ASCII punctuation and white space divide.
+
+Cases: items of any length, short ones too, are retrieved and verified alike; an item without words matches nothing; items
+equal in id and text are one, texts that differ under one id each match for themselves (so may give equal pairs), a null id is an
+id like others; a null or empty text has no words; a very long text has as many windows as it needs; of equal scores the windows'
+first counts; repeated rows of docs each give their pairs; an empty table on either side gives no pair; further columns are left out.
+
+Items come to the executors in groups of at most `group_bytes` of text, each group in a pass of its own over the documents
+(its result is written before the next begins); document frequencies are counted by Spark over all items.
 """
 
 from __future__ import annotations
 
 import math
 import string
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -35,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import bound_batches, stash, utf8
+from foliant.llm._common import LOWER, UPPER, bound_batches, fresh, row_hash, small_side, stash, utf8
 
 K1, B = 1.2, 0.75
 BLOCK = 4
 PASSAGE = 256
-_DIVIDE = bytes(ord(" ") if chr(i) in string.punctuation or chr(i) in string.whitespace else i + 32 if 65 <= i <= 90 else i for i in range(256))
+DIVIDERS = string.punctuation + string.whitespace
+_DIVIDE = bytes(ord(" ") if chr(i) in DIVIDERS else i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: Cells (window by block) that are summed at once.
+CELLS = 2_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -54,56 +62,89 @@ def passages(words: list[bytes]) -> list[list[bytes]]:
     return [words, *(words[i : i + PASSAGE] for i in starts)]
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, and so on."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
+
+
+def shingle_keys(terms: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of k terms, -1 where one of them is unknown (0)."""
+    n = len(terms) - k + 1
+    if n <= 0 or not k:
+        return np.empty(0, np.int64)
+    key, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    for i in range(k):
+        part = terms[i : i + n]
+        key = key * np.uint64(1 << 21 if k <= 3 else 0x9E3779B97F4A7C15) + part.astype(np.uint64)
+        known &= part > 0
+    return np.where(known, key.view(np.int64), -1)
+
+
 class Index:
-    """Postings of a group of items, with the largest weights of each term over all and over each block."""
+    """Postings of a group of items (id, text), with the largest weights of each term over all and over each block.
+
+    Arrays by term: the items (ids, weights) from first to first of the next term, and the blocks that hold it (blocks, tops,
+    and at, where the block's items begin). So memory follows the number of distinct terms of each item.
+    """
 
-    def __init__(self, items: list[tuple[int, bytes]], df: dict[bytes, int], n_items: int, mean_words: float, overlap: float, shingle: int = 3):
-        self.ids, self.whole, self.overlap, self.shingle = [], [], overlap, shingle  # whole: the item that an indexed text is from
-        texts = []
+    def __init__(self, items: list[tuple[object, bytes]], df: dict[bytes, int], n_items: int, mean_words: float, overlap: float, shingle: int = 3):
+        self.overlap, self.shingle = overlap, shingle
         wholes = [(item_id, w) for item_id, text in items if (w := words_of(text))]
-        like = [(sorted(set(w), key=lambda t: (-df[t], t))[:8], item_id, w, k) for k, (item_id, all_) in enumerate(wholes) for w in passages(all_)]
-        for _, item_id, w, k in sorted(like):  # items that share common words lie in the same blocks, which keeps block maxima low
-            self.ids.append(item_id)
-            self.whole.append(k)
-            texts.append(w)
-        n_blocks = -(-len(texts) // BLOCK)
+        self.ids, self.lengths = [i for i, _ in wholes], np.array([len(w) for _, w in wholes], np.int64)
+        # texts that share common words lie in the same blocks, which keeps block maxima low
+        texts = sorted((sorted(set(w), key=lambda t: (-df[t], t))[:8], k, w) for k, (_, all_) in enumerate(wholes) for w in passages(all_))
+        self.whole = np.array([k for _, k, _ in texts], np.int64)  # the item that an indexed text is from
         self.vocab: dict[bytes, int] = {}
-        weights: dict[int, list[tuple[int, float]]] = {}
-        for i, w in enumerate(texts):
+        terms, ids, weights = [], [], []
+        for i, (_, _, w) in enumerate(texts):
             norm = K1 * (1 - B + B * len(w) / mean_words)
             own = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(w).items()}
             total = sum(own.values())
-            for t, x in own.items():
-                weights.setdefault(self.vocab.setdefault(t, len(self.vocab) + 1), []).append((i, x / total))
-        self.postings = [([], [])] + [tuple(map(list, zip(*weights[t]))) for t in range(1, len(self.vocab) + 1)]
-        self.most = np.zeros(len(self.postings), np.float32)
-        self.block_most = np.zeros((len(self.postings), max(1, n_blocks)), np.float32)
-        for t, (ids, xs) in enumerate(self.postings):
-            for i, x in zip(ids, xs):
-                self.most[t] = max(self.most[t], x)
-                self.block_most[t, i // BLOCK] = max(self.block_most[t, i // BLOCK], x)
-        self.longest = max(map(len, texts), default=0)
-        self.lengths = [len(w) for _, w in wholes]
+            terms += [self.vocab.setdefault(t, len(self.vocab) + 1) for t in own]
+            ids += [i] * len(own)
+            weights += [x / total for x in own.values()]
+        if len(self.vocab) >= 1 << 21:
+            raise ValueError("too many terms in one group of items: lower group_bytes")
+        t, self.items, self.weights = np.array(terms, np.int64), np.array(ids, np.int64), np.array(weights)
+        order = np.lexsort((self.items, t))
+        t, self.items, self.weights = t[order], self.items[order], self.weights[order]
+        n_terms = len(self.vocab) + 1
+        self.first = np.searchsorted(t, np.arange(n_terms + 1))
+        block = self.items // BLOCK
+        self.at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (block[1:] != block[:-1])]) if len(t) else np.empty(0, np.int64)
+        self.blocks, self.tops = block[self.at], np.maximum.reduceat(self.weights, self.at) if len(t) else np.empty(0)
+        self.first_block = np.searchsorted(t[self.at], np.arange(n_terms + 1))
+        self.end = np.r_[self.at[1:], len(t)]
+        self.most = np.zeros(n_terms)
+        np.maximum.at(self.most, t, self.weights)
+        self.n_blocks = int(self.items.max()) // BLOCK + 1 if len(t) else 0
+        self.keys = t[self.at] * self.n_blocks + self.blocks  # in order
         self.parts = []
         for _, w in wholes:
-            cut = max(1, round(len(w) * 2 / 3))
-            self.parts.append(tuple(self.shingles(p) for p in (w[:cut], w[cut:])))
+            cut, own = max(1, round(len(w) * 2 / 3)), self.numbers(w)
+            self.parts.append(tuple((k := min(shingle, len(p)), np.unique(shingle_keys(p, k))) for p in (own[:cut], own[cut:])))
 
-    def shingles(self, words: list[bytes]) -> set[tuple[bytes, ...]]:
-        k = min(self.shingle, len(words))
-        return set(zip(*(words[i:] for i in range(k)))) if k else set()
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
 
-    def wand(self, terms: list[int], blocks: list[int], threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of all items in the blocks with at least the threshold."""
+    def block_at(self, terms: np.ndarray, block: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the block arrays of (term, block), and which of them there are."""
+        wanted = terms * self.n_blocks + block
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return at, self.keys[at] == wanted
+
+    def wand(self, terms: np.ndarray, blocks: list[int], threshold: float) -> list[tuple[int, float]]:
+        """(indexed text, score) of all in the blocks with at least the threshold."""
         found = []
         for b in blocks:
+            at, there = self.block_at(terms, b)
+            at = at[there]
             end = (b + 1) * BLOCK
             lists = []
-            for t in terms:
-                if (bound := float(self.block_most[t, b])) > 0:
-                    ids, xs = self.postings[t]
-                    at = bisect_left(ids, b * BLOCK)
-                    lists.append([ids[at], at, ids, xs, bound])
+            for p in at:
+                ids, xs = self.items[self.at[p] : self.end[p]].tolist(), self.weights[self.at[p] : self.end[p]].tolist()
+                lists.append([ids[0], 0, ids, xs, float(self.tops[p])])
             while lists:
                 lists.sort(key=lambda x: x[0])
                 bound, pivot = 0.0, None
@@ -128,106 +169,162 @@ class Index:
                 lists = [x for x in lists if x[0] < end]
         return found
 
-    @staticmethod
-    def window_bounds(sums: np.ndarray) -> np.ndarray:
-        """Bounds of windows, each two halves of the text, from the running sums at the halves' starts."""
-        halves = np.diff(sums, axis=0)
-        return halves if len(halves) < 2 else halves[:-1] + halves[1:]
+    def open_blocks(self, half: np.ndarray, term: np.ndarray, n_halves: int, threshold: float) -> Iterator[tuple[int, int]]:
+        """(window, block) whose bounds reach the threshold. half, term: each half's terms, once each, in order of half.
+
+        Window w is made of halves w and w + 1, the last one (or a lone half) of the last alone.
+        """
+        top = self.most[term]
+        per_half = np.bincount(half, top, n_halves)
+        bound = per_half[:-1] + per_half[1:] if n_halves > 1 else per_half
+        likely = np.flatnonzero(bound >= threshold - 1e-5)
+        if not len(likely):
+            return
+        first = np.searchsorted(half, np.arange(n_halves + 1))
+        step = max(1, CELLS // self.n_blocks)
+        for i in range(0, len(likely), step):
+            some = likely[i : i + step]
+            begin, stop = first[some], first[np.minimum(some + 2, n_halves)]
+            own = np.repeat(np.arange(len(some)), stop - begin)
+            t = term[ranges(begin, stop - begin)]
+            once = np.unique(own * len(self.most) + t)
+            own, t = np.divmod(once, len(self.most))
+            order = np.lexsort((self.most[t], own))
+            own, t = own[order], t[order]
+            sums = np.cumsum(self.most[t])
+            starts = np.searchsorted(own, np.arange(len(some) + 1))
+            base = np.r_[0.0, sums][starts[:-1]]
+            opens = sums - base[own] >= threshold - 1e-5  # the terms before stay below together
+            rest = np.bincount(own[~opens], self.most[t[~opens]], len(some))
+            low, low_first = t[~opens], np.searchsorted(own[~opens], np.arange(len(some) + 1))
+            own, t = own[opens], t[opens]
+            sizes = self.first_block[t + 1] - self.first_block[t]
+            at = ranges(self.first_block[t], sizes)
+            cells = np.repeat(own, sizes) * self.n_blocks + self.blocks[at]
+            total = np.bincount(cells, self.tops[at], len(some) * self.n_blocks)
+            open_ = np.flatnonzero((total > 0) & (total + np.repeat(rest, self.n_blocks) >= threshold - 1e-5))
+            if not len(open_):
+                continue
+            window, block = np.divmod(open_, self.n_blocks)
+            begin, sizes = low_first[window], low_first[window + 1] - low_first[window]
+            of = np.repeat(np.arange(len(open_)), sizes)
+            at, there = self.block_at(low[ranges(begin, sizes)], block[of])  # what the other terms add in these blocks
+            total = total[open_] + np.bincount(of[there], self.tops[at[there]], len(open_))
+            for w, b in zip(some[window[total >= threshold - 1e-5]].tolist(), block[total >= threshold - 1e-5].tolist()):
+                yield w, b
 
     def search(self, text: bytes, threshold: float, window: int) -> dict[int, tuple[float, float, float]]:
-        """item_id -> (score, question overlap, answer overlap) of verified leaks, the best of all windows."""
+        """Place of an item -> (score, question overlap, answer overlap) of verified leaks, the best of all windows."""
         words = words_of(text)
         n = len(words)
         out: dict[int, tuple[float, float, float]] = {}
         if not n or not self.ids:
             return out
         step = max(1, window // 2)
-        terms = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, n)
+        terms = self.numbers(words)
         n_halves = -(-n // step)
         keys = terms + np.arange(n) // step * len(self.most)
-        keys = np.unique(keys[terms > 0])  # each half's terms, once each
-        half, term = np.divmod(keys, len(self.most))
-        first = np.searchsorted(half, np.arange(n_halves + 1))
-        likely = np.flatnonzero(self.window_bounds(np.r_[0.0, np.cumsum(self.most[term], dtype=np.float64)][first, None])[:, 0] >= threshold - 1e-5)
-        if not len(likely):
-            return out
-        open_blocks: dict[int, list[int]] = {}
-        for at in range(0, self.block_most.shape[1], 64):
-            part = self.block_most[:, at : at + 64]
-            sums = np.vstack([np.zeros((1, part.shape[1])), np.cumsum(part[term], axis=0, dtype=np.float64)])
-            for w, b in zip(*np.nonzero(self.window_bounds(sums[first])[likely] >= threshold - 1e-5)):
-                open_blocks.setdefault(int(likely[w]), []).append(at + int(b))
-        for w, blocks in open_blocks.items():
-            own = np.unique(term[first[w] : first[min(w + 2, n_halves)]])
-            blocks = [b for b in blocks if self.block_most[own, b].sum() >= threshold - 1e-5]
+        half, term = np.divmod(np.unique(keys[terms > 0]), len(self.most))
+        opened: dict[int, list[int]] = {}
+        for w, b in self.open_blocks(half, term, n_halves, threshold):
+            opened.setdefault(w, []).append(b)
+        shingles: dict[int, np.ndarray] = {}
+        for w, blocks in opened.items():
+            own = np.unique(term[(half >= w) & (half < w + 2)])
             s, e = w * step, min(n, (w + 2) * step)
-            best: dict[tuple[int, int], float] = {}  # of an item and its passages
-            for i, score in self.wand(own.tolist(), blocks, threshold):
-                key = self.ids[i], self.whole[i]
-                best[key] = max(score, best.get(key, 0.0))
-            for (item_id, item), score in best.items():
-                if out.get(item_id, (0.0,)) >= (score, 1.0, 1.0):
+            best: dict[int, float] = {}  # of an item and its passages
+            for i, score in self.wand(own, blocks, threshold):
+                item = int(self.whole[i])
+                best[item] = max(score, best.get(item, 0.0))
+            for item, score in best.items():
+                if out.get(item, (0.0,)) >= (score, 1.0, 1.0):
                     continue
-                near = words[max(0, s - self.lengths[item]) : e + self.lengths[item]]
-                q, a = self.parts[item]
-                have = self.shingles(near) if len(near) >= self.shingle else set()
+                left, right = max(0, s - self.lengths[item]), min(n, e + self.lengths[item])
                 shares = []
-                for p in (q, a):
-                    k = len(next(iter(p))) if p else 0
-                    there = have if k == self.shingle else set(zip(*(near[i:] for i in range(k)))) if k else set()
-                    shares.append(len(p & there) / len(p) if p else 1.0)
+                for k, part in self.parts[item]:
+                    if k not in shingles:
+                        shingles[k] = shingle_keys(terms, k)
+                    near = shingles[k][left : max(left, right - k + 1)]
+                    shares.append(float(np.isin(part, near).mean()) if len(part) else 1.0)
                 if min(shares) >= self.overlap:
-                    found = (score, *shares)
-                    if item_id not in out or found > out[item_id]:
-                        out[item_id] = found
+                    found = (float(score), *shares)
+                    if item not in out or found > out[item]:
+                        out[item] = found
         return out
 
 
 _INDEXES: dict[object, Index] = {}
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, window: int = 64, group_bytes: int = 16_000_000) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of every document and item that it leaks.
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, int, float, int]:
+    """The distinct items (item_id, text), the terms' document frequencies, the number of items with words, their mean and largest number of words."""
+    text = F.coalesce("text", F.lit(""))
+    items = stash(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).distinct(), "items")
+    plain = F.translate("text", UPPER + DIVIDERS, LOWER + " " * len(DIVIDERS))
+    words = items.select("item_id", "text", F.array_remove(F.split(plain, " "), "").alias("w")).where(F.size("w") > 0)
+    df = stash(words.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count(), "frequencies")
+    n_items, mean, longest = words.agg(F.count(F.lit(1)), F.avg(F.size("w")), F.max(F.size("w"))).first()
+    return items, df, n_items, float(mean or 1.0), longest or 0
 
-    A window has at least twice the words of the longest item or passage, so any item of up to `PASSAGE` words and any
-    passage of a longer one lies whole in one.
-    """
-    spark = docs.sparkSession
+
+def _search(rows: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, window: int, group_bytes: int) -> DataFrame:
+    """The columns of rows but the last, text, with item_id, score, question_overlap and answer_overlap of each leak."""
+    spark = rows.sparkSession
     bound_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    items, df, n_items, mean, longest = _items(benchmark)
+    wide = max(window, min(2 * PASSAGE, 2 * longest))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(size / group_bytes))
-    df, n_items, n_words = Counter(), 0, 0
-    for row in items.toLocalIterator():
-        if w := words_of(bytes(row["text"])):
-            df.update(set(w))
-            n_items, n_words = n_items + 1, n_words + len(w)
-    schema, found = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double", None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    head = rows.schema.fields[:-1]
+    names = [*(f.name for f in head), "item_id", "score", "question_overlap", "answer_overlap"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in head), "item_id long, score double, question_overlap double, answer_overlap double"])
+    found = None
     for k in range(groups):
-        part = sorted((r["item_id"] if r["item_id"] is not None else -(2**63), bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k).collect())
-        shared = spark.sparkContext.broadcast((part, {t: df[t] for _, text in part for t in words_of(text)}))
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k)
+        part = sorted(((r["item_id"], r["text"].encode()) for r in own.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        terms = {t for _, text in part for t in words_of(text)}
+        wanted = spark.createDataFrame([(t.decode(),) for t in sorted(terms)], "t string")
+        shared = spark.sparkContext.broadcast((part, {r["t"].encode(): r["count"] for r in df.join(wanted, "t", "left_semi").collect()} if groups > 1 else {r["t"].encode(): r["count"] for r in df.collect()}))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             name = (shared.id if hasattr(shared, "id") else id(shared), overlap)
-            part, own = shared.value
             index = _INDEXES.get(name)
             if index is None:
                 _INDEXES.clear()
-                index = _INDEXES[name] = Index(part, own, n_items, n_words / max(1, n_items), overlap)
-            wide = max(window, min(2 * PASSAGE, 2 * index.longest))
+                index = _INDEXES[name] = Index(*shared.value, n_items, mean, overlap)
             for batch in batches:
-                out = [(i, item, *x) for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))) for item, x in index.search(t, threshold, wide).items()]
+                at, out = [], []
+                for i, t in enumerate(utf8(batch.column(batch.num_columns - 1))):
+                    for item, x in index.search(t, threshold, wide).items():
+                        at.append(i)
+                        out.append((index.ids[item], *x))
                 if out:
-                    kinds = [pa.int64()] * 2 + [pa.float64()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], schema.replace(" long", "").replace(" double", "").split(", "))
+                    kinds = [pa.int64()] + [pa.float64()] * 3
+                    kept = batch.select(range(batch.num_columns - 1)).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names)
 
         here = rows.mapInArrow(search, schema)
+        if groups > 1:  # one group's index at a time
+            here = stash(here, "leaks")
+            shared.destroy()
         found = here if found is None else found.unionAll(here)
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that leak an item; rows without a doc_id can't be named by a leak and stay."""
-    gone = stash(leaks(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, window: int = 64, group_bytes: int = 16_000_000) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap of every document and item that it leaks.
+
+    A window has at least twice the words of the longest item or passage, so any item of up to `PASSAGE` words and any
+    passage of a longer one lies whole in one.
+    """
+    return _search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, threshold, overlap, window, group_bytes)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, window: int = 64, group_bytes: int = 16_000_000) -> DataFrame:
+    """docs without the rows that leak an item; rows are judged one by one, with or without a doc_id, by their own text."""
+    first, second = row_hash("doc_id", "text")
+    found = _search(docs.select(first.alias("k1"), second.alias("k2"), "text"), benchmark, threshold, overlap, window, group_bytes)
+    k1, k2, j1, j2 = fresh(docs.columns, "_k1", "_k2", "_j1", "_j2")
+    gone = stash(found.select(F.col("k1").alias(j1), F.col("k2").alias(j2)).distinct(), "leaks")
+    kept = docs.withColumns({k1: first, k2: second}).join(small_side(gone), [F.col(k1) == F.col(j1), F.col(k2) == F.col(j2)], "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

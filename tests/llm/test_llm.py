@@ -304,22 +304,69 @@ def test_decontamination_of_long_items(spark):
     assert all(x["question_overlap"] == x["answer_overlap"] == 1 for x in got.values())
 
 
-def test_wand_retrieves_all_above_the_threshold():
+def brute_leaks(docs, items, threshold=0.6, overlap=0.5):
+    """The contract in plain Python: every window of 512 or twice the longest passage's words against every item and passage."""
+    words = lambda t: re.findall(r"[^\s!-/:-@\[-`{-~]+", (t or "").lower())
+    whole = {k: w for k in items if (w := words(k[1]))}
+    df, n, mean = {}, len(whole), sum(map(len, whole.values())) / max(1, len(whole))
+    for w in whole.values():
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    indexed = [(k, p) for k, w in whole.items() for p in [w] + [w[i : i + 256] for i in [*range(0, len(w) - 256, 128), len(w) - 256] if len(w) > 256]]
+    weights = []
+    for _, w in indexed:
+        own = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
+        weights.append({t: x / sum(own.values()) for t, x in own.items()})
+    step = max(64, min(512, 2 * max(len(w) for _, w in indexed))) // 2
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        halves = -(-len(w) // step)
+        for h in range(max(1, halves - 1) if w else 0):
+            s, e = h * step, min(len(w), (h + 2) * step)
+            here = set(w[s:e])
+            for (key, _), own in zip(indexed, weights):
+                score = sum(x for t, x in own.items() if t in here)
+                if score < threshold:
+                    continue
+                item = whole[key]
+                near, cut = w[max(0, s - len(item)) : e + len(item)], max(1, round(len(item) * 2 / 3))
+                shares = [len(g & grams(near, k)) / len(g) if (g := grams(p, k := min(3, len(p)))) else 1.0 for p in (item[:cut], item[cut:])]
+                if min(shares) >= overlap:
+                    out[d, key] = max(out.get((d, key), (0,)), (score, *shares))
+    return sorted((d, k[0] if k[0] is not None else -1, *(round(x, 9) for x in v)) for (d, k), v in out.items())
+
+
+@pytest.mark.parametrize("group_bytes", [16_000_000, 600])
+def test_decontamination_against_brute_force(spark, group_bytes):
     r = random.Random(2)
-    vocab = [f"t{i}".encode() for i in range(60)]
-    items = [(i, b" ".join(r.choice(vocab) for _ in range(r.randint(3, 20)))) for i in range(50)]
-    df = {}
-    for _, t in items:
-        for w in set(t.split()):
-            df[w] = df.get(w, 0) + 1
-    index = decontamination.Index(items, df, len(items), 12.0, 0.5)
-    for _ in range(200):
-        own = sorted({index.vocab[w] for w in (r.choice(vocab) for _ in range(25)) if w in index.vocab})
-        blocks = [b for b in range(index.block_most.shape[1]) if index.block_most[own, b].sum() >= 0.4]
-        got = {i: s for i, s in index.wand(own, blocks, 0.4)}
-        for i in range(len(index.ids)):
-            score = sum(x for t in own for j, x in zip(*index.postings[t]) if j == i)
-            assert (i in got) == (score >= 0.4) or abs(score - 0.4) < 1e-9
+    vocab = [f"t{i}" for i in range(70)] + ["Alpha", "beta,", "x-y"]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, prose(r.choice([1, 2, 4, 12, 30, 60]))) for i in range(25)] + [(25, prose(500)), (3, prose(20)), (None, prose(25)), (-(2**63), prose(22)), (7, None), (8, " . ")]
+    items.append(items[12])
+    docs = []
+    for d in range(60):
+        words = prose(r.randint(0, 260)).split()
+        for _ in range(r.randrange(3)):
+            own = (r.choice(items)[1] or "").split()
+            own = [w for w in own if r.random() > 0.1]
+            at = r.randint(0, len(words))
+            words[at:at] = own
+        docs.append((d, " ".join(words)))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.leaks(frame, bench, group_bytes=group_bytes).collect()
+    got = sorted((x[0], x[1] if x[1] is not None else -1, *(round(v, 9) for v in x[2:])) for x in found)
+    want = brute_leaks(docs, sorted(set(items), key=str))
+    assert got == want and len({x[1] for x in got}) > 15  # the passes see the same rows, whatever the groups
+
+
+def test_leaking_rows_go_one_by_one(spark):
+    item = "what is the tallest mountain of the northern island answer it is called white peak"
+    rows = [(None, "x " + item, 1), (None, "clean words here", 2), (5, item, 3), (5, "another clean text", 4), (6, None, 5), (None, "clean words here", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k1 int")
+    left = decontamination.drop_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(x["_k1"] for x in left.collect()) == [2, 4, 5, 6]
 
 
 def test_line_dedup_rows(spark, odd, empty):
