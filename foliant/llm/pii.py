@@ -4,19 +4,27 @@ The fixed patterns (email, ip, card, phone) find the seeds, leftmost and without
 are written so that Java's matcher runs in linear time and bounded stack: runs are possessive, and a run starts only
 where its characters do or where the last match ended.
 
-Bootstrapping: candidates, all outside seeds, are tokens with an @, runs of 7 to 19 digits with up to three spaces,
-brackets, dots or hyphens between digits, and what these leave of identifier-like tokens (6 to 64 characters of
-[A-Za-z0-9._%+@-], four digits or more). Each seed and candidate stands in up to three lexical patterns: the word before it, the two words before,
-and the word before with the word after. A pattern scores, for a kind, the sum of the scores of its distinct values by
-their number plus one; a seed's value scores 1 for its kind; a candidate, for the kinds that its shape allows, the
-best score of its patterns if that is `sure`. Three rounds; then candidates in a pattern with score `sure` and `support`
-distinct values become spans of that kind.
+Bootstrapping works on the graph of lexical patterns and values. Candidates, all outside seeds, are tokens with an @; addresses
+of four dotted numbers or of three to eight groups of hexadecimal digits with colons; runs of 7 to 19 digits with up to three
+spaces, brackets, dots or hyphens between digits; and, as what speaks against a pattern, other tokens of [A-Za-z0-9._%+@-] with
+four digits or more. The shape of a candidate allows kinds, or none. Each seed and candidate stands in up to three patterns: the
+word before it, the two words before, and the word before with the word after. Words are whole, lower-cased, digits as 0, and
+reach back to the match before and on to the next.
+
+In each round a pattern scores, for a kind, what its known values of that kind weigh (seeds 1, accepted values their
+score) by all that it holds: known values of any kind, candidates whose shape doesn't allow the kind, `doubt` of each open
+candidate, and half a value more. A pattern with score `sure` and `support` known values accepts its open candidates, at its score;
+what a round accepts is known in the next one, and so brings in the patterns it stands in elsewhere. Rounds end when nothing new
+is accepted, after `rounds` at most. An accepted value is marked wherever it stands as a candidate. Scores are whole millionths, so
+sums don't depend on their order.
 
 Rows are told apart by their place while the operator runs. Values and patterns are kept as hashes only. Every count is over distinct
-(pattern, value), reduced before the shuffle, so a pattern or value that is everywhere is one row for each task.
+(pattern, value), reduced before the shuffle; joins are between written tables, of which a small one is sent to all tasks and a
+large one can be split where one pattern or value is in a third of all rows.
 
-Cases: null and empty texts have no spans; a text may hold any number of spans; repeated rows each get a row and count
-once as values; an empty table gives no row; further columns are left out.
+Cases: null and empty texts have no spans; a very long text may hold any number of spans, and a word of any length is one; repeated
+rows each get a row and count once as values; of two kinds with the same score for a value the first listed is taken; an empty table
+gives no row; further columns are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import let, stash
+from foliant.llm._common import let, small_side, stash
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -37,12 +45,19 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,60}[0-9])[A-Za-z0-9._%+@-]{6,64}(?![A-Za-z0-9._%+@-])"
-#: Addresses of any domain, and numbers in groups.
-MAIL = r"(?<![\p{L}\p{N}._%+@-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}._-]{0,253}[\p{L}\p{N}])?(?![\p{L}\p{N}@])"
+_OTHER = "A-Za-z._%+@-"
+#: Tokens with four digits; addresses of any domain; dotted and colon addresses; numbers in groups.
+TOKEN = rf"(?<![0-9{_OTHER}])(?:[{_OTHER}]*+[0-9]){{4}}[0-9{_OTHER}]*+"
+MAIL = r"(?<![\p{L}\p{N}._%+@-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}._-]*[\p{L}\p{N}])?(?![\p{L}\p{N}@])"
+HOST = r"(?<![\p{L}0-9._%+@:-])(?:[0-9]++(?:\.[0-9]++){3}(?![.-]?[\p{L}0-9_%+@])|[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{0,4}+){2,7}(?![:.-]?[\p{L}0-9_%+@]))"
 _INNER = "[ ().-]{0,3}"
 NUMBER = rf"(?<![0-9]{_INNER})(?:(?<![\p{{L}}0-9_%+@])\((?=[0-9]{{1,6}}\))|(?<![\p{{L}}0-9._%+@-]))[0-9](?:{_INNER}[0-9]){{6,18}}(?!{_INNER}[0-9])(?!-?[\p{{L}}_%+@])"
-SPAN = "array<struct<kind:int,s:int,e:int,v:string,before:string,after:string>>"
+#: The last two words of what stands before, read backwards, and the first one of what follows.
+_WS, _NOT = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+LAST_WORDS = rf"^{_WS}*+({_NOT}++)(?:{_WS}++({_NOT}++))?"
+FIRST_WORD = rf"^{_WS}*+({_NOT}++)"
+SPAN = "array<struct<kind:int,s:int,e:int,v:string,w1:string,w2:string,after:string>>"
+MILLION = 1_000_000
 
 
 def luhn(v: Column) -> Column:
@@ -66,7 +81,7 @@ def fits(kind: str):
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
-    """All matches with their places and up to 60 characters on both sides, back to the match before and up to the next.
+    """All matches with their places, the two words before (the last one first, each reversed) and the word after.
 
     Places are running sums over the pieces between matches and the matches, gathered as a string: appending to an
     array would copy it element by element.
@@ -81,8 +96,9 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
         def spans(starts: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
                 s = F.get(starts, i).cast("int")
-                before, after = F.substring(F.get(gap, i), -60, 60), F.substring(F.get(gap, i + 1), 1, 30)
-                return F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.char_length(x)).alias("e"), x.alias("v"), before.alias("before"), after.alias("after"))
+                back, on = F.reverse(F.get(gap, i)), F.get(gap, i + 1)
+                words = [F.regexp_extract(back, LAST_WORDS, 1), F.regexp_extract(back, LAST_WORDS, 2), F.regexp_extract(on, FIRST_WORD, 1)]
+                return F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.char_length(x)).alias("e"), x.alias("v"), *(w.alias(n) for w, n in zip(words, ("w1", "w2", "after"))))
 
             return F.transform(v, one)
 
@@ -113,29 +129,33 @@ def candidates(text: Column, base: Column) -> Column:
     def clear(spans: Column, of: Column) -> Column:
         return F.filter(spans, lambda x: ~F.exists(of, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
 
-    wide = clear(F.concat(found("@", MAIL), found(rf"[0-9](?:{_INNER}[0-9]){{6}}", NUMBER)), base)
-    rich = F.filter(found("[0-9](?:[A-Za-z._%+@-]{0,60}[0-9]){3}", TOKEN), lambda x: F.char_length(F.regexp_replace(x["v"], "[^0-9]", "")) >= 4)
-    return let(wide, lambda w: F.concat(w, clear(clear(rich, base), w)))
+    sets = [
+        F.concat(found("@", MAIL), found(r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]", HOST)),
+        found(rf"[0-9](?:{_INNER}[0-9]){{6}}", NUMBER),
+        found(rf"[0-9](?:[{_OTHER}]*+[0-9]){{3}}", TOKEN),
+    ]
+    first = clear(sets[0], base)
+    return let(first, lambda a: let(F.concat(a, clear(clear(sets[1], base), a)), lambda b: F.concat(b, clear(clear(sets[2], base), b))))
 
 
 def patterns(span: Column) -> Column:
     """Hashes of the span's lexical patterns: words lower-cased, digits as 0."""
-    plain = lambda x: F.regexp_replace(F.lower(x), "[0-9]+", "0")
-    words = lambda x: F.filter(F.split(plain(x), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    before, after = words(span["before"]), F.get(words(span["after"]), F.lit(0))
+
+    def plain(word: Column) -> Column:
+        return F.when(word != "", F.regexp_replace(F.lower(word), "[0-9]+", "0"))
 
     def of(w: Column) -> Column:
-        n = F.size(w)
-        one, two = F.get(w, n - 1), F.get(w, n - 2)
-        return F.array_compact(F.array(F.when(n > 0, F.xxhash64(F.lit(1), one)), F.when(n > 1, F.xxhash64(F.lit(2), two, one)), F.when((n > 0) & after.isNotNull(), F.xxhash64(F.lit(3), one, after))))
+        one, two, after = w["one"], w["two"], w["after"]
+        return F.array_compact(F.array(F.when(one.isNotNull(), F.xxhash64(F.lit(1), one)), F.when(two.isNotNull(), F.xxhash64(F.lit(2), two, one)), F.when(one.isNotNull() & after.isNotNull(), F.xxhash64(F.lit(3), one, after))))
 
-    return let(before, of)
+    return let(F.struct(plain(span["w1"]).alias("one"), plain(span["w2"]).alias("two"), plain(span["after"]).alias("after")), of)
 
 
 def allowed(v: Column) -> Column:
     """The kinds that a candidate's shape allows."""
     digits = F.char_length(F.regexp_replace(v, "[^0-9]", ""))
-    return F.array_compact(F.array(F.when(v.rlike("^[^@]+@[^@]+$"), 0), F.when(v.rlike(r"^[0-9]+(?:\.[0-9]+){2,}$"), 1), F.when(v.rlike("^[0-9 -]+$") & digits.between(12, 19), 2), F.when(v.rlike("^[+0-9 ().-]+$") & digits.between(7, 15), 3)))
+    host = v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") | v.rlike("^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}$")
+    return F.array_compact(F.array(F.when(v.rlike("^[^@]+@[^@]+$"), 0), F.when(host, 1), F.when(v.rlike("^[0-9 -]+$") & digits.between(12, 19), 2), F.when(v.rlike("^[+0-9 ().-]+$") & digits.between(7, 15), 3)))
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -152,22 +172,37 @@ def extract(docs: DataFrame) -> DataFrame:
     return seen.select("doc_id", F.transform("base", lambda x: F.struct(x["kind"], x["s"], x["e"])).alias("base"), marks.alias("marks"))
 
 
-def bootstrap(marks: DataFrame, rounds: int = 3, sure: float = 0.8, support: int = 5) -> DataFrame:
-    """(p, kind, score) of the patterns that are sure. marks: p, v, kinds, seed."""
+def bootstrap(marks: DataFrame, rounds: int = 6, sure: float = 0.8, support: int = 5, doubt: float = 0.2) -> DataFrame:
+    """(v, kind, score) of the accepted values. marks: p, v, kinds, seed."""
     edges = stash(marks.select("p", "v", "kinds", "seed").distinct(), "edges")
-    total = edges.groupBy("p").agg(F.countDistinct("v").alias("n"))
-    own = edges.where("seed").select("p", "v", F.explode("kinds").alias("kind")).groupBy("p", "kind").agg(F.countDistinct("v").alias("seeds"))
-    known = stash(own.join(total, "p"), "patterns")
-    found = edges.where("not seed").select("p", "v", F.explode("kinds").alias("kind")).distinct()
-    found = stash(found.join(known.select("p", "kind"), ["p", "kind"], "left_semi"), "graph")
-    score = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + 1)
-    scored = known.withColumns({"more": F.lit(0.0)}).withColumn("score", score)
+    seeded = edges.where("seed").select("p", F.col("kinds")[0].alias("kind"), "v").distinct().groupBy("p", "kind").agg(F.count(F.lit(1)).alias("n"))
+    open_ = edges.where("not seed").select("p", "v", "kinds").distinct()
+    total = open_.groupBy("p").agg(F.count(F.lit(1)).alias("all_open"))
+    graph = stash(open_.select("p", "v", F.explode("kinds").alias("kind")), "graph")
+    shaped = graph.groupBy("p", "kind").agg(F.count(F.lit(1)).alias("shaped"))
+    by_kind = F.when(F.col("other") == F.col("kind"), F.col("n"))
+    others = shaped.join(seeded.withColumnRenamed("kind", "other"), "p", "left").groupBy("p", "kind").agg(F.max("shaped").alias("shaped"), F.coalesce(F.max(by_kind), F.lit(0)).alias("seeds"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_seeds"))
+    fixed = stash(others.join(total, "p").select("p", "kind", "seeds", "all_seeds", (F.col("all_open") - F.col("shaped")).alias("misfits")), "patterns")
+    spark = marks.sparkSession
+    accepted, n = spark.createDataFrame([], "v long, kind int, score long"), 0
     for _ in range(rounds):
-        good = scored.where((F.col("score") >= sure) & (F.col("seeds") + F.col("more") >= support)).select("p", "kind", "score")
-        values = found.join(good, ["p", "kind"]).groupBy("v", "kind").agg(F.max("score").alias("x"))
-        more = found.join(values, ["v", "kind"]).groupBy("p", "kind").agg(F.sum("x").alias("more"))
-        scored = stash(known.join(more, ["p", "kind"], "left").withColumn("more", F.coalesce("more", F.lit(0.0))).withColumn("score", score), "scored")
-    return scored.where((F.col("score") >= sure) & (F.col("seeds") + F.col("more") >= support)).select("p", "kind", "score")
+        known = accepted.select("v", F.col("kind").alias("_kind"), "score")
+        mine = F.col("_kind") == F.col("kind")
+        told = graph.join(small_side(known), "v", "left").groupBy("p", "kind").agg(
+            F.coalesce(F.sum(F.when(mine, F.col("score"))), F.lit(0)).alias("more"), F.count(F.when(mine, 1)).alias("n_more"), F.count(F.when(~mine, 1)).alias("against"), F.count(F.when(F.col("_kind").isNull(), 1)).alias("left")
+        )
+        told = stash(told, "told")
+        weight = F.col("seeds") + F.col("more") / MILLION
+        score = weight / (F.col("all_seeds") + F.col("more") / MILLION + F.col("against") + F.col("misfits") + doubt * F.col("left") + 0.5)
+        scored = fixed.join(small_side(told), ["p", "kind"]).where(F.col("seeds") + F.col("n_more") >= support).select("p", "kind", F.round(score * MILLION).cast("long").alias("score"))
+        good = stash(scored.where(F.col("score") >= round(sure * MILLION)), "good")
+        best = F.max_by("kind", F.struct("score", -F.col("kind")))
+        accepted = stash(graph.join(small_side(good), ["p", "kind"]).groupBy("v").agg(best.alias("kind"), F.max("score").alias("score")), "accepted")
+        now = accepted.count()
+        if now == n:
+            break
+        n = now
+    return accepted
 
 
 def joined(spans: Column) -> Column:
@@ -180,15 +215,14 @@ def of_kind(k: int):
     return lambda x: x["kind"] == k
 
 
-def personal_data(docs: DataFrame, rounds: int = 3, sure: float = 0.8, support: int = 5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the seeds, n_found and spans with those found too."""
+def personal_data(docs: DataFrame, rounds: int = 6, sure: float = 0.8, support: int = 5, doubt: float = 0.2) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the seeds, spans with those found too, and n_found, their number."""
     rows = stash(extract(docs).withColumn("uid", F.monotonically_increasing_id()), "spans")
-    marks = rows.select("uid", F.explode("marks").alias("m")).select("uid", "m.*").withColumn("p", F.explode("p"))
-    good = bootstrap(marks, rounds, sure, support)
-    hits = marks.where("not seed").select("uid", "p", "s", "e", F.explode("kinds").alias("kind")).join(good, ["p", "kind"])
-    best = hits.groupBy("uid", "s", "e").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-    found = best.groupBy("uid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("found"))  # spans of one document
-    out = rows.select("uid", "doc_id", "base").join(found, "uid", "left")
+    marks = rows.select("uid", F.explode("marks").alias("m")).select("uid", "m.*")
+    accepted = bootstrap(marks.withColumn("p", F.explode("p")), rounds, sure, support, doubt)
+    hits = marks.where("not seed").select("uid", "v", "s", "e").join(small_side(accepted.select("v", "kind")), "v")
+    found = hits.groupBy("uid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("found"))  # spans of one document
+    out = rows.select("uid", "doc_id", "base").join(small_side(stash(found, "found")), "uid", "left")
     none = F.array().cast("array<struct<kind:int,s:int,e:int>>")
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", F.coalesce("found", none))).alias("spans"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_found"))

@@ -44,6 +44,27 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def pii_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bootstrapping adds to the seeds, over notes made of the whole table customer: c_custkey, note, spans.
+
+    Two in three notes give a number that the fixed patterns know; the others one without a country's code, which only the words
+    around it tell; a second note gives these again in other words, and a fifth of the customers a number found in those words alone.
+    """
+    key = F.col("c_custkey")
+    seven = F.lpad(key.cast("string"), 7, "0")
+    local = F.concat(F.lit("(0555) "), F.substring(seven, 1, 3), F.lit(" "), F.substring(seven, 4, 4))
+    value = F.when(key % 3 < 2, F.concat(F.lit("+1 555 "), seven)).otherwise(local)
+    notes = F.array(
+        F.struct(F.lit(1).alias("note"), F.concat(F.lit("reach this customer under "), value, F.lit(" on weekdays")).alias("text")),
+        F.struct(F.lit(2).alias("note"), F.when(key % 3 == 2, F.concat(F.lit("the hotline was "), local, F.lit(" before"))).alias("text")),
+        F.struct(F.lit(3).alias("note"), F.when(key % 5 == 0, F.concat(F.lit("the hotline was 0777-"), seven, F.lit(" before"))).alias("text")),
+        F.struct(F.lit(4).alias("note"), F.concat(F.lit("order 0888-"), seven, F.lit(" came")).alias("text")),
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(notes).alias("x")).select((key * 10 + F.col("x.note")).alias("doc_id"), F.col("x.text").alias("text"))
+    found = pii.personal_data(rows)
+    return found.select(F.floor(F.col("doc_id") / 10).alias("c_custkey"), (F.col("doc_id") % 10).alias("note"), "n_phone", "n_found", "spans")
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_shards(table(spark, sf_dir, "documents"))
 
@@ -64,7 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash)
+    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash, pii_discovery)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -107,6 +128,12 @@ q AS (SELECT e.source, edge, row_number() OVER (PARTITION BY e.source ORDER BY a
 t AS (SELECT d.doc_id, d.size, f.source_size, f.target, CASE WHEN d.size > 0 THEN whole + (bin < edge)::INT ELSE 0 END::BIGINT AS copies
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN q ON d.source IS NOT DISTINCT FROM q.source AND k = 1)
 SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM t""",
+    "pii_discovery": """
+WITH n AS (SELECT c_custkey, unnest([1, 2, 3, 4])::BIGINT AS note FROM customer)
+SELECT c_custkey, note, (note = 1 AND c_custkey % 3 < 2)::BIGINT AS n_phone,
+  (note = 1 AND c_custkey % 3 = 2 OR note = 2 AND c_custkey % 3 = 2 OR note = 3 AND c_custkey % 5 = 0)::BIGINT AS n_found,
+  CASE WHEN note = 1 AND c_custkey % 3 < 2 THEN 'phone:26:40' WHEN note = 1 THEN 'phone:26:41' WHEN note = 2 AND c_custkey % 3 = 2 THEN 'phone:16:31'
+    WHEN note = 3 AND c_custkey % 5 = 0 THEN 'phone:16:28' ELSE '' END AS spans FROM n""",
     "op9_line_dedup": r"""
 WITH e AS (SELECT doc_id, coalesce(text, '') AS t, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS th FROM documents),
 d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, th) AS r, doc_id, t, string_split(t, chr(10)) AS l FROM e),

@@ -226,11 +226,105 @@ def test_pii_discovers_usual_forms(spark):
     texts += [f"please write to user{i}@host{i}.example soon" for i in range(40)] + [f"we charge card {card(10**9 * i + 77)} today" for i in range(40)]
     forms = [("phone", "please call us under {} today", x) for x in ("(0664) 123 4567", "030 123 4567", "030.123.4567", "(030) 123-45-67")]
     forms += [("email", "please write to {} soon", x) for x in ("anna@intranet", "anna@büro.example")] + [("card", "we charge card {} today", x) for x in ("4111 1111 1111 1112", "4111-1111-1111-1112")]
-    rows = texts + [t.format(v) for _, t, v in forms] + ["part (0664) 123 4567 is out", "a talk @ noon with anna@intranet"]
+    rows = texts + [t.format(v) for _, t, v in forms] + ["part (0665) 123 4568 is out", "a talk @ noon with anna@office"]
     got = [x["spans"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).orderBy("doc_id").collect()]
     assert got[len(texts) :] == [f"{k}:{t.index('{')}:{t.index('{') + len(v)}" for k, t, v in forms] + ["", ""]
 
 
+def test_pii_accepted_values_bring_in_their_other_patterns(spark):
+    number = lambda i: f"(0{600 + i}) 123 {4000 + i}"
+    texts = [f"please call us under +1 {200 + i} 555 {1000 + i} today" for i in range(40)]
+    texts += [f"please call us under {number(i)} today" for i in range(5)]
+    texts += [f"dial the hotline {number(i)} now" for i in range(5)] + ["dial the hotline (0777) 123 9999 now", "part (0777) 123 9998 now"]
+    texts += [f"server at 10.0.{i}.7 answers" for i in range(20)] + ["server at 2001:db8::7:1 answers", "alarm 12:30:45 rang"]
+    got = [x["spans"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got[40:45] == ["phone:21:36"] * 5 and got[45:51] == ["phone:17:32"] * 6 and got[51] == ""
+    assert got[72:] == ["ip:10:23", ""]
+
+
+def brute_bootstrap(texts, rounds=6, sure=0.8, support=5, doubt=0.2):
+    """All spans of each text, with the graph of patterns and values as plain dictionaries."""
+    import regex
+
+    names, seen, edges = dict(enumerate(pii.KINDS)), [], {}
+    for t in texts:
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_pii(t).split(",") if x)]
+        taken, spans = [(a, b) for _, a, b in base], []
+        for group in ((pii.MAIL, pii.HOST), (pii.NUMBER,), (pii.TOKEN,)):
+            new = [(m.start(), m.end()) for p in group for m in regex.finditer(p, t) if all(m.end() <= a or b <= m.start() for a, b in taken)]
+            spans += [(*x, False) for x in new]
+            taken += new
+        by_pattern = {}
+        for p in (pii.MAIL, pii.HOST, pii.NUMBER, pii.TOKEN, *pii.PATTERNS.values()):
+            by_pattern[p] = [m.span() for m in regex.finditer(p, t)]
+        marks = []
+        for a, b, kind in [*((a, b, k) for k, a, b in base), *((a, b, None) for a, b, _ in spans)]:
+            p = next(p for p in ([pii.PATTERNS[kind]] if kind else [pii.MAIL, pii.HOST, pii.NUMBER, pii.TOKEN]) if (a, b) in by_pattern[p])
+            ends, starts = [y for _, y in by_pattern[p] if y <= a], [x for x, _ in by_pattern[p] if x >= b]
+            plain = lambda w: re.sub("[0-9]+", "0", w.lower())
+            before = [plain(w) for w in re.split(r"[\x20\x09-\x0D]+", t[max(ends, default=0) : a]) if w]
+            after = [plain(w) for w in re.split(r"[\x20\x09-\x0D]+", t[b : min(starts, default=len(t))]) if w]
+            ps = [(1, before[-1])] if before else []
+            ps += [(2, before[-2], before[-1])] if len(before) > 1 else []
+            ps += [(3, before[-1], after[0])] if before and after else []
+            v, digits = t[a:b], sum(c.isdigit() for c in t[a:b])
+            shape = [k for k, ok in ((0, re.fullmatch("[^@]+@[^@]+", v)), (1, re.fullmatch(r"[0-9]+(\.[0-9]+){3}|[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{0,4}){2,7}", v)), (2, re.fullmatch("[0-9 -]+", v) and 12 <= digits <= 19), (3, re.fullmatch("[+0-9 ().-]+", v) and 7 <= digits <= 15)) if ok]
+            for x in ps:
+                edges.setdefault(x, {}).setdefault((v, kind), shape)
+            marks.append((a, b, v, kind))
+        seen.append((base, marks))
+    accepted = {}
+    for _ in range(rounds):
+        best = {}
+        for held in edges.values():
+            for k in range(4):
+                seeds = sum(kind == names[k] for _, kind in held)
+                mine = [accepted[v][1] for (v, kind), shape in held.items() if kind is None and k in shape and v in accepted and accepted[v][0] == k]
+                against = sum(kind is None and k in shape and v in accepted and accepted[v][0] != k for (v, kind), shape in held.items())
+                left = sum(kind is None and k in shape and v not in accepted for (v, kind), shape in held.items())
+                misfits = sum(kind is None and k not in shape for (_, kind), shape in held.items())
+                known = sum(kind is not None for _, kind in held)
+                score = round(1e6 * (seeds + sum(mine) / 1e6) / (known + sum(mine) / 1e6 + against + misfits + doubt * left + 0.5))
+                if seeds + len(mine) >= support and score >= sure * 1e6:
+                    for (v, kind), shape in held.items():
+                        if kind is None and k in shape:
+                            best[v] = max(best.get(v, (0, 0)), (score, -k))
+        found = {v: (-k, score) for v, (score, k) in best.items()}
+        done, accepted = len(found) == len(accepted), found
+        if done:
+            break
+    out = []
+    for base, marks in seen:
+        more = [(names[accepted[v][0]], a, b) for a, b, v, kind in marks if kind is None and v in accepted]
+        out.append(",".join(f"{k}:{a}:{b}" for k, a, b in sorted([*base, *more], key=lambda x: (pii.KINDS.index(x[0]), x[1]))))
+    return out
+
+
+def test_pii_against_brute_force(spark):
+    """Planted identifiers in prose: the same spans as by plain dictionaries, and nine in ten of the planted ones."""
+    r = random.Random(12)
+    vocab = "the of and number part order at by under on Line 12 item was seen long after".split()
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    forms = {"phone": [lambda: f"+49 {r.randint(100, 999)} {r.randint(10**6, 10**7)}", lambda: f"(0{r.randint(100, 999)}) {r.randint(100, 999)} {r.randint(1000, 9999)}", lambda: f"0{r.randint(100, 999)}-{r.randint(10**6, 10**7)}"], "email": [lambda: f"u{r.randint(1, 10**6)}@mail.example.org", lambda: f"user{r.randint(1, 10**6)}@intranet"], "ip": [lambda: f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.9", lambda: f"fe80::{r.randint(0, 9999)}:{r.randint(1, 99)}"]}
+    contexts = {"phone": ["reach us under {} daily", "Tel. {}", "mobile: {} (home)"], "email": ["write to {} soon", "mail: {}"], "ip": ["from host {} came", "client={}"]}
+    texts, planted = [], []
+    for _ in range(500):
+        parts, hidden = [prose(r.randint(0, 20))], []
+        for _ in range(r.randrange(3)):
+            kind = r.choice(list(forms))
+            which = r.choice([0, 0, *range(len(forms[kind]))])
+            value = forms[kind][which]()
+            hidden += [value] if which else []
+            parts += [r.choice(contexts[kind]).format(value), prose(r.randint(1, 12))]
+        parts += [f"{r.choice(vocab)} {r.randint(10**6, 10**9)} {prose(3)}"] * r.randrange(2)
+        texts.append(" ".join(parts))
+        planted.append(hidden)
+    got = [x["spans"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got == brute_bootstrap(texts)
+    found = [v in [t[int(a) : int(b)] for _, a, b in (x.split(":") for x in g.split(",") if x)] for t, g, hidden in zip(texts, got, planted) for v in hidden]
+    assert len(found) > 100 and sum(found) / len(found) >= 0.9
+
+
 def test_token_shards(spark, odd, empty, tmp_path):
     folder = f"file://{tmp_path}/shards"
     manifest = token_shards.write_shards(odd, folder)
