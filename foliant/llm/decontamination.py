@@ -3,7 +3,7 @@
 Items are the indexed side, each training passage (a window of words, half overlapping the next) is a query. Item
 scores are divided by the score that an item gets against itself, so one threshold holds for all. Postings lie in blocks
 of items; each term has its largest weight over all items and, sparsely, over each block that holds it. Terms of a window
-whose largest weights together stay below the threshold open no block by themselves; blocks of the other terms are dropped
+whose largest weights together stay below a part of the threshold open no block by themselves; blocks of the other terms are dropped
 when the sum of block maxima and of what those terms can add can't reach the threshold. In the blocks that are left, WAND
 runs: items by number, terms by their next item, and an item is scored only when the block maxima of the terms up to the
 pivot reach the threshold.
@@ -48,7 +48,11 @@ PASSAGE = 256
 DIVIDERS = string.punctuation + string.whitespace
 _DIVIDE = bytes(ord(" ") if chr(i) in DIVIDERS else i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Cells (window by block) that are summed at once.
-CELLS = 2_000_000
+CELLS = 500_000
+#: The terms of a window that open no block add less than this share of the threshold: below 1, so that few blocks are left to look at.
+OPEN = 0.4
+#: Words of short texts that are searched at once.
+AT_ONCE = 20_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -169,32 +173,25 @@ class Index:
                 lists = [x for x in lists if x[0] < end]
         return found
 
-    def open_blocks(self, half: np.ndarray, term: np.ndarray, n_halves: int, threshold: float) -> Iterator[tuple[int, int]]:
-        """(window, block) whose bounds reach the threshold. half, term: each half's terms, once each, in order of half.
+    def open_blocks(self, first: np.ndarray, term: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(window, block) whose bounds reach the threshold.
 
-        Window w is made of halves w and w + 1, the last one (or a lone half) of the last alone.
+        term: each half's terms, once each; first: where a half's terms begin; window w is made of the halves from lo[w] to hi[w].
         """
-        top = self.most[term]
-        per_half = np.bincount(half, top, n_halves)
-        bound = per_half[:-1] + per_half[1:] if n_halves > 1 else per_half
-        likely = np.flatnonzero(bound >= threshold - 1e-5)
-        if not len(likely):
-            return
-        first = np.searchsorted(half, np.arange(n_halves + 1))
-        step = max(1, CELLS // self.n_blocks)
+        top = np.r_[0.0, np.cumsum(self.most[term])]
+        likely = np.flatnonzero(top[first[hi]] - top[first[lo]] >= threshold - 1e-5)
+        step = max(1, CELLS // max(1, self.n_blocks))
         for i in range(0, len(likely), step):
             some = likely[i : i + step]
-            begin, stop = first[some], first[np.minimum(some + 2, n_halves)]
-            own = np.repeat(np.arange(len(some)), stop - begin)
+            begin, stop = first[lo[some]], first[hi[some]]
             t = term[ranges(begin, stop - begin)]
-            once = np.unique(own * len(self.most) + t)
+            once = np.unique(np.repeat(np.arange(len(some)), stop - begin) * len(self.most) + t)
             own, t = np.divmod(once, len(self.most))
             order = np.lexsort((self.most[t], own))
             own, t = own[order], t[order]
             sums = np.cumsum(self.most[t])
-            starts = np.searchsorted(own, np.arange(len(some) + 1))
-            base = np.r_[0.0, sums][starts[:-1]]
-            opens = sums - base[own] >= threshold - 1e-5  # the terms before stay below together
+            base = np.r_[0.0, sums][np.searchsorted(own, np.arange(len(some)))]
+            opens = sums - base[own] >= threshold * OPEN  # the terms before stay below that together
             rest = np.bincount(own[~opens], self.most[t[~opens]], len(some))
             low, low_first = t[~opens], np.searchsorted(own[~opens], np.arange(len(some) + 1))
             own, t = own[opens], t[opens]
@@ -202,55 +199,75 @@ class Index:
             at = ranges(self.first_block[t], sizes)
             cells = np.repeat(own, sizes) * self.n_blocks + self.blocks[at]
             total = np.bincount(cells, self.tops[at], len(some) * self.n_blocks)
-            open_ = np.flatnonzero((total > 0) & (total + np.repeat(rest, self.n_blocks) >= threshold - 1e-5))
-            if not len(open_):
-                continue
+            open_ = np.flatnonzero((total > 0) & (total >= np.repeat(threshold - 1e-5 - rest, self.n_blocks)))
             window, block = np.divmod(open_, self.n_blocks)
             begin, sizes = low_first[window], low_first[window + 1] - low_first[window]
             of = np.repeat(np.arange(len(open_)), sizes)
             at, there = self.block_at(low[ranges(begin, sizes)], block[of])  # what the other terms add in these blocks
             total = total[open_] + np.bincount(of[there], self.tops[at[there]], len(open_))
-            for w, b in zip(some[window[total >= threshold - 1e-5]].tolist(), block[total >= threshold - 1e-5].tolist()):
-                yield w, b
-
-    def search(self, text: bytes, threshold: float, window: int) -> dict[int, tuple[float, float, float]]:
-        """Place of an item -> (score, question overlap, answer overlap) of verified leaks, the best of all windows."""
-        words = words_of(text)
-        n = len(words)
-        out: dict[int, tuple[float, float, float]] = {}
-        if not n or not self.ids:
-            return out
+            stay = total >= threshold - 1e-5
+            yield from zip(some[window[stay]].tolist(), block[stay].tolist())
+
+    def search(self, texts: list[bytes], threshold: float, window: int) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
+        """(text, item, (score, question overlap, answer overlap)) of verified leaks, the best of all windows, by places of texts and items."""
+        if not self.ids:
+            return
+        n_words = 0
+        some: list[tuple[int, np.ndarray]] = []
+        for at, text in enumerate(texts):
+            words = words_of(text)
+            if words:
+                some.append((at, self.numbers(words)))
+                n_words += len(words)
+            if n_words >= AT_ONCE:
+                yield from self._search(some, threshold, window)
+                some, n_words = [], 0
+        yield from self._search(some, threshold, window)
+
+    def _search(self, some: list[tuple[int, np.ndarray]], threshold: float, window: int) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
+        if not some:
+            return
         step = max(1, window // 2)
-        terms = self.numbers(words)
-        n_halves = -(-n // step)
-        keys = terms + np.arange(n) // step * len(self.most)
-        half, term = np.divmod(np.unique(keys[terms > 0]), len(self.most))
+        sizes = np.array([len(t) for _, t in some])
+        halves = -(-sizes // step)
+        offset = np.r_[0, np.cumsum(halves)]
+        terms = np.concatenate([t for _, t in some])
+        half = np.repeat(offset[:-1], sizes) + ranges(np.zeros(len(some), np.int64), sizes) // step
+        half, term = np.divmod(np.unique((half * len(self.most) + terms)[terms > 0]), len(self.most))
+        first = np.searchsorted(half, np.arange(offset[-1] + 1))
+        n_windows = np.maximum(1, halves - 1)
+        of = np.repeat(np.arange(len(some)), n_windows)
+        lo = ranges(offset[:-1], n_windows)
+        hi = np.minimum(lo + 2, offset[of + 1])
         opened: dict[int, list[int]] = {}
-        for w, b in self.open_blocks(half, term, n_halves, threshold):
+        for w, b in self.open_blocks(first, term, lo, hi, threshold):
             opened.setdefault(w, []).append(b)
-        shingles: dict[int, np.ndarray] = {}
+        out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        shingles: dict[tuple[int, int], np.ndarray] = {}
         for w, blocks in opened.items():
-            own = np.unique(term[(half >= w) & (half < w + 2)])
-            s, e = w * step, min(n, (w + 2) * step)
+            own = np.unique(term[first[lo[w]] : first[hi[w]]])
             best: dict[int, float] = {}  # of an item and its passages
             for i, score in self.wand(own, blocks, threshold):
                 item = int(self.whole[i])
                 best[item] = max(score, best.get(item, 0.0))
+            d = int(of[w])
+            n, s = int(sizes[d]), int(lo[w] - offset[d]) * step
+            e = min(n, s + 2 * step)
             for item, score in best.items():
-                if out.get(item, (0.0,)) >= (score, 1.0, 1.0):
+                if out.get((d, item), (0.0,)) >= (score, 1.0, 1.0):
                     continue
                 left, right = max(0, s - self.lengths[item]), min(n, e + self.lengths[item])
                 shares = []
                 for k, part in self.parts[item]:
-                    if k not in shingles:
-                        shingles[k] = shingle_keys(terms, k)
-                    near = shingles[k][left : max(left, right - k + 1)]
+                    if (d, k) not in shingles:
+                        shingles[d, k] = shingle_keys(some[d][1], k)
+                    near = shingles[d, k][left : max(left, right - k + 1)]
                     shares.append(float(np.isin(part, near).mean()) if len(part) else 1.0)
-                if min(shares) >= self.overlap:
-                    found = (float(score), *shares)
-                    if item not in out or found > out[item]:
-                        out[item] = found
-        return out
+                found = (float(score), *shares)
+                if min(shares) >= self.overlap and found > out.get((d, item), (0.0,)):
+                    out[d, item] = found
+        for (d, item), found in out.items():
+            yield some[d][0], item, found
 
 
 _INDEXES: dict[object, Index] = {}
@@ -294,10 +311,9 @@ def _search(rows: DataFrame, benchmark: DataFrame, threshold: float, overlap: fl
                 index = _INDEXES[name] = Index(*shared.value, n_items, mean, overlap)
             for batch in batches:
                 at, out = [], []
-                for i, t in enumerate(utf8(batch.column(batch.num_columns - 1))):
-                    for item, x in index.search(t, threshold, wide).items():
-                        at.append(i)
-                        out.append((index.ids[item], *x))
+                for i, item, x in index.search(utf8(batch.column(batch.num_columns - 1)), threshold, wide):
+                    at.append(i)
+                    out.append((index.ids[item], *x))
                 if out:
                     kinds = [pa.int64()] + [pa.float64()] * 3
                     kept = batch.select(range(batch.num_columns - 1)).take(pa.array(at))
