@@ -14,12 +14,14 @@ that has any. All documents are scored, in whole.
 
 Cases: null text is an empty one, null language or source a value of its own; labels without quality don't count, and
 of several for one document the mean decides; without labels of both kinds nothing can be learned and all documents are
-kept with a null score; an empty table gives no row. Rows of one doc_id are scored each by its own text. The result has
+kept with a null score; an empty table gives no row. Very long texts and words are read in whole. Rows of one doc_id are scored each
+by its own text, and a label of such an id teaches by one of them, the first by hash. A tie at the threshold is kept. The result has
 the carried columns and quality_content, quality_metadata, quality_score, kept, which take the place of columns of these names.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
@@ -38,6 +40,7 @@ WORDS, SHAPES, TAGS = 1536, 509, 24
 DIM, META = WORDS + SHAPES + 3, 2 * TAGS + 9
 OWN = 12
 _SHAPE = bytes(ord("A") if 65 <= i <= 90 else ord("a") if 97 <= i <= 122 or i > 127 else ord("0") if 48 <= i <= 57 else i for i in range(256))
+_RUN = re.compile(rb"(.)\1{2,}", re.DOTALL)
 _CAPS, _DIGITS, _SPACES = (bytes(r) for r in (range(65, 91), range(48, 58), [32, *range(9, 14)]))
 _MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 DECISION = ["quality_content", "quality_metadata", "quality_score", "kept"]
@@ -45,8 +48,7 @@ DECISION = ["quality_content", "quality_metadata", "quality_score", "kept"]
 
 def slots(word: bytes) -> tuple[int, int]:
     """The features of a word: its own and its shape's, where runs of one kind are cut to two."""
-    shape = word.translate(_SHAPE)
-    short = bytes(c for i, c in enumerate(shape) if i < 2 or c != shape[i - 1] or c != shape[i - 2]) if len(shape) < 200 else shape[:2] + b"~"
+    short = _RUN.sub(rb"\1\1", word.translate(_SHAPE))
     return xxhash.xxh32_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh32_intdigest(short) % SHAPES
 
 
@@ -154,7 +156,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, surest: C
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of id and text), stratum (of language and source) and both views' features as packed numbers."""
+    """doc_id, key (of id, text, language and source), stratum (of language and source) and both views' features as packed numbers."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
@@ -163,7 +165,7 @@ def features(docs: DataFrame) -> DataFrame:
             for i, t, a, b in zip(ids, utf8(batch.column("text")), langs, sources):
                 x, m = content(t, known), metadata(t, a, b)
                 at = np.flatnonzero(x)
-                key = np.uint64(xxhash.xxh64_intdigest(t, (i or 0) % 2**64)).astype(np.int64)
+                key = np.uint64(xxhash.xxh64_intdigest(t, xxhash.xxh64_intdigest(repr((i, a, b))))).astype(np.int64)
                 rows.append((i, int(key), int(m[:TAGS].argmax() * TAGS + m[TAGS : 2 * TAGS].argmax()), at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes(), m.astype("<f8").tobytes()))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -260,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_label
     order = F.xxhash64("doc_id", F.lit("sample"))
     ids = seen.select("doc_id").where("doc_id is not null").distinct()
     sample = stash(ids.join(known, "doc_id").orderBy(order, "doc_id").limit(most_labelled), "sample")
-    rows = seen.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    first = F.min_by(F.struct(*(c for c in seen.columns if c != "doc_id"), "y"), "key").alias("row")  # of rows with one id always the same one
+    rows = seen.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(first).select("doc_id", "row.*").orderBy("doc_id").collect()
     y = np.array([r["y"] for r in rows], float)
     if len({*y}) < 2:
         return None
