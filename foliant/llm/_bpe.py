@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 
@@ -34,6 +35,58 @@ def pieces(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+#: Where a pre-token ends whatever stands further on: before white space, where letters or digits end, and where other signs
+#: but an apostrophe (of 's, 'll and the like) end.
+ENDS = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+LEAST, MOST = 16, 48
+
+
+class Splitter:
+    """Pieces of at most about `MOST` characters, where a text has places to cut at.
+
+    Beside those of ENDS a text is cut between two characters beyond ASCII, the first no white space, when no token of the vocabulary
+    holds the last byte of the one next to the first byte of the other: no merge reaches over such a place.
+    """
+
+    def __init__(self, tokenizer):
+        import regex
+
+        self.ends = regex.compile(ENDS)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.meets = np.zeros((256, 256), bool)
+        for token in tokenizer.get_vocab():
+            at = [byte_of.get(c) for c in token]
+            for a, b in zip(at, at[1:]):
+                if a is not None and b is not None:
+                    self.meets[a, b] = True
+
+    def cuts(self, piece: str) -> list[int]:
+        """Places in a long piece where its encoding falls apart, in order."""
+        found = {m.start() for m in self.ends.finditer(piece)}
+        if not piece.isascii():
+            code = np.frombuffer(piece.encode("utf-32-le"), "<u4")
+            data = np.frombuffer(piece.encode(), np.uint8)
+            first = np.flatnonzero((data & 0xC0) != 0x80)[1:]  # the first bytes of all characters but the first
+            apart = ~self.meets[data[first - 1], data[first]] & (code[:-1] > 127) & (code[1:] > 127)
+            found.update(i + 1 for i in np.flatnonzero(apart).tolist() if not piece[i].isspace())
+        return sorted(found)
+
+    def split(self, text: str) -> list[str]:
+        out = []
+        for piece in pieces(text):
+            if len(piece) <= MOST:
+                out.append(piece)
+                continue
+            at = 0
+            for cut in self.cuts(piece):
+                if cut - at >= LEAST and len(piece) - cut >= LEAST:
+                    out.append(piece[at:cut])
+                    at = cut
+            out.append(piece[at:])
+        return out
+
+
 class Pieces:
     """Ids of pieces as little-endian unsigned 16-bit bytes, by a tokenizer file of the tokenizers library.
 
@@ -47,6 +100,10 @@ class Pieces:
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.dtype = np.dtype("<u4") if wide or self.tokenizer.get_vocab_size() > 65536 else np.dtype("<u2")
 
+    @cached_property
+    def splitter(self) -> Splitter:
+        return Splitter(self.tokenizer)
+
     def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
         wanted = set().union(*texts)
         new = [p for p in wanted if p not in self.known]

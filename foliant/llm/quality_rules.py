@@ -4,7 +4,8 @@ Counts come from the text alone and stay in its row: no shuffle, no user functio
 than space and U+0009 to U+000D. A word counts as repeated when it lies in a window of three words whose hash (64 bits,
 of the words' own hashes) occurs twice or more in the text.
 
-Cases: null and empty texts have no words and fail the base rule on the number of words; further columns are left out;
+Cases: null and empty texts have no words and fail the base rule on the number of words; a very long text is measured in whole, its
+windows sorted within the row; a measure that equals its threshold passes; further columns are left out;
 repeated rows each get a row; an empty table gives none; a document without a doc_id gets a row with a null doc_id.
 """
 

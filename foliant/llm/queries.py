@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_shards, url_filter
-from foliant.llm._common import table
+from foliant.llm._common import stash, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts before and after three edits of every document: a note put in, a passage taken out, an end replaced."""
+    """Counts before and after three edits of every document: a note put in, a passage taken out, an end replaced.
+
+    The trees are built and kept in a table with their texts; the edits start from that table.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
 
@@ -21,7 +24,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     third, half = F.floor(n / 3), F.floor(n / 2)
     edits = F.array(edit(third, third, " [see note] "), edit(half, half + F.least(F.lit(40), F.floor(n / 8)), ""), edit(F.floor(n * 3 / 4), F.floor(n * 3 / 4) + 10, "as revised in this edition"))
-    return token_counts.apply_edits(docs.withColumn("edits", edits), leaves=False)
+    kept = stash(token_counts.build_trees(docs, carry=["text"]), "trees", compression="zstd")
+    return token_counts.apply_edits(kept.withColumn("edits", edits), leaves=False, trees=True)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

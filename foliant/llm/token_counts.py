@@ -1,14 +1,18 @@
 """Edit-aware token counts.
 
-Each document keeps a segment tree: leaves are runs of pre-tokens between lone spaces with their length and token count,
-in blocks of up to 64; the inner nodes hold sums over the blocks. An edit finds its blocks by descending the sums,
+Each document keeps a segment tree: leaves are pre-tokens or short runs of them (cut at lone spaces, and longer ones at
+pre-token ends and where no merge can reach over) with their length and token count, in blocks of up to 64; the inner nodes hold sums over the blocks. An edit finds its blocks by descending the sums,
 encodes again only the leaves that it touches and those whose boundary it may move, and renews the sums on the paths from
 the changed blocks to the root. The count after any number of edits equals that of the edited text encoded whole.
 
 Edits are (start, end, replacement) in code points of the text as it is when the edit's turn comes; start and end are
 brought into the text, a null replacement deletes, a null start or end skips the edit.
 
-Cases: null text counts as an empty one; an empty table gives no row; further columns are left out.
+Trees are built once and kept in a table beside the texts (`build_trees(..., carry=...)` and `stash`); later edits start from it.
+
+Cases: null text counts as an empty one; a very long text has more blocks, and an edit of it costs no more; a run of one script
+that merges can reach over everywhere is one leaf, whatever its length; repeated rows each get a row and take the same edits; edits
+are applied in order of seq, of equal seq in order of place; an empty table gives no row; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliant.llm._bpe import default_tokenizer, loaded, pieces
-from foliant.llm._common import bound_batches
+from foliant.llm._bpe import Pieces, default_tokenizer, loaded
+from foliant.llm._common import bound_batches, fresh
 
 BLOCK = 64
 
@@ -110,14 +115,17 @@ class SegmentTree:
 
 
 class Counted:
-    """A text with its tree; count gives the token counts of pieces."""
+    """A text with its tree, by an encoder."""
+
+    def __init__(self, text: str, encoder: Pieces, tree: SegmentTree | None = None):
+        self.text, self.encoder, self.encoded = text, encoder, 0
+        self.tree = tree or SegmentTree(*self.counted(text))
 
-    def __init__(self, text: str, count, tree: SegmentTree | None = None):
-        self.text, self.count, self.encoded = text, count, 0
-        if tree is None:
-            parts = pieces(text)
-            tree = SegmentTree([len(p) for p in parts], count(parts))
-        self.tree = tree
+    def counted(self, text: str) -> tuple[list[int], list[int]]:
+        """Lengths and token counts of the text's leaves."""
+        parts = self.encoder.splitter.split(text)
+        known, width = self.encoder.learn([parts]), self.encoder.dtype.itemsize
+        return [len(p) for p in parts], [len(known[p]) // width for p in parts]
 
     def edit(self, start: int, end: int, new: str) -> None:
         size = len(self.text)
@@ -130,39 +138,32 @@ class Counted:
             first, last, left, right = self.tree.region(start, end)
             head, tail, left, right = self.tree.narrow(first, last, left, right, start, end)
         again = self.text[left:start] + new + self.text[end:right]
-        parts = pieces(again)
         self.encoded += len(again)
-        self.tree.replace(first, last, head, tail, [len(p) for p in parts], self.count(parts))
+        self.tree.replace(first, last, head, tail, *self.counted(again))
         self.text = self.text[:start] + new + self.text[end:]
 
 
-def counter(tokenizer: str):
-    encoder = loaded(tokenizer)
-
-    def count(parts: list[str]) -> list[int]:
-        known, width = encoder.learn([parts]), encoder.dtype.itemsize
-        return [len(known[p]) // width for p in parts]
-
-    return count
-
-
-TREE = "doc_id long, n_tokens long, lens array<int>, counts array<int>"
 EDITED = "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long, lens array<int>, counts array<int>"
 
 
-def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The leaves of every document's tree, to be kept beside the documents."""
+def build_trees(docs: DataFrame, tokenizer: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the carried columns (none, if not given), n_tokens, and lens and counts, the leaves of every document's tree."""
     tokenizer = tokenizer or default_tokenizer()
     bound_batches(docs.sparkSession)
+    carry = [c for c in carry or [] if c not in ("doc_id", "n_tokens", "lens", "counts")]
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("_in"), F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"`{c}`") for c in carry))
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("n_tokens", T.LongType()), T.StructField("lens", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        encoder = loaded(tokenizer)
         for batch in batches:
-            rows = [(i, c.tree.n_tokens, *c.tree.leaves()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in [Counted(t or "", count)]]
-            if rows:
-                yield to_batch(rows, TREE)
+            if batch.num_rows:
+                leaves = [Counted(t, encoder) for t in batch.column(0).to_pylist()]
+                lens, counts = zip(*(c.tree.leaves() for c in leaves))
+                own = [pa.array([c.tree.n_tokens for c in leaves], pa.int64()), pa.array(lens, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, TREE)
+    return rows.mapInArrow(build, schema)
 
 
 def to_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -171,36 +172,39 @@ def to_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], list(names))
 
 
-def apply_edits(rows: DataFrame, tokenizer: str | None = None, leaves: bool = True) -> DataFrame:
-    """Counts before and after the edits of each row's column edits, array<struct<start, end, replacement>>.
+def apply_edits(rows: DataFrame, tokenizer: str | None = None, leaves: bool = True, trees: bool = False, edits: str = "edits") -> DataFrame:
+    """Counts before and after the edits of each row's column `edits`, array<struct<start, end, replacement>>.
 
-    rows holds doc_id, text, edits, and lens and counts from build_trees where these are at hand; without them the
-    tree is built first. leaves=False leaves the trees out of the result.
+    rows holds doc_id, text and edits, and, where trees is set, lens and counts from build_trees; without them (or where they are
+    null) the tree is built first. leaves=False leaves the trees out of the result.
     """
     tokenizer = tokenizer or default_tokenizer()
     bound_batches(rows.sparkSession)
-    kept = {"lens", "counts"} <= set(rows.columns)
     schema = EDITED if leaves else EDITED.partition(", lens")[0]
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer)
+        encoder = loaded(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text, edits, *tree in zip(*(c.to_pylist() for c in batch.columns)):
-                c = Counted(text or "", count, SegmentTree(*tree) if kept and None not in tree else None)
+            for doc_id, text, changes, *tree in zip(*(c.to_pylist() for c in batch.columns)):
+                c = Counted(text or "", encoder, SegmentTree(*tree) if tree and None not in tree else None)
                 before = c.tree.n_tokens
-                for e in edits or ():
+                for e in changes or ():
                     if e and None not in (e["start"], e["end"]):
                         c.edit(e["start"], e["end"], e["replacement"] or "")
                 out.append((doc_id, before, c.tree.n_tokens, len(c.text), c.encoded, *(c.tree.leaves() if leaves else ())))
             if out:
                 yield to_batch(out, schema)
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits", *(["lens", "counts"] if kept else [])).mapInArrow(edit, schema)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(f"`{edits}`"), *(["lens", "counts"] if trees else [])).mapInArrow(edit, schema)
 
 
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the rows (doc_id, seq, start, end, replacement) of edits as column edits, in order of seq; the many
-    edits of one document meet in its row, since each changes the text that the next one sees."""
-    packed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))).alias("edits"))
-    return docs.join(packed.withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["replacement"].alias("replacement")))), "doc_id", "left")
+def with_edits(docs: DataFrame, edits: DataFrame, name: str = "edits") -> DataFrame:
+    """docs with the rows (doc_id, seq, start, end, replacement) of edits as the column `name`, which takes the place of one of this
+    name; the many edits of one document meet in its row, since each changes the text that the next one sees."""
+    in_order = F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement")))
+    change = lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["replacement"].alias("replacement"))
+    key, packed = fresh(docs.columns, "_doc_id", "_packed")
+    found = edits.groupBy(F.col("doc_id").alias(key)).agg(F.transform(in_order, change).alias(packed))
+    joined = docs.join(found, F.col("doc_id") == F.col(key), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != name), F.col(packed).alias(name))

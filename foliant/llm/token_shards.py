@@ -10,8 +10,8 @@ fixed size. A document is found by the filter, a binary search in the index and
     value   ids as little-endian unsigned integers of `width` bytes, the end id included
     footer  offsets and lengths of index and filter, documents, ids, width, magic
 
-Cases: a null text is an empty one and gives the end id alone; rows of one doc_id stay apart, in order of their texts'
-hashes; an empty table makes no shard and no row; further columns are left out.
+Cases: a null text is an empty one and gives the end id alone; a very long text is one entry, in a block of its own size; rows of one
+doc_id stay apart, in order of their texts' hashes, and if many fill several shards their numbers start anew in each; an empty table makes no shard and no row; further columns are left out.
 """
 
 from __future__ import annotations

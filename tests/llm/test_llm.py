@@ -54,22 +54,47 @@ def test_pieces(text):
     assert np.frombuffer(loaded(default_tokenizer()).encode([text])[0], "<u2").tolist() == tokens(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abé漢字仮名カタ。、'sre.,!*\n\t  \xa0²1\u3000😀한글ב"), max_size=300))
+def test_split(text):
+    encoder = loaded(default_tokenizer())
+    parts = encoder.splitter.split(text)
+    assert "".join(parts) == text
+    assert [i for p in parts for i in tokens(p)] == tokens(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(ALPHABET, st.lists(st.tuples(st.integers(0, 90), st.integers(0, 90), ALPHABET), max_size=4))
 def test_edits(text, edits):
-    c = token_counts.Counted(text, token_counts.counter(default_tokenizer()))
+    c = token_counts.Counted(text, loaded(default_tokenizer()))
     for start, end, new in edits:
         c.edit(start, end, new)
         assert (c.tree.n_tokens, c.tree.n_chars) == (len(tokens(c.text)), len(c.text))
 
 
-def test_edits_of_a_long_text_encode_little():
-    c = token_counts.Counted("some words of prose, " * 5000, token_counts.counter(default_tokenizer()))
-    c.edit(50_000, 50_003, "new")
-    assert c.encoded < 60 and c.tree.n_tokens == len(tokens(c.text))
+@pytest.mark.parametrize("seed", range(6))
+def test_edits_over_many_blocks(seed):
+    r = random.Random(seed)
+    bits = ["word", " ", " ", "\n", "漢字", "仮名", "it's", ", ", "  ", "1234", "!?", "é", "x" * 70, "カタカナ" * 20, "\t"]
+    some = lambda n: "".join(r.choice(bits) for _ in range(r.randint(0, n)))
+    c = token_counts.Counted(some(4000), loaded(default_tokenizer()))
+    for _ in range(25):
+        start = r.randint(0, len(c.text) + 5)
+        c.edit(start, start + r.choice([0, 0, 1, 5, 300]), some(r.choice([0, 1, 3, 400])))
+        assert (c.tree.n_tokens, c.tree.n_chars) == (len(tokens(c.text)), len(c.text))
+        lens, counts = c.tree.leaves()
+        assert (sum(lens), sum(counts)) == (c.tree.n_chars, c.tree.n_tokens)
+
+
+@pytest.mark.parametrize("text", ["some words of prose, " * 5000, "word\nnext\n" * 10_000, "".join(chr(0x4E00 + 7 * i % 5000) for i in range(100_000)), "語" * 100_000, "これは長い文章です。" * 10_000, "dot.dot;" * 12_000])
+def test_edits_of_a_long_text_encode_little(text):
+    c = token_counts.Counted(text, loaded(default_tokenizer()))
+    c.edit(50_000, 50_002, "new")
+    assert c.encoded < 200 and c.tree.n_tokens == len(tokens(c.text))
 
 
 def test_token_counts_rows(spark, odd, empty):
+    odd = odd.selectExpr("*", "'x' as lens", "'y' as counts", "1 as edits", "2 as _packed")
     edits = spark.createDataFrame([(3, 1, 0, 0, "new "), (3, 0, 0, 2, None), (4, 0, None, 2, "x")], "doc_id long, seq int, start int, end int, replacement string")
     rows = token_counts.apply_edits(token_counts.with_edits(odd, edits)).collect()
     assert len(rows) == odd.count()
@@ -78,11 +103,29 @@ def test_token_counts_rows(spark, odd, empty):
         by.setdefault(r["doc_id"], []).append((r["n_tokens"], r["n_tokens_edited"]))
     assert sorted(by[3]) == sorted([(len(tokens("\n\n\n")), len(tokens("new \n"))), (len(tokens("other")), len(tokens("new her")))])
     assert by[4] == [(len(tokens("word")),) * 2]
-    kept = token_counts.build_trees(odd.where("doc_id = 7")).join(odd.select("doc_id", "text"), "doc_id").withColumn("edits", F.expr("array(struct(1L as start, 2L as end, 'zz' as replacement))"))
-    assert token_counts.apply_edits(kept).first()["n_tokens_edited"] == len(tokens("ézz 😀 a b c"))
+    assert len(by[10]) == 2 and by[10][0] == by[10][1]
+    kept = token_counts.build_trees(odd.where("doc_id = 7"), carry=["text", "lang", "lens"]).withColumn("edits", F.expr("array(struct(1L as start, 2L as end, 'zz' as replacement))"))
+    assert kept.columns == ["doc_id", "text", "lang", "n_tokens", "lens", "counts", "edits"]
+    first = token_counts.apply_edits(kept, trees=True).first()
+    assert first["n_tokens_edited"] == len(tokens("ézz 😀 a b c"))
+    again = spark.createDataFrame([(7, "ézz 😀 a b c", first["lens"], first["counts"], None)], "doc_id long, text string, lens array<int>, counts array<int>, edits array<struct<start:long,end:long,replacement:string>>")
+    assert token_counts.apply_edits(again, trees=True).first()["n_tokens"] == first["n_tokens_edited"]
     assert token_counts.apply_edits(token_counts.with_edits(empty, edits)).count() == 0
 
 
+def test_token_counts_query(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no driver tables")
+    texts = {x["doc_id"]: x["text"] or "" for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for x in queries.QUERIES["op1_token_counts"](spark, SF).collect():
+        t = texts[x["doc_id"]]
+        n = len(t)
+        edited = t[: n // 3] + " [see note] " + t[n // 3 :]
+        edited = edited[: n // 2] + edited[n // 2 + min(40, n // 8) :]
+        edited = edited[: n * 3 // 4] + "as revised in this edition" + edited[n * 3 // 4 + 10 :]
+        assert (x["n_tokens"], x["n_tokens_edited"], x["n_chars_edited"]) == (len(tokens(t)), len(tokens(edited)), len(edited))
+
+
 def test_quality_rules_rows(spark, odd, empty):
     rows = quality_rules.quality_rules(odd).collect()
     assert len(rows) == odd.count() and not any(r["kept"] for r in rows)
@@ -613,3 +656,130 @@ def test_pipeline(spark):
     for s, g in zip(names, goal):
         longest = max(len(texts[d].encode().split()) for d in clean if source[d] == s)
         assert sum(len(texts[x["doc_id"]].encode().split()) for x in out if source[x["doc_id"]] == s) == pytest.approx(g, abs=longest)
+
+
+def plain_stages(spark, docs, labels, items):
+    """What each stage leaves, in plain Python, of rows as dictionaries; the classifier's verdicts are its own."""
+    frame = spark.createDataFrame(docs, PIPE)
+    scored = quality_classifier.score(frame, quality_classifier.train(frame, labels), frame.columns)
+    rows = [x.asDict() for x in scored.where("kept").select(frame.columns).collect()]
+    yield rows
+    fp, near = [brute_fingerprint(x["text"]) for x in rows], list(range(len(rows)))
+    while True:
+        least = [min(near[j] for j in range(len(rows)) if (fp[i] ^ fp[j]).bit_count() <= 4) for i in range(len(rows))]
+        if least == near:
+            break
+        near = least
+    groups = {}
+    for x, k in zip(rows, near):
+        groups.setdefault(k, []).append(x)
+    yield groups.values()
+
+
+PIPE = "doc_id long, text string, lang string, source string, n_chars long, copies long, _k1 string, Size string"
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    r = random.Random(31)
+    vocab = [f"w{i}" for i in range(300)]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, prose(20)) for i in range(6)]
+    rows = []
+    for i in range(160):
+        text = r.choice([None, "", prose(3), prose(60), prose(60), prose(200)]) if i % 10 else prose(5000)
+        if i % 9 == 0:
+            text = f"{prose(40)} {items[i % 6][1]} {prose(40)}"
+        if i % 4 == 0 and text:
+            text = " ".join(w + "###" for w in text.split())
+        rows.append((r.choice([None, i // 3, i]), text, r.choice([None, "en"]), r.choice([None, "a", "b"]), i, 5, "k", "s"))
+    rows += rows[::7] + [(None if i % 2 else 900 + i, *rows[40][1:]) for i in range(20)]
+    return rows, items
+
+
+def test_pipeline_stages_against_plain_python(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    docs, items = corpus
+    frame, bench = spark.createDataFrame(docs, PIPE), spark.createDataFrame(items, "item_id long, text string")
+    labels = spark.createDataFrame([(d[0], int("###" not in (d[1] or ""))) for d in docs[:90]], "doc_id long, quality int")
+    for name, t in (("benchmark", bench), ("labels", labels)):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    row = lambda x: tuple(x[c] for c in frame.columns)
+    key = lambda x: repr(x)
+    kept = stages["quality"](spark, frame, str(tmp_path))
+    plain = plain_stages(spark, docs, labels, items)
+    want = next(plain)
+    assert sorted(map(row, kept.collect()), key=key) == sorted(map(row, want), key=key) and 50 < len(want) < len(docs)
+    one = stages["near_duplicates"](spark, kept, str(tmp_path))
+    left = sorted(map(row, one.collect()), key=key)
+    groups = [[row(x) for x in g] for g in next(plain)]
+    assert len(left) == len(groups)
+    for g in groups:
+        stays = [x for x in left if x in g]
+        ids = [x[0] for x in g if x[0] is not None]
+        assert len(stays) == 1 and stays[0][0] == (min(ids) if ids else None)
+    clean = stages["decontaminate"](spark, one, str(tmp_path))
+    leaking = {d for d, *_ in brute_leaks(list(enumerate(x[1] for x in left)), items)}
+    clean_rows = [x for i, x in enumerate(left) if i not in leaking]
+    assert leaking and sorted(map(row, clean.collect()), key=key) == clean_rows
+    mixed = sorted(map(row, stages["mix"](spark, clean, str(tmp_path)).collect()), key=key)
+    size = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x[1] or ""))
+    sources = sorted({x[3] for x in clean_rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(size(x) for x in clean_rows if x[3] == s) for s in sources]
+    for s, n, g in zip(sources, sizes, brute_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sources))])):
+        of, number, bins = [x for x in clean_rows if x[3] == s], {}, {}
+        for x in of:
+            same = (x[0], x[1])
+            number[same] = number.get(same, -1) + 1
+            at = f"{'' if x[0] is None else x[0]}:{hashlib.md5((x[1] or '').encode()).hexdigest()}:{number[same]}:7"
+            bins.setdefault(int(hashlib.md5(at.encode()).hexdigest()[:7], 16) % 4096, []).append(x)
+        whole = int(g / n + 1e-12) if n else 0
+        cuts = [(abs(sum(size(x) for b in bins if b < e for x in bins[b]) - (g - whole * n)), e) for e in {0, *(b + 1 for b in bins)}]
+        copies = [x for b in bins for x in bins[b] for _ in range((whole + (b < min(cuts)[1])) * (size(x) > 0))]
+        assert sorted((x for x in mixed if x[3] == s), key=key) == sorted(copies, key=key)
+    again = spark.createDataFrame(mixed, PIPE)
+    out = sorted(stages["shards"](spark, again, str(tmp_path)).collect(), key=lambda x: x["start"])
+    at = 0
+    for x in out:
+        assert x["start"] == at
+        at += x["n_tokens"]
+    ids = [(x[0], [*tokens(x[1]), 0]) for x in mixed]
+    assert sorted(((x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in out), key=key) == sorted(((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in ids), key=key)
+    assert [x["doc_id"] is not None for x in out] == sorted(x["doc_id"] is not None for x in out)
+
+
+def test_pipeline_stages_of_an_empty_table(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], PIPE)
+    for name, schema in (("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (k == 4 or out.columns == empty.columns)
+
+
+def test_equal_rows_get_numbers(spark):
+    from foliant.llm._common import number_equals
+
+    rows = spark.createDataFrame([(i % 3, None if i % 2 else 1, i) for i in range(60)] + [(9, 9, 60)], "a long, b long, c long").repartition(5)
+    got = number_equals(rows, ["a", "b"], "n").collect()
+    by = {}
+    for x in got:
+        by.setdefault((x["a"], x["b"]), []).append(x["n"])
+    assert len(got) == 61 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_repeated_rows_of_line_dedup_and_mixing(spark, tmp_path):
+    a = "one\ntwo\nthree\nfour"
+    rows = [(1, a, "s")] * 3 + [(None, a, "s"), (2, "x\n" + a, "s"), (2, "y\n" + a, None), (None, None, None), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    os.mkdir(tmp_path / "sf")
+    os.rename(next((tmp_path / "d").glob("part-*.parquet")), tmp_path / "sf" / "documents.parquet")
+    for name in ("op9_line_dedup", "op3_mixing"):
+        compare(spark, name, queries.QUERIES[name], queries.ORACLES[name], sf=str(tmp_path / "sf"))
+    null_ids = spark.createDataFrame([(None, "a b c d", "s1")] * 3000 + [(1, "x y", "s2")] * 4000, "doc_id long, text string, source string")
+    for x in mixing.mix(null_ids).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect():
+        assert x["t"] == pytest.approx(x["g"], abs=40)
