@@ -10,77 +10,57 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: What a reply is made of, for brackets: strings (the last one may lack its end) and the brackets outside them.
+PARTS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}\[\]]', re.DOTALL)
+FENCE = re.compile(r"\A```(?:json)?\s*|\s*```\s*\Z", re.IGNORECASE)
+PAIR = {"{": "}", "[": "]"}
 
-def first_object(text: str, start: int) -> int:
-    """The end of the object that begins at start, or -1."""
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if quoted:
-            skip, quoted = c == "\\" and not skip, quoted if skip or c != '"' else False
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return i + 1
-    return -1
 
-
-def cut_back(text: str, upto: int | None = None):
-    """The value of text cut after the last container that closed before upto, with the open ones closed; None if none did."""
-    stack: list[str] = []
-    quoted = skip = False
-    safe = None
-    for i, c in enumerate(text[:upto]):
-        if quoted:
-            skip, quoted = c == "\\" and not skip, quoted if skip or c != '"' else False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]":
-            if stack:
-                stack.pop()
-            safe = i + 1, "".join(reversed(stack))
-    if safe is None or safe[0] >= len(text) and not safe[1]:
-        return None
-    try:
-        return json.loads(text[: safe[0]] + safe[1])
-    except ValueError:
-        return None
+def brackets(text: str) -> Iterator[tuple[int, str]]:
+    """(end, closing brackets still owed) after each closing bracket outside strings."""
+    owed = ""
+    for part in PARTS.finditer(text):
+        mark = part[0]
+        if mark in PAIR:
+            owed = PAIR[mark] + owed
+        elif mark in ("}", "]"):
+            owed = owed[1:]
+            yield part.end(), owed
 
 
-def lenient(text: str):
-    """The value after small mistakes are put right: trailing commas, raw line ends in strings; None if that isn't enough."""
+def decoded(text: str, **how) -> tuple[object, int]:
+    """The value that text begins with, or None, and how far it could be read."""
     try:
-        return json.loads(re.sub(r",\s*([}\]])", r"\1", text), strict=False)
-    except ValueError:
-        return None
+        value, end = json.JSONDecoder(**how).raw_decode(text)
+        return value, end
+    except json.JSONDecodeError as e:
+        return None, e.pos
 
 
-def parse(text: str):
-    """The value, by the first way that works: as it is, cut back before the error, with mistakes put right."""
-    try:
-        return json.loads(text)
-    except json.JSONDecodeError as e:
-        found = cut_back(text, e.pos)
-        return found if found is not None else lenient(text)
+def ways(text: str) -> Iterator[object]:
+    """The text as a value: as it is, whole up to the last container that closed before the fault, with small mistakes put right."""
+    value, read = decoded(text)
+    yield value if read == len(text) else None
+    last = None
+    for end, owed in brackets(text):
+        if end > read:
+            break
+        last = end, owed
+    if last and (last[0] < len(text) or last[1]):
+        yield decoded(text[: last[0]] + last[1])[0]
+    yield decoded(re.sub(r",(?=\s*[}\]])", "", text), strict=False)[0]
 
 
 def extract_object(raw: str | None) -> dict | None:
-    """The first object of a reply: the balanced one, else all from the first brace to the last, cut back."""
-    text = re.sub(r"\s*```\s*$", "", re.sub(r"^```(?:json)?\s*", "", raw or "", flags=re.I)).strip()
-    start = text.find("{")
-    if start < 0:
-        return None
-    end = first_object(text, start)
-    found = parse(text[start:end]) if end > 0 else None
-    if found is None and text.rfind("}") > start:
-        found = parse(text[start : text.rfind("}") + 1])
-    return found if isinstance(found, dict) else None
+    """The first object of a reply: the balanced one, else all from the first brace to the last."""
+    text = FENCE.sub("", raw or "")
+    text = text[text.find("{") :] if "{" in text else ""
+    whole = next((end for end, owed in brackets(text) if not owed), 0)
+    for candidate in (text[:whole], text[: text.rfind("}") + 1]):
+        found = next((v for v in ways(candidate) if v is not None), None) if candidate else None
+        if found is not None:
+            return found if isinstance(found, dict) else None
+    return None
 
 
 @F.pandas_udf(StringType())

@@ -13,9 +13,9 @@ BULLETS_2 = "◦○□⁃∙·–—"
 # Code points that stand for a bullet in fonts without a character map.
 CID_BULLETS = (8, 108, 110, 127, 129, 149, 155, 164, 165, 167, 168, 183, 216, 252, 8226, 8227, 9679, 9702, 61607, 61623)
 #: White space as Unicode has it, for Java's regular expressions, which know ASCII alone by \s.
-_FAR = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
+_FAR = "\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\u2000-\u200a"
 WS = rf"\x09-\x0d\x1c-\x20{_FAR}"
-INVISIBLE = f"{chr(0x200B)}-{chr(0x200D)}{chr(0xFEFF)}"
+INVISIBLE = "\u200b-\u200d\ufeff"
 
 
 def let(value: Column, body) -> Column:
@@ -74,7 +74,7 @@ def is_all_caps_text(c: Column) -> Column:
 
 GLYPH = rf"^[{WS}]*([{BULLETS_1}{BULLETS_2}*+])[{WS}]*"
 DASH = rf"^[{WS}]*[-‐][{WS}]+"
-LETTER_O = rf"^[{WS}]*o(?:\t+| {{2,}}|{chr(0xA0)}+| (?=[A-Z(]))[{WS}]*"
+LETTER_O = rf"^[{WS}]*o(?:\t+| {{2,}}|\xa0+| (?=[A-Z(]))[{WS}]*"
 NUMBERED = rf"^[{WS}]*(?:\(?[0-9]{{1,2}}[.)]|\(?[a-z][.)])[{WS}]+"
 
 

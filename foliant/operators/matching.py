@@ -9,17 +9,13 @@ from foliant.functions import text as X
 from foliant.operators.tracker import js_round
 
 # Words that are no keyword of a posting.
-STOPWORDS = tuple(dict.fromkeys((
-    "the a an and or but if then for of to in on with at by "
-    "from as is are was were be been being this that these those "
-    "you your we our they their it its will can may must should "
-    "have has had do does did not no yes who what which when where "
-    "how why into about than also etc including other such all any "
-    "per via using use used across within role job work "
-    "years year experience experienced team teams ability strong excellent "
-    "company looking preferred required requirements responsibilities "
-    "candidate candidates plus well"
-).split()))
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "then", "for", "of", "to", "in", "on", "with", "at", "by", "from", "as", "is", "are", "was", "were", "be", "been", "being", "this", "that",
+    "these", "those", "you", "your", "we", "our", "they", "their", "it", "its", "will", "can", "may", "must", "should", "have", "has", "had", "do", "does", "did", "not", "no", "yes", "who",
+    "what", "which", "when", "where", "how", "why", "into", "about", "than", "also", "etc", "including", "other", "such", "all", "any", "per", "via", "using", "use", "used", "across",
+    "within", "role", "job", "work", "years", "year", "experience", "experienced", "team", "teams", "ability", "strong", "excellent", "company", "looking", "preferred", "required",
+    "requirements", "responsibilities", "candidate", "candidates", "plus", "well",
+)
 TOKEN = "[a-z0-9][a-z0-9+.#/-]{1,}"
 
 # Spellings of one skill.

@@ -127,16 +127,78 @@ def line(n, text, **more):
     return {**base, **more}
 
 
-def test_folds(spark):
-    parts = cleaning.dehyphenate([line(0, "built the Python-"), line(1, "based cross-"), line(2, "team tool"), line(3, "end-")])
-    assert [x["text"] for x in parts] == ["built the Pythonbased cross-team tool", "end-"]
-    wrapped = [line(0, "improving response accuracy by", fills_width=True), line(1, "38% in all."), line(2, "Next line")]
-    assert [x["text"] for x in cleaning.join_wrapped(wrapped)] == ["improving response accuracy by 38% in all.", "Next line"]
-    bullets = [line(0, "a duty that goes on and on", bullet=True, bullet_level=2, x0=10.0, text_x0=20.0), line(1, "over here", x0=20.0)]
-    assert [x["text"] for x in cleaning.join_bullets(bullets)] == ["a duty that goes on and on over here"]
-    frame = spark.createDataFrame([{"doc_id": 1, **x} for x in wrapped], f"doc_id long, {cleaning.LINE}")
-    assert [r["text"] for r in cleaning.fold_lines(frame, "pdfplumber").orderBy("line_no").collect()] == ["improving response accuracy by 38% in all.", "Next line"]
-    assert cleaning.fold_lines(frame).count() == 3
+def folded(spark, rows, method="pdfplumber"):
+    frame = spark.createDataFrame([{"doc_id": 1, **x} for x in rows], f"doc_id long, {cleaning.LINE}")
+    return [r["text"] for r in cleaning.fold_lines(frame, method).orderBy("line_no").collect()]
+
+
+def test_broken_words(spark):
+    rows = [line(0, "built the Python-"), line(1, "based cross-"), line(2, "team TOOL", bold=True), line(3, "a devel-"), line(4, "opment"), line(5, "end-")]
+    frame = spark.createDataFrame([{"doc_id": 1, **x} for x in rows], f"doc_id long, {cleaning.LINE}")
+    got = cleaning.dehyphenate(frame).orderBy("line_no").collect()
+    assert [(r["text"], r["bold"]) for r in got] == [("built the Pythonbased cross-team TOOL", True), ("a development", False), ("end-", False)]
+
+
+LONG = "improving response accuracy by"
+
+
+@pytest.mark.parametrize(
+    "first, second, joined",
+    [
+        (dict(fills_width=True), {}, True),
+        (dict(fills_width=True), dict(text="38% In all."), True),
+        ({}, {}, False),  # nothing says that the first line ran out of room
+        (dict(x1=200.0, col_right=215.0), dict(text="38% in all.", x1=66.0), True),  # a word of 3 and a blank, 6 wide each, ends at 224
+        (dict(x1=200.0, col_right=221.1), dict(text="38% in all.", x1=66.0), False),  # half a character's slack
+        (dict(x1=200.0), dict(text="38% in all.", x1=66.0), True),  # no column: the wider of both
+        (dict(x1=60.0), dict(text="38% in all.", x1=100.0), False),
+        (dict(fills_width=True), dict(x0=4.0), False),
+        (dict(fills_width=True), dict(page=2), False),
+        (dict(fills_width=True), dict(size=13.0), False),
+        (dict(fills_width=True), dict(gap_before=0.7), False),
+        (dict(fills_width=True), dict(bullet=True), False),
+        (dict(fills_width=True, heading=True), {}, False),
+        (dict(fills_width=True, text="a\ttab in a line that is long"), {}, False),
+        (dict(fills_width=True, text="too short"), {}, False),
+        (dict(fills_width=True, text=LONG + " it."), dict(text="Next"), False),
+        (dict(fills_width=True, text=LONG + " it."), dict(text="next"), True),
+        (dict(fills_width=True, text=LONG + " (2019)"), dict(text="Next"), False),
+    ],
+)
+def test_wrapped_lines(spark, first, second, joined):
+    rows = [line(0, **{"text": LONG, **first}), line(1, **{"text": "38% in all.", **second})]
+    assert len(folded(spark, rows)) == (1 if joined else 2)
+
+
+def test_wrapped_lines_go_on(spark):
+    rows = [line(0, LONG, fills_width=True), line(1, "more and more until"), line(2, "THE END"), line(3, "Next")]
+    assert folded(spark, rows) == [LONG + " more and more until THE END Next"]  # what is joined keeps the first line's width
+    assert folded(spark, rows, "plaintext") == [r["text"] for r in rows]
+    capitals = [line(0, "A HEADLINE THAT GOES ON AND ON", fills_width=True, all_caps=True), line(1, "and more")]
+    frame = spark.createDataFrame([{"doc_id": 1, **x} for x in capitals], f"doc_id long, {cleaning.LINE}")
+    assert [r["all_caps"] for r in cleaning.fold_lines(frame, "x").collect()] == [False]
+
+
+@pytest.mark.parametrize(
+    "first, second, joined",
+    [
+        (dict(text_x0=20.0), dict(x0=20.0), True),
+        (dict(text_x0=10.5), dict(x0=10.5), False),  # no hanging indent
+        (dict(text_x0=20.0), dict(x0=22.0), False),
+        (dict(fills_width=True), dict(x0=9.0), True),
+        (dict(fills_width=True), dict(x0=7.0), False),
+        (dict(fills_width=True, bullet_level=1), dict(x0=10.0), False),  # a label
+        (dict(fills_width=True, bullet_level=1, text="a duty " * 9), dict(x0=10.0), True),
+        (dict(fills_width=True, text="It ends."), dict(x0=10.0), False),
+        (dict(fills_width=True), dict(x0=10.0, heading=True), False),
+    ],
+)
+def test_bullets_go_on(spark, first, second, joined):
+    rows = [line(0, **{"text": "a duty that goes on", "bullet": True, "bullet_level": 2, "x0": 10.0, **first}), line(1, **{"text": "over here", **second})]
+    assert len(folded(spark, rows, "plaintext")) == (1 if joined else 2)
+
+
+def test_inferred_bullets(spark):
     shifted = spark.createDataFrame([{"doc_id": 1, **line(i, "t", x0=x)} for i, x in enumerate((0.0, 0.0, 20.0))], f"doc_id long, {cleaning.LINE}")
     assert [r["bullet_level"] for r in cleaning.infer_bullets(shifted).orderBy("line_no").collect()] == [0, 0, 2]
 
