@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions import text as X
 from foliant.operators.tracker import js_round
@@ -43,23 +49,56 @@ def keyword_lists(words: DataFrame, key: str) -> DataFrame:
     return packed.select(key, F.transform("w", lambda x: x["word"]).alias("words"))
 
 
-def coverage(resumes: DataFrame, postings: DataFrame, key: str, doc: str = "doc_id", text: str = "text", posting_bytes: int = 8_000_000) -> DataFrame:
-    """doc, key, n_words, n_matched, n_top: how many of a posting's keywords (and of its first 20) a text holds.
+def coverage(resumes: DataFrame, postings: DataFrame, key: str, doc: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), posting_bytes: int = 8_000_000) -> DataFrame:
+    """doc, the carried columns, key, n_words, n_matched, n_top: how many of a posting's keywords (and of its first 20) a text holds.
 
     Every text meets every posting: that is the question. The postings' keyword lists travel to the texts in groups of
-    at most posting_bytes; the lower-cased text is formed once, in a stage of its own.
+    at most posting_bytes. A text is read once for each group: an automaton of all its distinct keywords finds those that the text
+    holds, and each posting's are counted among them.
     """
-    size = postings.agg(F.sum(F.octet_length(F.array_join("words", ",")))).first()[0] or 0
+    spark = resumes.sparkSession
+    lists = postings.select(key, "words")
+    size = lists.agg(F.sum(F.octet_length(F.array_join("words", ",")))).first()[0] or 0
     groups = 1 + size // posting_bytes
-    texts = resumes.select(doc, F.lower(F.coalesce(text, F.lit(""))).alias("_text")).repartition(doc)
+    rows = resumes.select(doc, *carry, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    head = rows.schema.fields[:-1]
+    schema = T.StructType([*head, lists.schema[key], *(T.StructField(c, T.IntegerType()) for c in ("n_words", "n_matched", "n_top"))])
     out = None
     for k in range(groups):
-        part = postings.where(F.pmod(F.xxhash64(key), F.lit(groups)) == k) if groups > 1 else postings
-        lists = part.agg(F.collect_list(F.struct(key, "words")).alias("_lists"))
-        met = texts.join(F.broadcast(lists)).select(doc, "_text", F.explode("_lists").alias("_p"))
-        hit = F.transform(F.col("_p.words"), lambda w: F.contains(F.col("_text"), w).cast("int"))
-        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-        here = met.select(doc, F.col(f"_p.{key}").alias(key), hit.alias("_hit")).select(doc, key, F.size("_hit").alias("n_words"), total(F.col("_hit")).alias("n_matched"), total(F.slice("_hit", 1, 20)).alias("n_top"))
+        part = lists.where(F.pmod(F.xxhash64(key), F.lit(groups)) == k) if groups > 1 else lists
+        shared = spark.sparkContext.broadcast([(r[key], list(r["words"])) for r in part.orderBy(key).collect()])
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            found, number = ahocorasick.Automaton(), {}
+            for _, words in shared.value:
+                for w in words:
+                    if w and w not in number:
+                        found.add_word(w, number.setdefault(w, len(number)))
+            found.make_automaton()
+            own = [np.array([number[w] for w in words if w], np.int64) for _, words in shared.value]
+            keys, sizes = pa.array([x for x, _ in shared.value]), np.array([len(w) for _, w in shared.value], np.int32)
+            flat = np.concatenate([*own, np.empty(0, np.int64)])
+            posting = np.repeat(np.arange(len(own)), [len(o) for o in own])
+            place = np.concatenate([*(np.arange(len(o)) for o in own), np.empty(0, np.int64)])
+            first = flat[place < 20], posting[place < 20]
+            n = len(own)
+            for batch in batches if n else ():
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                for at in range(0, len(texts), 500):
+                    some = texts[at : at + 500]
+                    matched, top = np.zeros((2, len(some), n), np.int32)
+                    for i, t in enumerate(some):
+                        hit = np.zeros(len(number), np.int32)
+                        hit[list({x for _, x in found.iter(t)}) if number else []] = 1
+                        matched[i] = np.bincount(posting, hit[flat], n)
+                        top[i] = np.bincount(first[1], hit[first[0]], n)
+                    docs = pa.array(np.repeat(np.arange(at, at + len(some)), n))
+                    heads = [c.take(docs) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*heads, keys.take(pa.array(np.tile(np.arange(n), len(some)))), pa.array(np.tile(sizes, len(some))), pa.array(matched.ravel()), pa.array(top.ravel())], schema.names)
+
+        here = rows.mapInArrow(count, schema)
         out = here if out is None else out.unionAll(here)
     return out
 
@@ -111,15 +150,59 @@ def strict_pattern(term: str) -> str:
     return rf"(?im)(?:^|[\n,;:/|()])\s*{term}\s*(?:[\n,;:/|()]|$)"
 
 
+#: Terms that a taxonomy may have: it goes into the plan.
+MOST_TERMS = 5000
+
+
 def detect_skills(text: Column, taxonomy: list[str], strict: tuple[str, ...] = ("Go", "R")) -> Column:
-    """The terms of the taxonomy that a text names, in its order; `Go (golang)` counts as Go."""
-    def term(t: str) -> Column:
-        hit = text.rlike(strict_pattern(t) if t in strict else term_pattern(t))
-        if t == "Go":
-            hit |= text.rlike(r"(?i)\bGo\s*\(\s*golang\s*\)")
-        return F.when(hit, F.lit(t))
-
-    return F.array_compact(F.array(*map(term, dict.fromkeys(taxonomy))))
+    """The terms of the taxonomy that a text names, in its order; `Go (golang)` counts as Go.
+
+    A text is read once: its runs of letters and digits, one to as many in a row as a term has, are intersected with those of all
+    terms, and only the terms that are left are looked for by their pattern.
+    """
+    terms = [t for t in dict.fromkeys(taxonomy) if re.search("[A-Za-z0-9]", t)]
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"a taxonomy of more than {MOST_TERMS} terms")
+    if not terms:
+        return F.array().cast("array<string>")
+    runs = {t: re.findall("[a-z0-9]+", t.lower()) for t in terms}
+
+    def pattern(t: str) -> str:
+        alone = strict_pattern(t) if t in strict else term_pattern(t)
+        return alone + (r"|\bGo\s*\(\s*golang\s*\)" if t == "Go" else "")
+
+    table = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(" ".join(runs[t])).alias("key"), F.lit(pattern(t)).alias("p")) for t in terms))
+
+    def named(words: Column) -> Column:
+        found = []
+        for n in sorted({len(r) for r in runs.values()}):
+            keys = F.array(*(F.lit(k) for k in dict.fromkeys(" ".join(r) for r in runs.values() if len(r) == n)))
+            inside = words if n == 1 else F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+            found.append(F.array_intersect(inside, keys))
+        return X.let(F.concat(*found), lambda keys: F.transform(F.filter(table, lambda t: F.array_contains(keys, t["key"]) & F.rlike(text, t["p"])), lambda t: t["t"]))
+
+    return F.when(text.isNotNull(), X.let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), named)).otherwise(F.array().cast("array<string>"))
+
+
+def named_in_list(text: Column, term: str) -> Column:
+    """The term stands next to a comma, semicolon, bar, slash or bullet, as an entry of a list does."""
+    escaped = re.escape(term)
+    return text.rlike(rf"(?i)(?:[,;|/•·]\s*{escaped}(?![a-zA-Z0-9]))|(?:(?<![a-zA-Z0-9]){escaped}\s*[,;|/•·])")
+
+
+def guarded_skills(text: Column, taxonomy: list[str], ambiguous: tuple[str, ...] = ()) -> Column:
+    """Detected terms, without ambiguous ones that stand in no list."""
+    found = detect_skills(text, taxonomy)
+    for term in ambiguous:
+        found = F.when(named_in_list(text, term), found).otherwise(F.array_remove(found, term))
+    return found
+
+
+def matched_and_missing(wanted: Column, has: Column) -> tuple[Column, Column]:
+    """The wanted skills that are there and those that aren't, in their own spelling and order; they meet on the canonical skill."""
+    own = F.transform(has, canonical_skill)
+    there = lambda x: F.array_contains(own, canonical_skill(x))
+    return F.filter(wanted, there), F.filter(wanted, lambda x: ~there(x))
 
 
 def skills_changed(old: Column, new: Column) -> tuple[Column, Column]:

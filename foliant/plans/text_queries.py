@@ -70,7 +70,8 @@ def posting_keywords(spark, sf_dir):
 
 def _covered(spark, sf_dir):
     lists = matching.keyword_lists(matching.keywords(read(spark, sf_dir, "benchmark"), "item_id"), "item_id")
-    return matching.coverage(docs(spark, sf_dir), lists, "item_id")
+    rows = docs(spark, sf_dir).withColumn("mr", matching.metric_ratio(F.col("text")))
+    return matching.coverage(rows, lists, "item_id", carry=("mr",))
 
 
 _COVERED = _KEYWORDS + """, m AS (SELECT doc_id, item_id, count(*)::INT AS n_words, count(*) FILTER (contains(lower(text), word))::INT AS n_matched,
@@ -80,7 +81,7 @@ count(*) FILTER (rank <= 20 AND contains(lower(text), word))::INT AS n_top FROM
 
 @query(_COVERED + "SELECT * FROM m")
 def keyword_coverage(spark, sf_dir):
-    return _covered(spark, sf_dir)
+    return _covered(spark, sf_dir).drop("mr")
 
 
 @query(_COVERED + """, x AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: trim(y)), lambda y: y <> '') AS ls FROM documents),
@@ -90,8 +91,7 @@ FROM m JOIN r USING (doc_id))
 SELECT doc_id, item_id, score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def ats_score(spark, sf_dir):
     """Texts without fields: completeness is 0."""
-    ratio = docs(spark, sf_dir).select("doc_id", matching.metric_ratio(F.col("text")).alias("mr"))
-    scored = _covered(spark, sf_dir).join(ratio, "doc_id").select("doc_id", "item_id", matching.ats_score(F.col("n_matched"), F.col("n_words"), F.col("n_top"), F.lit(0.0), F.col("mr")).alias("score"))
+    scored = _covered(spark, sf_dir).select("doc_id", "item_id", matching.ats_score(F.col("n_matched"), F.col("n_words"), F.col("n_top"), F.lit(0.0), F.col("mr")).alias("score"))
     return scored.withColumn("level", matching.ats_level(F.col("score")))
 
 
