@@ -14,6 +14,8 @@ BULLETS_2 = "◦○□⁃∙·–—"
 CID_BULLETS = (8, 108, 110, 127, 129, 149, 155, 164, 165, 167, 168, 183, 216, 252, 8226, 8227, 9679, 9702, 61607, 61623)
 #: White space as Unicode has it, for Java's regular expressions, which know ASCII alone by \s.
 _FAR = "\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\u2000-\u200a"
+#: The same characters one by one.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
 WS = rf"\x09-\x0d\x1c-\x20{_FAR}"
 INVISIBLE = "\u200b-\u200d\ufeff"
 
@@ -25,6 +27,8 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column, more: str = "") -> Column:
     """Without white space (and the characters of more) at both ends."""
+    if not more:
+        return F.btrim(c, F.lit(WHITE))
     return F.regexp_replace(c, rf"^[{WS}{more}]+|[{WS}{more}]+$", "")
 
 
@@ -40,14 +44,25 @@ def repair_cids(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("(cid:")), F.array_join(F.transform(tokens, char), "")).otherwise(c)
 
 
+#: What is not plain: characters beyond blanks, ASCII's and Latin letters, two blanks, or a character by its number.
+UNPLAIN = r"[^ -~\u00a1-\u024f]|  |\(cid:"
+
+
 def normalise(c: Column) -> Column:
-    """Ligatures, quotes, invisible characters and runs of white space put right; tabs and line ends stay."""
-    out = repair_cids(F.coalesce(c, F.lit("")))
-    for a, b in LIGATURES.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, f"[{INVISIBLE}]", "")
-    out = F.translate(out, "".join(map(chr, (0x2018, 0x2019, 0x201B, 0x201C, 0x201D))), "'''\"\"")
-    return strip(F.regexp_replace(out, rf"[\x0b-\x0d\x1c-\x20{_FAR}]+", " "))
+    """Ligatures, quotes, invisible characters and runs of white space put right; tabs and line ends stay.
+
+    Plain texts, which most are, only lose the blanks at their ends.
+    """
+
+    def full(t: Column) -> Column:
+        out = repair_cids(t)
+        for a, b in LIGATURES.items():
+            out = F.replace(out, F.lit(a), F.lit(b))
+        out = F.regexp_replace(out, f"[{INVISIBLE}]", "")
+        out = F.translate(out, "\u2018\u2019\u201b\u201c\u201d", "'''\"\"")
+        return strip(F.regexp_replace(out, rf"[\x0b-\x0d\x1c-\x20{_FAR}]+", " "))
+
+    return let(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike(UNPLAIN), full(t)).otherwise(F.trim(t)))
 
 
 def de_space(c: Column) -> Column:
@@ -78,18 +93,22 @@ LETTER_O = rf"^[{WS}]*o(?:\t+| {{2,}}|\xa0+| (?=[A-Z(]))[{WS}]*"
 NUMBERED = rf"^[{WS}]*(?:\(?[0-9]{{1,2}}[.)]|\(?[a-z][.)])[{WS}]+"
 
 
+#: What any bullet begins with; most lines begin with a letter and need no further look.
+MAY_MARK = rf"^[{WS}]*(?:\P{{L}}|o[{WS}]|[a-z][.)])"
+
+
 def bullet_level(c: Column) -> Column:
     """0 for no bullet, 1 for the first level, 2 for the second."""
     glyph = F.regexp_extract(c, GLYPH, 1)
     long_ = F.char_length(c) > 12
-    return F.when(c.rlike(GLYPH), F.when(F.instr(F.lit(BULLETS_1), glyph) > 0, 1).otherwise(2)).when(c.rlike(DASH), 2).when(c.rlike(LETTER_O) & long_, 2).when(c.rlike(NUMBERED) & long_, 1).otherwise(0)
+    return F.when(~c.rlike(MAY_MARK), 0).when(c.rlike(GLYPH), F.when(F.instr(F.lit(BULLETS_1), glyph) > 0, 1).otherwise(2)).when(c.rlike(DASH), 2).when(c.rlike(LETTER_O) & long_, 2).when(c.rlike(NUMBERED) & long_, 1).otherwise(0)
 
 
 def bullet_text(c: Column) -> Column:
     """The line without its bullet."""
     long_ = F.char_length(c) > 12
     cut = lambda p: strip(F.regexp_replace(c, p, ""))
-    return F.when(c.rlike(GLYPH), cut(GLYPH)).when(c.rlike(DASH), cut(DASH)).when(c.rlike(LETTER_O) & long_, cut(LETTER_O)).when(c.rlike(NUMBERED) & long_, cut(NUMBERED)).otherwise(c)
+    return F.when(~c.rlike(MAY_MARK), c).when(c.rlike(GLYPH), cut(GLYPH)).when(c.rlike(DASH), cut(DASH)).when(c.rlike(LETTER_O) & long_, cut(LETTER_O)).when(c.rlike(NUMBERED) & long_, cut(NUMBERED)).otherwise(c)
 
 
 def clean_skill(c: Column) -> Column:
