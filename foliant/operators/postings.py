@@ -118,14 +118,69 @@ def json_ld(html: Column) -> Column:
     found = F.filter(flat, lambda v: F.coalesce(F.lower(get(v, "$['@type']")).contains("jobposting"), F.lit(False)))
 
     def posting(v: Column) -> Column:
-        place = F.concat_ws(", ", get(v, "$.jobLocation.address.addressLocality"), F.coalesce(get(v, "$.jobLocation.address.addressRegion"), get(v, "$.jobLocation.address.addressCountry")))
-        remote = F.upper(F.coalesce(get(v, "$.jobLocationType"), F.lit(""))) == "TELECOMMUTE"
-        low, high, unit = (get(v, f"$.baseSalary.value.{k}") for k in ("minValue", "maxValue", "unitText"))
-        salary = F.when(low.isNotNull(), F.concat(F.lit("$"), low, F.when(high.isNotNull(), F.concat(F.lit(" - $"), high)).otherwise(""), F.when(unit.isNotNull(), F.concat(F.lit("/"), F.lower(unit))).otherwise("")))
-        text = lambda x: F.coalesce(x, F.lit(""))
+        text = lambda path: F.coalesce(get(v, path), F.lit(""))
+        listed = F.try_variant_get(v, "$.jobLocation[0]", "variant").isNotNull()
+        at = lambda part: F.coalesce(F.when(listed, get(v, f"$.jobLocation[0].address.{part}")).otherwise(get(v, f"$.jobLocation.address.{part}")), F.lit(""))
+        second = F.when(at("addressRegion") != "", at("addressRegion")).otherwise(at("addressCountry"))
+        place = F.array_join(F.filter(F.array(at("addressLocality"), second), lambda x: x != ""), ", ")
+        remote = (place == "") & F.lower(text("$.jobLocationType")).contains("telecommute")
         return F.struct(
-            text(get(v, "$.title")).alias("title"), text(get(v, "$.hiringOrganization.name")).alias("company"), F.when(remote, "Remote").otherwise(place).alias("location"),
-            text(get(v, "$.employmentType")).alias("employment_type"), text(salary).alias("salary"), strip_html(get(v, "$.description")).alias("description"),
+            text("$.title").alias("title"), text("$.hiringOrganization.name").alias("company"), F.when(remote, "Remote").otherwise(place).alias("location"),
+            F.coalesce(get(v, "$.employmentType[0]"), text("$.employmentType")).alias("employment_type"), salary(v).alias("salary"), strip_html(get(v, "$.description")).alias("description"),
         )
 
+    def salary(v: Column) -> Column:
+        """A range, or one value; an end that is missing or 0 makes no range."""
+        amount = lambda k: F.nullif(get(v, f"$.baseSalary.value.{k}").try_cast("double"), F.lit(0.0))
+        shown = lambda x: F.concat(F.lit("$"), F.regexp_replace(F.call_function("format_number", x, F.lit("#,##0.###")), r"\.$", ""))
+        low, high, one = amount("minValue"), amount("maxValue"), amount("value")
+        unit = F.lower(F.coalesce(get(v, "$.baseSalary.value.unitText"), F.lit("")))
+        figure = F.when(low.isNotNull() & high.isNotNull(), F.concat(shown(low), F.lit(" - "), shown(high))).otherwise(shown(one))
+        return F.coalesce(F.concat(figure, F.when(unit != "", F.concat(F.lit("/"), unit)).otherwise("")), F.lit(""))
+
     return F.get(F.transform(found, posting), F.lit(0))
+
+
+# Kinds of employment, amounts and country names as pages state them.
+EMPLOYMENT = r"(?i)\b(Full[- ]?time|Part[- ]?time|Contract|Internship|Temporary|Freelance)\b"
+_AMOUNT = r"\$\s?\d{1,3}(?:[,\d]{0,10})?(?:K|k)?\s?(?:/(?:yr|hr|year|hour))?"
+COUNTRY_NAMES = (
+    "United States", "United Kingdom", "Canada", "Australia", "India", "Germany", "France", "Ireland", "Singapore", "Netherlands", "Spain", "Italy",
+    "Japan", "China", "Brazil", "Mexico", "Poland", "Sweden", "Switzerland", "Israel", "UAE", "New Zealand", "Philippines",
+)
+NO_COMPANY = ("least", "any", "all", "this", "that", "our", "the", "once", "first", "no", "present", "a", "scale", "an", "time", "work", "least once")
+
+
+def employment_type(text: Column) -> Column:
+    return F.regexp_extract(text, EMPLOYMENT, 1)
+
+
+def stated_salary(text: Column) -> Column:
+    """The first range of dollar amounts, without blanks."""
+    return F.regexp_replace(F.regexp_extract(text, rf"{_AMOUNT}\s?-\s?{_AMOUNT}", 0), r"\s+", "")
+
+
+def stated_location(text: Column) -> Column:
+    """City and country, else city and a state's two letters, as a page's text has them."""
+    city = r"[A-Z][a-zA-Z.]+(?:\s[A-Z][a-zA-Z.]+)?"
+    country = F.regexp_extract(text, rf"\b({city},\s?(?:{'|'.join(COUNTRY_NAMES)}))\b", 1)
+    return F.coalesce(F.nullif(country, F.lit("")), F.regexp_extract(text, rf"\b({city},\s?[A-Z]{{2}})\b", 1))
+
+
+def titled_company(title_: Column) -> Column:
+    """The employer that a page's title names: after `at`, or the second of three parts or more between dashes or bars."""
+    after = F.trim(F.regexp_extract(title_, r"\bat\s+([A-Z][\w&.,'\- ]{1,40})\b", 1))
+    parts = F.filter(F.transform(F.split(title_, r"\s[-|–]\s"), lambda x: strip(x)), lambda x: x != "")
+    named = F.when((after != "") & ~F.lower(after).isin(*NO_COMPANY), after)
+    return F.coalesce(named, F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))), F.lit(""))
+
+
+def page_posting(html: Column) -> Column:
+    """What a page without JSON-LD states of a posting: title, company, location, employment type, salary."""
+    text = strip_html(html)
+    page_title = strip_html(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+
+    def of(t: Column) -> Column:
+        return F.struct(title(html).alias("title"), titled_company(page_title).alias("company"), stated_location(t).alias("location"), employment_type(t).alias("employment_type"), stated_salary(t).alias("salary"))
+
+    return F.transform(F.array(text), of)[0]

