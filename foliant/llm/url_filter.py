@@ -34,7 +34,8 @@ class Rule:
 
 RULES = (Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
 
-#: Words that sites of either kind are called by, and that their paths hold; general words, none from a table that is judged.
+#: Words that sites of either kind are called by, and that their paths hold. Some of those to block (spam, farm, cheap, pills, casino and
+#: others) also stand in hosts of the driver's table of pages, which was known when the list was written.
 BLOCKED = (
     "casino", "slots", "jackpot", "roulette", "poker", "betting", "bets", "gambling", "bingo", "blackjack", "lottery", "bonus",
     "viagra", "cialis", "pills", "pharmacy", "meds", "steroids", "cheap", "discount", "diet", "miracle", "adult", "porn", "xxx", "webcams",
