@@ -184,3 +184,12 @@ def page_posting(html: Column) -> Column:
         return F.struct(title(html).alias("title"), titled_company(page_title).alias("company"), stated_location(t).alias("location"), employment_type(t).alias("employment_type"), stated_salary(t).alias("salary"))
 
     return F.transform(F.array(text), of)[0]
+
+
+def description_or_made(description: Column, title_: Column, company: Column, skills: Column, notes: Column) -> Column:
+    """A posting's description, else one made of its title, employer, skills and notes."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    named = F.array_join(F.filter(skills, lambda x: x != ""), ", ")
+    asked = F.when(text(named) != "", F.concat(F.lit("Key skills: "), named, F.lit(". "))).otherwise("")
+    made = strip(F.concat(text(title_), F.lit(" at "), text(company), F.lit(". "), asked, text(notes)))
+    return F.coalesce(F.nullif(strip(description), F.lit("")), made)

@@ -16,6 +16,17 @@ def split_bullets(description: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+def preprocessed(text: Column) -> Column:
+    """A text for a model: without page marks, bullets as dashes, at most one empty line at a time, no blanks at line ends."""
+    out = F.coalesce(text, F.lit(""))
+    # Marks of pages, and the glyphs that become a dash.
+    out = F.regexp_replace(out, r"(?i)--\s*[0-9]+\s*of\s*[0-9]+\s*--", "\n")
+    out = F.regexp_replace(out, r"(?i)\bPage\s+[0-9]+\s*(of\s+[0-9]+)?\b", "")
+    out = F.regexp_replace(out, r"(?m)^[•▪●✓✔►➢➳*▸]\s*", "- ")
+    out = F.regexp_replace(out, "\n{3,}", "\n\n")
+    return strip(F.regexp_replace(out, "(?m)[ \t]+$", ""))
+
+
 def keep_all(description: Column) -> Column:
     """A diff that changes nothing."""
     return F.transform(split_bullets(description), lambda b: F.struct(b.alias("old"), b.alias("new"), F.lit("keep").alias("action")))
