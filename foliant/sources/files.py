@@ -20,6 +20,13 @@ LEAST, MOST = 100, 15 * 1024 * 1024
 PDF, ZIP, OLE2, RTF = "255044462D", "504B0304", "D0CF11E0A1B11AE1", "7B5C727466"
 
 
+#: What is expected of one document.
+TRUTH = (
+    "struct<name:string,email:string,phone:string,linkedin:string,roles:array<struct<company:string,position:string,start:string>>,"
+    "degrees:array<struct<institution:string,degree:string,major:string>>,skills_sample:array<string>>"
+)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
@@ -29,6 +36,12 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), F.col("value").alias("text"))
 
 
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id and the expected fields of each record: files of one object whose keys name the documents."""
+    held = F.from_json("value", f"map<string,{TRUTH}>")
+    return spark.read.text(path, wholetext=True).select(F.explode(held).alias("doc_id", "t")).select("doc_id", "t.*")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One object by line; null texts are written as empty ones, so that every key is there."""
     texts = {c: F.coalesce(c, F.lit("")) for c, t in df.dtypes if t == "string"}
