@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from foliant.functions import dates, json_repair, sections
-from foliant.operators import cleaning, lines, records, scoring, tailoring
+from foliant.operators import cleaning, lines, postings, records, scoring, tailoring
 from foliant.plans.registry import query
 from foliant.plans.text_queries import docs
 from foliant.plans.tracker_queries import read
@@ -44,6 +44,15 @@ def completeness_score(spark, sf_dir):
     return score.select("c_custkey", "s.overall", F.col("s.fields")["work_experience"].alias("experience"), F.array_join("s.missing", "|").alias("missing"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name || ' at ' || p_brand || '. ' || CASE WHEN p_partkey % 3 = 1 THEN 'Key skills: ' || p_type || ', ' || p_name || '. ' ELSE '' END || p_brand END AS description FROM part""")
+def made_descriptions(spark, sf_dir):
+    """Parts as postings: with a description, without one but with skills, and with neither."""
+    kind = F.col("p_partkey") % 3
+    skills = F.when(kind == 1, F.array("p_type", F.lit(""), "p_name")).otherwise(F.array().cast("array<string>"))
+    made = postings.description_or_made(F.when(kind == 0, F.concat(F.lit(" "), "p_type")).when(kind == 1, "  "), F.col("p_name"), F.col("p_brand"), skills, F.col("p_brand"))
+    return read(spark, sf_dir, "part").select("p_partkey", made.alias("description"))
+
+
 @query("""SELECT event_id, props AS repaired, '{"a": [' || props || ']}' AS cut FROM events""")
 def json_replies(spark, sf_dir):
     """Fenced replies with prose behind them, and replies that break off inside a list."""
