@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_shards, url_filter
+from foliant.llm import decontamination, hard_negatives, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_shards, url_filter
 from foliant.llm._common import stash, table
 
 
@@ -87,9 +87,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; every seventh row has another label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id="vec_id", label=label, vector="embedding", anchor=F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash, pii_discovery)
+    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash, op11_hard_negatives, pii_discovery)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -150,4 +156,13 @@ a AS (SELECT r, string_agg(pos, ',' ORDER BY pos) AS removed, count(*) AS n FROM
 b AS (SELECT r, string_agg(x, chr(10) ORDER BY pos) AS kept FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.r = p.r AND c.pos = p.pos) GROUP BY r)
 SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(l) END::BIGINT AS n_lines, coalesce(a.n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
   sha256(coalesce(kept, '')) AS text_sha256 FROM d LEFT JOIN a USING (r) LEFT JOIN b USING (r)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
