@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, hard_negatives, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_shards, url_filter
+from foliant.llm import decontamination, hard_negatives, line_dedup, mixing, pii, quality_classifier, quality_rules, resampling, simhash, token_counts, token_shards, url_filter
 from foliant.llm._common import stash, table
 
 
@@ -93,13 +93,19 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id="vec_id", label=label, vector="embedding", anchor=F.col("id") % 100 == 0)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash, op11_hard_negatives, pii_discovery)
+    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash, op11_hard_negatives, op13_importance_resampling, pii_discovery)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 _STOP = ", ".join(f"'{w}'" for s in sorted(set(quality_rules.STOP_WORDS)) for w in dict.fromkeys((s, s.capitalize())))
 
 ORACLES: dict[str, str] = {
@@ -165,4 +171,21 @@ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE
 n AS (SELECT p.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
   FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_importance_resampling": rf"""
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS x FROM d),
+g AS (SELECT unnest({_FEATURES}) AS x FROM benchmark),
+u AS (SELECT DISTINCT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION ALL SELECT x FROM g)),
+c AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+  lambda a, y: xor(a >> 8, crcs[(xor(a, y) & 255) + 1])), 4294967295) % 10000 AS b FROM u, k),
+s AS (SELECT b, count(*) AS s FROM f JOIN c USING (x) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM g JOIN c USING (x) GROUP BY b),
+z AS (SELECT (SELECT count(*) FROM f)::DOUBLE AS s_all, (SELECT count(*) FROM g)::DOUBLE AS t_all),
+v AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000)))) AS gain FROM s LEFT JOIN t USING (b), z),
+m AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN c USING (x) JOIN v USING (b) GROUP BY r),
+e AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS long_enough,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (long_enough) OVER () // 100 AS drawn FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN long_enough AND place <= drawn THEN place END AS rank FROM o""",
 }
