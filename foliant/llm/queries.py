@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontamination, hard_negatives, line_dedup, mixing, pii, quality_classifier, quality_rules, resampling, simhash, token_counts, token_shards, url_filter
+from foliant.llm import decontamination, hard_negatives, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, resampling, simhash, token_counts, token_shards, url_filter
 from foliant.llm._common import stash, table
 
 
@@ -93,13 +93,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id="vec_id", label=label, vector="embedding", anchor=F.col("id") % 100 == 0)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is one part that bears loss, so its tokens and its segment are what limits it."""
+    return packing.pieces(packing.pack(table(spark, sf_dir, "documents"), parts=packing.whole_text("text")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash, op11_hard_negatives, op13_importance_resampling, pii_discovery)
+    for f in (op1_token_counts, op2_quality_rules, op3_mixing, op4_url_filter, op5_quality_classifier, op6_pii, op7_token_shards, op8_decontamination, op9_line_dedup, op10_simhash, op11_hard_negatives, op12_packing, op13_importance_resampling, pii_discovery)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

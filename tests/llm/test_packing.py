@@ -1,0 +1,153 @@
+"""Packing: every id in one piece, limits, padding, plain tokens, odd rows."""
+
+import os
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from foliant.llm import packing, queries
+from foliant.llm._bpe import default_tokenizer, loaded
+
+SCHEMA = "doc_id long, text string, ids string, loss string, segments int, offset long, parts string"
+
+
+def tokens(text):
+    return loaded(default_tokenizer()).tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def covers(rows, docs):
+    """The pieces are the documents, each id once, and sequences are gapless and within 2048; gives padding and tokens."""
+    want, by_doc, by_sequence = {}, {}, {}
+    for i, text in docs:
+        want.setdefault(i, []).append([*tokens(text), 1])
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by_doc) == set(want)
+    for i, texts in want.items():
+        left = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in by_doc[i])
+        if len(texts) == 1:
+            at = 0
+            for start, length, _, _ in left:
+                assert start == at and length > 0
+                at += length
+            assert at == len(texts[0])
+        known = {(s, n, crc(ids[s : s + n]), len(ids)) for ids in texts for s, n, _, _ in left if s + n <= len(ids)}
+        assert set(left) <= known and sum(x[1] for x in left) == sum(map(len, texts))
+    padding = 0
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048 and len(pieces) <= 64
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    return padding, sum(len(ids) for texts in want.values() for ids in texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 300), st.floats(0, 1)), max_size=60), st.integers(1, 9), st.integers(1, 64), st.integers(0, 5), st.integers(1, 20))
+def test_limits(sizes, segments, loss, slack, pool):
+    r = np.random.default_rng(len(sizes))
+    packer, docs = packing.Packer(64, segments, loss, slack, pool), {}
+    for i, (n, share) in enumerate(sizes):
+        mask = (r.random(n) < share).astype(np.uint8) if i % 2 else None
+        docs[i] = np.arange(n) + 1000 * i, mask
+        packer.add(packing.Piece(i, 0, docs[i][0], mask, n))
+        assert packer.n_waiting <= pool
+    packer.fill_until(0)
+    seen = {i: [] for i in docs}
+    for s in packer.ready:
+        n = sum(len(p.ids) for p in s)
+        assert 0 < n <= 64 and len(s) <= segments and sum(p.n_loss for p in s) <= loss
+        assert 64 - n <= slack or n & (n - 1) == 0
+        for p in s:
+            ids, mask = docs[p.doc]
+            assert (p.ids == ids[p.start : p.start + len(p.ids)]).all()
+            assert p.loss is None if mask is None else (p.loss == mask[p.start : p.start + len(p.ids)]).all()
+            seen[p.doc].append((p.start, len(p.ids)))
+    for i, (ids, _) in docs.items():
+        at = 0
+        for start, n in sorted(seen[i]):
+            assert start == at
+            at += n
+        assert at == len(ids)
+
+
+def test_dot_product_mixes_demands():
+    """Examples of much loss and of little stand together: as many sequences as tokens ask for, none cut."""
+    packer = packing.Packer(64, 8, 40, 0, 1000)
+    for i in range(100):
+        packer.add(packing.Piece(("a", i), 0, np.arange(32), np.ones(32, np.uint8), 32))
+    for i in range(100):
+        packer.add(packing.Piece(("b", i), 0, np.arange(32), np.r_[np.ones(8, np.uint8), np.zeros(24, np.uint8)], 32))
+    packer.fill_until(0)
+    assert len(packer.ready) == 100 and all(sorted(p.doc[0] for p in s) == ["a", "b"] for s in packer.ready)
+
+
+def test_documents_stay_whole(spark):
+    """Hardly more pieces than documents shorter than a sequence need."""
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("some words of a text that goes on".split()) for _ in range(r.randint(1, 1500)))) for i in range(400)]
+    rows = packing.pieces(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), parts=packing.whole_text("text"))).collect()
+    padding, total = covers(rows, docs)
+    assert padding < 0.005 * total and len(rows) < 1.6 * len(docs)
+
+
+def test_loss_of_turns(spark):
+    turns = [(1, [("what is it", False), ("a thing of some kind", True), (None, True), ("and this", None), ("that", True)]), (2, [("only a prompt", False)]), (3, None), (4, []), (5, [None, ("x", True)])]
+    rows = spark.createDataFrame(turns, "doc_id long, parts array<struct<text string, loss boolean>>")
+    out = packing.pack(rows.coalesce(1), parts=F.col("parts"), tokens=64, loss=32).collect()
+    found = {}
+    for s in out:
+        ids = np.frombuffer(s["ids"], "<u4")
+        mask = np.frombuffer(s["loss"], "u1") if s["loss"] is not None else np.ones(len(ids), "u1")
+        for p in s["segments"]:
+            x = slice(p["offset"], p["offset"] + p["length"])
+            found.setdefault(p["doc_id"], []).append((p["start"], ids[x].tolist(), mask[x].tolist()))
+            assert p["n_loss"] == mask[x].sum()
+    for i, parts in turns:
+        want, bears = [], []
+        for x in parts or ():
+            if x:
+                want += tokens(x[0])
+                bears += [int(bool(x[1]))] * len(tokens(x[0]))
+        got = sorted(found[i])
+        assert [t for _, ids, _ in got for t in ids] == [*want, 1]
+        last = [x for x in parts or () if x]
+        assert [t for _, _, m in got for t in m] == [*bears, int(not last or bool(last[-1][1]))]
+
+
+def test_odd_rows(spark):
+    docs = [(None, None), (1, ""), (2, " "), (3, "same text"), (3, "same text"), (4, "word " * 30_000), (5, "漢" * 9_000), (6, "x" * 20_000), (None, "a b"), (7, "<|endoftext|>")]
+    rows = packing.pieces(packing.pack(spark.createDataFrame([(*x, "a", "b", 1, 2, "c") for x in docs], SCHEMA), parts=packing.whole_text("text"))).collect()
+    assert covers([r for r in rows if r["doc_id"] not in (7,)], [x for x in docs if x[0] != 7])[0] <= 64
+    assert packing.pack(spark.createDataFrame([], SCHEMA), parts=packing.whole_text("text")).count() == 0
+    with pytest.raises(ValueError, match="power of two"):
+        packing.pack(spark.createDataFrame([], SCHEMA), parts=packing.whole_text("text"), tokens=1000)
+
+
+def test_tiny_documents_meet_the_segment_limit(spark):
+    docs = [(i, f"w{i % 7}") for i in range(3000)]
+    rows = packing.pieces(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), parts=packing.whole_text("text"))).collect()
+    assert covers(rows, docs)[0] == 0
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables")
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = queries.QUERIES["op12_packing"](spark, sf)
+    assert found.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    padding, total = covers(found.collect(), docs)
+    assert padding < 0.005 * total
