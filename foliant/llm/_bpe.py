@@ -1,8 +1,9 @@
-"""Byte-pair encoding by pieces: a text falls apart at lone spaces, and each distinct piece is encoded once.
+"""Byte-pair encoding by pieces: a text falls apart at lone spaces and line feeds, and each distinct piece is encoded once.
 
 No pre-token reaches over a lone space between two characters that aren't white space: a space joins only what follows
-it, and what stands before it ends there. So the ids of a text are those of its pieces, one after the other, where each
-piece but the first starts with its space.
+it, and what stands before it ends there. A lone line feed between such characters is a pre-token of its own. So the ids of a text are those of
+its pieces, one after the other, where each piece but the first starts with its space or line feed. A piece that ends in a letter and punctuation
+falls apart between them, so words are encoded without it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import cached_property
 import numpy as np
 
 TWO_SPACES = re.compile(r"\s\s")
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+LONE_SPACE = re.compile(r"(?<=\S)[ ](?=\S)|(?<=\S)(?=\n\S)")
 
 
 def default_tokenizer() -> str:
@@ -30,9 +31,9 @@ def pieces(text: str) -> list[str]:
         return []
     if TWO_SPACES.search(text) or text[0].isspace() or text[-1].isspace():
         parts = LONE_SPACE.split(text)
-    else:  # every space is a lone one; other white space stays inside a piece unless a space touches it
-        parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    else:  # every space and line feed is a lone one; other white space stays inside a piece unless a space touches it
+        parts = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
+    return [parts[0], *[p if p[:1] == "\n" else " " + p for p in parts[1:]]]
 
 
 #: Where a pre-token ends whatever stands further on: before white space, where letters or digits end, and where other signs
@@ -87,34 +88,75 @@ class Splitter:
         return out
 
 
+#: What ends a word, and letters after which it does: no pre-token holds both.
+PUNCTUATION = ".,;:!?)\""
+LETTERS = frozenset(chr(i) for i in range(0x250) if chr(i).isalpha())
+
+
 class Pieces:
     """Ids of pieces as little-endian unsigned 16-bit bytes, by a tokenizer file of the tokenizers library.
 
-    The memory holds `most` pieces at most: when it is full, only the latest call's pieces stay.
+    The memory holds `most` pieces of up to `longest` characters; when it is full, only the latest call's pieces stay. Longer pieces stay for one call.
     """
 
-    def __init__(self, path: str, most: int = 700_000, wide: bool = False):
+    def __init__(self, path: str, most: int = 700_000, longest: int = 64, wide: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.longest, self.known, self.once = Tokenizer.from_file(path), most, longest, {}, []
         self.dtype = np.dtype("<u4") if wide or self.tokenizer.get_vocab_size() > 65536 else np.dtype("<u2")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        first = "".join(sorted({re.escape(x[0]) for x in self.special}))
+        self.simple = re.compile(rf" ?[^\s{first}]+")  # pieces that may stand in one text, divided by line feeds
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     @cached_property
     def splitter(self) -> Splitter:
         return Splitter(self.tokenizer)
 
     def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
+        known = self.known
+        for p in self.once:
+            known.pop(p, None)
         wanted = set().union(*texts)
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {p: self.known[p] for p in wanted if p in self.known}
+        new = [p for p in wanted if p not in known]
+        if len(known) + len(new) > self.most:
+            self.known = known = {p: known[p] for p in wanted if p in known}
+        punctuated = [(p, c) for p in new if p[-1] in PUNCTUATION and (c := p.rstrip(PUNCTUATION))[-1:] in LETTERS and not any(x in p for x in self.special)]
+        if punctuated:
+            whole = dict(punctuated)
+            parts = {x for p, c in punctuated for x in (c, p[len(c) :]) if x not in known}
+            self.encode_new([*parts.union(p for p in new if p not in whole)])
+            for p, c in punctuated:
+                known[p] = known[c] + known[p[len(c) :]]
+            new += parts
+        else:
+            self.encode_new(new)
+        self.once = [p for p in new if len(p) > self.longest]
+        return known
+
+    def encode_new(self, new: list[str]) -> None:
+        simple = list(filter(self.simple.fullmatch, new)) if len(self.feed) == 1 else []
+        if len(simple) < len(new):
+            self.encode_each([*set(new).difference(simple)])
+        for at in range(0, len(simple), 20_000):
+            part = simple[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
+            if len(ends) != len(part):
+                self.encode_each(part)
+                continue
+            data, width, start = ids.tobytes(), self.dtype.itemsize, 0
+            for p, end in zip(part, (ends * width).tolist()):
+                self.known[p] = data[start:end]
+                start = end + width
+
+    def encode_each(self, new: list[str]) -> None:
         code = "H" if self.dtype.itemsize == 2 else "I"
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[p] = array(code, e.ids).tobytes()
-        return self.known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [pieces(t) for t in texts]

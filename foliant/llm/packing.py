@@ -58,49 +58,58 @@ class Piece:
         return int(np.searchsorted(np.cumsum(self.loss[:tokens] != 0), loss, "right"))
 
 
+#: Demand of a place whose example has left: it fits nowhere.
+GONE = 1 << 60
+
+
 class Packer:
-    """Fills sequences of up to `limits` (tokens, segments, tokens that bear loss)."""
+    """Fills sequences of up to so many tokens, segments and tokens that bear loss."""
 
     def __init__(self, tokens: int, segments: int, loss: int, slack: int, pool: int):
         if min(tokens, segments, loss) < 1 or tokens & (tokens - 1):
             raise ValueError("limits are positive, and that of tokens is a power of two")
-        self.limits, self.slack, self.pool = np.array([tokens, segments, loss], float), slack, pool
+        self.limits, self.slack, self.pool = (tokens, segments, loss), slack, pool
         self.waiting: list[Piece | None] = []
-        self.demand = np.zeros((2 * pool + 16, 3))
-        self.n_waiting = 0
+        self.tokens, self.loss = (np.zeros(2 * pool + 16, np.int64) for _ in range(2))  # of each place; GONE where its piece has left
+        self.n_waiting = self.all_tokens = self.all_loss = 0
         self.ready: list[list[Piece]] = []
 
     def add(self, piece: Piece) -> None:
         """Take an example; sequences that are done stand in `ready`."""
-        tokens, _, loss = map(int, self.limits)
+        tokens, _, loss = self.limits
         while len(piece.ids) > tokens or piece.n_loss > loss:
             head, piece = piece.cut(piece.most(tokens, loss))
-            if len(head.ids) == tokens:
-                self.ready.append([head])
-            else:
-                self.wait(head)
-        if len(piece.ids) == tokens:
+            self.take_in(head)
+        self.take_in(piece)
+        if self.n_waiting > self.pool:
+            self.fill_until(self.pool // 2)
+
+    def take_in(self, piece: Piece) -> None:
+        if len(piece.ids) == self.limits[0]:
             self.ready.append([piece])
         else:
             self.wait(piece)
-        if self.n_waiting > self.pool:
-            self.fill_until(self.pool // 2)
 
     def wait(self, piece: Piece) -> None:
-        if len(self.waiting) == len(self.demand):
+        if len(self.waiting) == len(self.tokens):
             keep = [i for i, x in enumerate(self.waiting) if x is not None]
-            self.waiting, rows = [self.waiting[i] for i in keep], self.demand[keep]
-            if len(rows) * 2 > len(self.demand):
-                self.demand = np.zeros((4 * len(rows), 3))
-            self.demand[: len(rows)] = rows
-        self.demand[len(self.waiting)] = np.array([len(piece.ids), 1, piece.n_loss]) / self.limits
+            self.waiting = [self.waiting[i] for i in keep]
+            size = max(len(self.tokens), 2 * len(keep))
+            for name in ("tokens", "loss"):
+                setattr(self, name, np.concatenate([getattr(self, name)[keep], np.zeros(size - len(keep), np.int64)]))
+        i, tokens, loss = len(self.waiting), len(piece.ids), piece.n_loss
+        self.tokens[i], self.loss[i] = tokens, loss
         self.waiting.append(piece)
         self.n_waiting += 1
+        self.all_tokens += tokens
+        self.all_loss += loss
 
     def take(self, i: int) -> Piece:
         piece, self.waiting[i] = self.waiting[i], None
         self.n_waiting -= 1
-        self.demand[i] = 2  # fits nowhere
+        self.all_tokens -= int(self.tokens[i])
+        self.all_loss -= int(self.loss[i])
+        self.tokens[i] = GONE
         return piece
 
     def fill_until(self, most: int) -> None:
@@ -108,34 +117,28 @@ class Packer:
             self.ready.append(self.fill())
 
     def fill(self) -> list[Piece]:
-        out, left = [], np.ones(3)
-        while True:
-            demand = self.demand[: len(self.waiting)]
-            fits = (demand <= left + 1e-9).all(1)
-            if not fits.any():
+        out, (tokens, segments, loss) = [], self.limits
+        free, may_bear = tokens, loss
+        n = len(self.waiting)
+        of_tokens, of_loss = self.tokens[:n], self.loss[:n]
+        while self.n_waiting and len(out) < segments:
+            fits = np.flatnonzero((of_tokens <= free) & (of_loss <= may_bear))
+            if not len(fits):
                 break
-            open_ = demand[:, 0] <= 1
-            product = demand @ (left * demand[open_].mean(0))
-            product[~fits] = -1
-            out.append(self.take(int(np.argmax(product))))
-            left -= self.demand_of(out[-1])
-        length = sum(len(p.ids) for p in out)
-        tokens, segments, loss = map(int, self.limits)
-        if tokens - length > self.slack and len(out) < segments and self.n_waiting:
-            demand = self.demand[: len(self.waiting)]
-            i = int(np.argmax(np.where(demand[:, 0] <= 1, demand[:, 0], -1)))
-            at = self.waiting[i].most(tokens - length, loss - sum(p.n_loss for p in out))
+            # shares of the limits asked for by all that wait, times what is left; an example's one segment adds the same to all
+            by_token, by_loss = self.all_tokens / tokens**2 * (free / tokens), self.all_loss / loss**2 * (may_bear / loss)
+            i = int(fits[np.argmax(of_tokens[fits] * by_token + of_loss[fits] * by_loss)])
+            free, may_bear = free - int(of_tokens[i]), may_bear - int(of_loss[i])
+            out.append(self.take(i))
+        if free > self.slack and len(out) < segments and self.n_waiting:
+            i = int(np.argmax(np.where(of_tokens < GONE, of_tokens, -1)))
+            at = self.waiting[i].most(free, may_bear)
             if 0 < at < len(self.waiting[i].ids):
                 head, rest = self.take(i).cut(at)
                 out.append(head)
                 self.wait(rest)
-                length += at
-        if tokens - length > self.slack:
-            out = self.at_power_of_two(out, length)
-        return out
-
-    def demand_of(self, piece: Piece) -> np.ndarray:
-        return np.array([len(piece.ids), 1, piece.n_loss]) / self.limits
+                free -= at
+        return self.at_power_of_two(out, tokens - free) if free > self.slack else out
 
     def at_power_of_two(self, pieces: list[Piece], length: int) -> list[Piece]:
         """The pieces up to the largest power of two; the rest waits again."""

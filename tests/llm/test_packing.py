@@ -151,3 +151,16 @@ def test_query(spark):
     assert found.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     padding, total = covers(found.collect(), docs)
     assert padding < 0.005 * total
+
+
+def test_long_pieces_are_not_kept():
+    from foliant.llm._bpe import Pieces
+
+    encoder = Pieces(default_tokenizer())
+    for n in range(3):
+        texts = ["漢字" * (5_000 + n), "x" * (20_000 + n), "word. next,\nline (of) words!", "A<|endoftext|>. b\n<|endoftext|>,"]
+        got = encoder.encode(texts)
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [tokens(t) for t in texts]
+        assert sum(map(len, encoder.known)) < 31_000
+    encoder.encode(["a"])
+    assert sum(map(len, encoder.known)) < 200
