@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
-from foliant.operators import lines, matching, postings
+from foliant.operators import lines, matching, postings, taxonomy
 from foliant.plans.registry import query
 from foliant.plans.tracker_queries import read
 
@@ -155,3 +155,36 @@ def skills_diff(spark, sf_dir):
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("old").alias("new"))
     added, removed = matching.skills_changed(F.col("old"), F.col("new"))
     return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.md5(F.array_join(added, " ")).alias("added"), F.md5(F.array_join(removed, " ")).alias("removed"))
+
+
+#: Terms out of the conversations: pairs and triples of neighbouring words as they stand there, words with the mark behind them, and strict ones.
+_TAKEN = ("[A-Za-z]+[^A-Za-z0-9]+[A-Za-z]+", "[A-Za-z]+[^A-Za-z0-9]+[A-Za-z]+[^A-Za-z0-9]+[A-Za-z]+", "[A-Za-z]+[^A-Za-z0-9\\s]")
+_STRICT = ("Of", "The", "De")
+
+
+def taxonomy_of_conversations(spark, sf_dir):
+    text = read(spark, sf_dir, "conversations").select("text")
+    each = [text.select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("term")) for p in _TAKEN]
+    taken = each[0].unionAll(each[1]).unionAll(each[2]).distinct().withColumn("strict", F.lit(False))
+    return taken.unionAll(spark.range(1).select(F.explode(F.array(*map(F.lit, _STRICT))).alias("term"), F.lit(True).alias("strict")))
+
+
+@query(rf"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_TAKEN[0]}') || regexp_extract_all(text, '{_TAKEN[1]}') || regexp_extract_all(text, '{_TAKEN[2]}')) AS term FROM conversations),
+k AS (SELECT DISTINCT term, lower(term) AS low FROM t),
+d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w, regexp_split_to_array(text, '[A-Za-z0-9]+') AS s FROM documents),
+p AS (SELECT doc_id, unnest(range(len(w))) + 1 AS i, w, s FROM d),
+r AS (SELECT doc_id, i - 1 AS pos, lower(w[i] || s[i + 1] || w[i + 1]) AS low FROM p WHERE i + 1 <= len(w)
+  UNION ALL SELECT doc_id, i - 1, lower(w[i] || s[i + 1] || w[i + 1] || s[i + 2] || w[i + 2]) FROM p WHERE i + 2 <= len(w)
+  UNION ALL SELECT doc_id, i - 1, lower(w[i] || s[i + 1][1]) FROM p WHERE length(s[i + 1]) > 1 OR length(s[i + 1]) = 1 AND i = len(w)),
+x AS (SELECT doc_id, term, count(*) AS n_found, min(pos) AS first_pos FROM r JOIN k USING (low) GROUP BY ALL),
+y AS (SELECT doc_id, z.term, p.i - 1 AS pos FROM p, (VALUES {", ".join(f"('{t}')" for t in _STRICT)}) AS z(term) WHERE lower(w[i]) = lower(z.term)
+  AND regexp_matches(s[i], CASE WHEN i = 1 THEN '^$|^\s*$|[
+,;:/|()]\s*$' ELSE '[
+,;:/|()]\s*$' END)
+  AND regexp_matches(s[i + 1], CASE WHEN i = len(w) THEN '^\s*$|^\s*[
+,;:/|()]' ELSE '^\s*[
+,;:/|()]' END))
+SELECT doc_id, term, n_found::BIGINT AS n_found, first_pos::INT AS first_pos FROM x UNION ALL SELECT doc_id, term, count(*)::BIGINT, min(pos)::INT FROM y GROUP BY ALL""")
+def taxonomy_terms(spark, sf_dir):
+    """Every document's terms of a taxonomy of tens of thousands, with their number and first place."""
+    return taxonomy.find_terms(docs(spark, sf_dir), taxonomy_of_conversations(spark, sf_dir), strict="strict")
