@@ -12,6 +12,10 @@ An item of more than `PASSAGE` words is also indexed by passages of that many wo
 of its own: the whole of it may fit no window, but each of its passages lies whole in one. What is retrieved, by the item
 or by a passage, is the item, and its score is the best of them.
 
+Each indexed text is searched by windows of its own length: the least power of two that is twice its words or more, `window` at least. Texts of
+one window size share postings, and a document is cut into windows once for each size that occurs. So an item's windows are the same
+with and without any other item; others move its scores by document frequencies and the mean length alone.
+
 What is retrieved is verified against the words around the window: an item's question is its first two thirds, its
 answer the rest; of the shingles of each, at least `overlap` must occur there. A pair whose shingles agree by chance in
 one part alone is not a leak. Shingles are numbers of their words' numbers, exact for up to three words.
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import math
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -85,35 +90,25 @@ def shingle_keys(terms: np.ndarray, k: int) -> np.ndarray:
     return np.where(known, key.view(np.int64), -1)
 
 
-class Index:
-    """Postings of a group of items (id, text), with the largest weights of each term over all and over each block.
+def window_of(n_words: int, least: int) -> int:
+    """Words of the windows that look for a text of n_words, so that it lies whole in one of them."""
+    return max(least, 1 << (2 * min(n_words, PASSAGE) - 1).bit_length())
+
+
+class Postings:
+    """Postings of indexed texts, with the largest weights of each term over all and over each block.
 
-    Arrays by term: the items (ids, weights) from first to first of the next term, and the blocks that hold it (blocks, tops,
-    and at, where the block's items begin). So memory follows the number of distinct terms of each item.
+    texts: item, and weights by term, of each. Arrays by term: the texts (items, weights) from first to first of the next term, and the blocks
+    that hold it (blocks, tops, and at, where the block's texts begin). So memory follows the number of distinct terms of each text.
     """
 
-    def __init__(self, items: list[tuple[object, bytes]], df: dict[bytes, int], n_items: int, mean_words: float, overlap: float, shingle: int = 3):
-        self.overlap, self.shingle = overlap, shingle
-        wholes = [(item_id, w) for item_id, text in items if (w := words_of(text))]
-        self.ids, self.lengths = [i for i, _ in wholes], np.array([len(w) for _, w in wholes], np.int64)
-        # texts that share common words lie in the same blocks, which keeps block maxima low
-        texts = sorted((sorted(set(w), key=lambda t: (-df[t], t))[:8], k, w) for k, (_, all_) in enumerate(wholes) for w in passages(all_))
-        self.whole = np.array([k for _, k, _ in texts], np.int64)  # the item that an indexed text is from
-        self.vocab: dict[bytes, int] = {}
-        terms, ids, weights = [], [], []
-        for i, (_, _, w) in enumerate(texts):
-            norm = K1 * (1 - B + B * len(w) / mean_words)
-            own = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(w).items()}
-            total = sum(own.values())
-            terms += [self.vocab.setdefault(t, len(self.vocab) + 1) for t in own]
-            ids += [i] * len(own)
-            weights += [x / total for x in own.values()]
-        if len(self.vocab) >= 1 << 21:
-            raise ValueError("too many terms in one group of items: lower group_bytes")
-        t, self.items, self.weights = np.array(terms, np.int64), np.array(ids, np.int64), np.array(weights)
+    def __init__(self, texts: list[tuple[int, dict[int, float]]], n_terms: int):
+        self.whole = np.array([k for k, _ in texts], np.int64)  # the item that an indexed text is from
+        t = np.array([t for _, own in texts for t in own], np.int64)
+        self.items = np.repeat(np.arange(len(texts)), [len(own) for _, own in texts])
+        self.weights = np.array([x for _, own in texts for x in own.values()])
         order = np.lexsort((self.items, t))
         t, self.items, self.weights = t[order], self.items[order], self.weights[order]
-        n_terms = len(self.vocab) + 1
         self.first = np.searchsorted(t, np.arange(n_terms + 1))
         block = self.items // BLOCK
         self.at = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (block[1:] != block[:-1])]) if len(t) else np.empty(0, np.int64)
@@ -124,13 +119,6 @@ class Index:
         np.maximum.at(self.most, t, self.weights)
         self.n_blocks = int(self.items.max()) // BLOCK + 1 if len(t) else 0
         self.keys = t[self.at] * self.n_blocks + self.blocks  # in order
-        self.parts = []
-        for _, w in wholes:
-            cut, own = max(1, round(len(w) * 2 / 3)), self.numbers(w)
-            self.parts.append(tuple((k := min(shingle, len(p)), np.unique(shingle_keys(p, k))) for p in (own[:cut], own[cut:])))
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
 
     def block_at(self, terms: np.ndarray, block: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the block arrays of (term, block), and which of them there are."""
@@ -208,7 +196,34 @@ class Index:
             stay = total >= threshold - 1e-5
             yield from zip(some[window[stay]].tolist(), block[stay].tolist())
 
-    def search(self, texts: list[bytes], threshold: float, window: int) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
+class Index:
+    """A group of items (id, text) with the postings of each window size."""
+
+    def __init__(self, items: list[tuple[object, bytes]], df: dict[bytes, int], n_items: int, mean_words: float, overlap: float, shingle: int = 3, window: int = 64):
+        self.overlap, self.shingle = overlap, shingle
+        wholes = [(item_id, w) for item_id, text in items if (w := words_of(text))]
+        self.ids, self.lengths = [i for i, _ in wholes], np.array([len(w) for _, w in wholes], np.int64)
+        # texts that share common words lie in the same blocks, which keeps block maxima low
+        texts = sorted((sorted(set(w), key=lambda t: (-df[t], t))[:8], k, w) for k, (_, all_) in enumerate(wholes) for w in passages(all_))
+        self.vocab: dict[bytes, int] = {}
+        by_window: dict[int, list[tuple[int, dict[int, float]]]] = {}
+        for _, k, w in texts:
+            norm = K1 * (1 - B + B * len(w) / mean_words)
+            own = {self.vocab.setdefault(t, len(self.vocab) + 1): math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(w).items()}
+            total = sum(own.values())
+            by_window.setdefault(window_of(len(w), window), []).append((k, {t: x / total for t, x in own.items()}))
+        if len(self.vocab) >= 1 << 21:
+            raise ValueError("too many terms in one group of items: lower group_bytes")
+        self.postings = {size: Postings(own, len(self.vocab) + 1) for size, own in sorted(by_window.items())}
+        self.parts = []
+        for _, w in wholes:
+            cut, own = max(1, round(len(w) * 2 / 3)), self.numbers(w)
+            self.parts.append(tuple((k := min(shingle, len(p)), np.unique(shingle_keys(p, k))) for p in (own[:cut], own[cut:])))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
+
+    def search(self, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
         """(text, item, (score, question overlap, answer overlap)) of verified leaks, the best of all windows, by places of texts and items."""
         if not self.ids:
             return
@@ -220,35 +235,42 @@ class Index:
                 some.append((at, self.numbers(words)))
                 n_words += len(words)
             if n_words >= AT_ONCE:
-                yield from self._search(some, threshold, window)
+                yield from self._search(some, threshold)
                 some, n_words = [], 0
-        yield from self._search(some, threshold, window)
+        yield from self._search(some, threshold)
 
-    def _search(self, some: list[tuple[int, np.ndarray]], threshold: float, window: int) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
+    def _search(self, some: list[tuple[int, np.ndarray]], threshold: float) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
         if not some:
             return
-        step = max(1, window // 2)
+        out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        shingles: dict[tuple[int, int], np.ndarray] = {}
+        for window, postings in self.postings.items():
+            self._by_window(some, threshold, max(1, window // 2), postings, out, shingles)
+        for (d, item), found in out.items():
+            yield some[d][0], item, found
+
+    def _by_window(self, some: list[tuple[int, np.ndarray]], threshold: float, step: int, postings: Postings, out: dict[tuple[int, int], tuple[float, float, float]], shingles: dict[tuple[int, int], np.ndarray]) -> None:
+        """Put the best of each text and item into out; windows of two steps begin at each step."""
         sizes = np.array([len(t) for _, t in some])
         halves = -(-sizes // step)
         offset = np.r_[0, np.cumsum(halves)]
         terms = np.concatenate([t for _, t in some])
         half = np.repeat(offset[:-1], sizes) + ranges(np.zeros(len(some), np.int64), sizes) // step
-        half, term = np.divmod(np.unique((half * len(self.most) + terms)[terms > 0]), len(self.most))
+        known = postings.most[terms] > 0
+        half, term = np.divmod(np.unique((half * len(postings.most) + terms)[known]), len(postings.most))
         first = np.searchsorted(half, np.arange(offset[-1] + 1))
         n_windows = np.maximum(1, halves - 1)
         of = np.repeat(np.arange(len(some)), n_windows)
         lo = ranges(offset[:-1], n_windows)
         hi = np.minimum(lo + 2, offset[of + 1])
         opened: dict[int, list[int]] = {}
-        for w, b in self.open_blocks(first, term, lo, hi, threshold):
+        for w, b in postings.open_blocks(first, term, lo, hi, threshold):
             opened.setdefault(w, []).append(b)
-        out: dict[tuple[int, int], tuple[float, float, float]] = {}
-        shingles: dict[tuple[int, int], np.ndarray] = {}
         for w, blocks in opened.items():
             own = np.unique(term[first[lo[w]] : first[hi[w]]])
             best: dict[int, float] = {}  # of an item and its passages
-            for i, score in self.wand(own, blocks, threshold):
-                item = int(self.whole[i])
+            for i, score in postings.wand(own, blocks, threshold):
+                item = int(postings.whole[i])
                 best[item] = max(score, best.get(item, 0.0))
             d = int(of[w])
             n, s = int(sizes[d]), int(lo[w] - offset[d]) * step
@@ -266,30 +288,28 @@ class Index:
                 found = (float(score), *shares)
                 if min(shares) >= self.overlap and found > out.get((d, item), (0.0,)):
                     out[d, item] = found
-        for (d, item), found in out.items():
-            yield some[d][0], item, found
 
 
-_INDEXES: dict[object, Index] = {}
+#: The index of the latest group in this worker, by a name of its own.
+_INDEXES: dict[str, Index] = {}
 
 
-def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, int, float, int]:
-    """The distinct items (item_id, text), the terms' document frequencies, the number of items with words, their mean and largest number of words."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
+    """The distinct items (item_id, text), the terms' document frequencies, the number of items with words, and their mean number of words."""
     text = F.coalesce("text", F.lit(""))
     items = stash(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).distinct(), "items")
     plain = F.translate("text", UPPER + DIVIDERS, LOWER + " " * len(DIVIDERS))
     words = items.select("item_id", "text", F.array_remove(F.split(plain, " "), "").alias("w")).where(F.size("w") > 0)
     df = stash(words.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").count(), "frequencies")
-    n_items, mean, longest = words.agg(F.count(F.lit(1)), F.avg(F.size("w")), F.max(F.size("w"))).first()
-    return items, df, n_items, float(mean or 1.0), longest or 0
+    n_items, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+    return items, df, n_items, float(mean or 1.0)
 
 
 def _search(rows: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, window: int, group_bytes: int) -> DataFrame:
     """The columns of rows but the last, text, with item_id, score, question_overlap and answer_overlap of each leak."""
     spark = rows.sparkSession
     bound_batches(spark)
-    items, df, n_items, mean, longest = _items(benchmark)
-    wide = max(window, min(2 * PASSAGE, 2 * longest))
+    items, df, n_items, mean = _items(benchmark)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(size / group_bytes))
     head = rows.schema.fields[:-1]
@@ -303,15 +323,14 @@ def _search(rows: DataFrame, benchmark: DataFrame, threshold: float, overlap: fl
         wanted = spark.createDataFrame([(t.decode(),) for t in sorted(terms)], "t string")
         shared = spark.sparkContext.broadcast((part, {r["t"].encode(): r["count"] for r in df.join(wanted, "t", "left_semi").collect()} if groups > 1 else {r["t"].encode(): r["count"] for r in df.collect()}))
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            name = (shared.id if hasattr(shared, "id") else id(shared), overlap)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = _INDEXES.get(name)
             if index is None:
                 _INDEXES.clear()
-                index = _INDEXES[name] = Index(*shared.value, n_items, mean, overlap)
+                index = _INDEXES[name] = Index(*shared.value, n_items, mean, overlap, window=window)
             for batch in batches:
                 at, out = [], []
-                for i, item, x in index.search(utf8(batch.column(batch.num_columns - 1)), threshold, wide):
+                for i, item, x in index.search(utf8(batch.column(batch.num_columns - 1)), threshold):
                     at.append(i)
                     out.append((index.ids[item], *x))
                 if out:
@@ -330,8 +349,7 @@ def _search(rows: DataFrame, benchmark: DataFrame, threshold: float, overlap: fl
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, window: int = 64, group_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document and item that it leaks.
 
-    A window has at least twice the words of the longest item or passage, so any item of up to `PASSAGE` words and any
-    passage of a longer one lies whole in one.
+    window: the least words of a window; each item of up to `PASSAGE` words and each passage of a longer one lies whole in one of its own size. Ids are whole numbers.
     """
     return _search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, threshold, overlap, window, group_bytes)
 

@@ -492,7 +492,7 @@ def test_decontamination_of_long_items(spark):
 
 
 def brute_leaks(docs, items, threshold=0.6, overlap=0.5):
-    """The contract in plain Python: every window of 512 or twice the longest passage's words against every item and passage."""
+    """The contract in plain Python: every item and passage against every window of its own size, twice its words, up to a power of two, 64 at least."""
     words = lambda t: re.findall(r"[^\s!-/:-@\[-`{-~]+", (t or "").lower())
     whole = {k: w for k in items if (w := words(k[1]))}
     df, n, mean = {}, len(whole), sum(map(len, whole.values())) / max(1, len(whole))
@@ -504,16 +504,17 @@ def brute_leaks(docs, items, threshold=0.6, overlap=0.5):
     for _, w in indexed:
         own = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
         weights.append({t: x / sum(own.values()) for t, x in own.items()})
-    step = max(64, min(512, 2 * max(len(w) for _, w in indexed))) // 2
+    step = lambda w: next(size for size in (64, 128, 256, 512) if size >= 2 * len(w)) // 2
     grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
     out = {}
     for d, t in docs:
         w = words(t)
-        halves = -(-len(w) // step)
-        for h in range(max(1, halves - 1) if w else 0):
-            s, e = h * step, min(len(w), (h + 2) * step)
-            here = set(w[s:e])
-            for (key, _), own in zip(indexed, weights):
+        for (key, p), own in zip(indexed, weights):
+            size = step(p[:256])
+            halves = -(-len(w) // size)
+            for h in range(max(1, halves - 1) if w else 0):
+                s, e = h * size, min(len(w), (h + 2) * size)
+                here = set(w[s:e])
                 score = sum(x for t, x in own.items() if t in here)
                 if score < threshold:
                     continue
@@ -548,6 +549,39 @@ def test_decontamination_against_brute_force(spark, group_bytes):
     assert got == want and len({x[1] for x in got}) > 15  # the passes see the same rows, whatever the groups
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10_000), st.lists(st.sampled_from([1, 5, 20, 33, 70, 129, 256, 300, 3000]), min_size=1, max_size=4))
+def test_other_items_leave_windows_alone(seed, sizes):
+    """What is found of some items, scores included, doesn't depend on which further items there are, by equal frequencies and mean length."""
+    r = random.Random(seed)
+    vocab = [f"w{i}".encode() for i in range(120)]
+    prose = lambda n: b" ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, prose(r.choice([12, 30, 40, 90]))) for i in range(6)]
+    more = [(100 + i, prose(n)) for i, n in enumerate(sizes)]
+    texts = []
+    for _, t in items:  # an item's parts, scattered
+        words = t.split()
+        texts.append(b" ".join(x for at in range(0, len(words), 5) for x in (*words[at : at + 5], *prose(r.choice([0, 3, 9, 40])).split())))
+    df = {t: r.randint(1, 5) for t in vocab}
+    found = []
+    for some in (items, items + more):
+        index = decontamination.Index(some, df, 20, 50.0, 0.5)
+        found.append(sorted((t, index.ids[i], x) for t, i, x in index.search(texts, 0.6) if index.ids[i] < 100))
+    assert [(t, i) for t, i, _ in found[0]] == [(t, i) for t, i, _ in found[1]]
+    assert [x for *_, x in found[0]] == [pytest.approx(x, abs=1e-9) for *_, x in found[1]]
+
+
+def test_a_long_item_beside_short_ones(spark):
+    """Items of 30 words whose parts are scattered over 200 words, with and without an unrelated item of 300."""
+    r = random.Random(5)
+    items = [(i, [f"i{i}x{k}" for k in range(30)]) for i in range(40)]
+    docs = [(i, [x for at in range(0, 30, 6) for x in (*w[at : at + 6], *(f"f{r.randrange(500)}" for _ in range(40)))]) for i, w in items[:10]] + [(50, items[20][1])]
+    long = (99, [f"u{k}" for k in range(300)])
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    for bench in (items, [*items, long]):
+        assert {(x["doc_id"], x["item_id"]) for x in decontamination.leaks(frame(docs, "doc_id"), frame(bench, "item_id")).collect()} == {(50, 20)}
+
+
 def test_leaking_rows_go_one_by_one(spark):
     item = "what is the tallest mountain of the northern island answer it is called white peak"
     rows = [(None, "x " + item, 1), (None, "clean words here", 2), (5, item, 3), (5, "another clean text", 4), (6, None, 5), (None, "clean words here", 6)]
