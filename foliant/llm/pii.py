@@ -12,11 +12,14 @@ word before it, the two words before, and the word before with the word after. W
 reach back to the match before and on to the next.
 
 In each round a pattern scores, for a kind, what its known values of that kind weigh (seeds 1, accepted values their
-score) by all that it holds: known values of any kind, candidates whose shape doesn't allow the kind, `doubt` of each open
-candidate, and half a value more. A pattern with score `sure` and `support` known values accepts its open candidates, at its score;
-what a round accepts is known in the next one, and so brings in the patterns it stands in elsewhere. Rounds end when nothing new
-is accepted, after `rounds` at most. An accepted value is marked wherever it stands as a candidate. Scores are whole millionths, so
-sums don't depend on their order.
+score) by all that speaks on it: known values of any kind, candidates whose shape doesn't allow the kind, `doubt` for each doubted
+candidate, and half a value more. The number of open candidates says nothing by itself: seeds may be few among many that only the
+context tells. In a pattern a candidate is doubted for a kind while it stands there within a foreign pattern too: one with `support` open candidates or more and no known value of that
+kind. So where a word stands before identifiers and before other numbers alike, the longer patterns around the others speak against it.
+A pattern with score `sure` and `support` known values accepts its open candidates, at its score;
+what a round accepts is known in the next one, and so brings in the patterns it stands in elsewhere. Rounds end when one accepts the same values at the same
+scores as the one before, or after `rounds`: patterns that only a longer chain of accepted values would reach are then left out. An accepted value is marked
+wherever it stands as a candidate. Scores are whole millionths, so sums don't depend on their order.
 
 Rows are told apart by their place while the operator runs. Values and patterns are kept as hashes only. Every count is over distinct
 (pattern, value), reduced before the shuffle; joins are between written tables, of which a small one is sent to all tasks and a
@@ -172,9 +175,11 @@ def extract(docs: DataFrame) -> DataFrame:
     return seen.select("doc_id", F.transform("base", lambda x: F.struct(x["kind"], x["s"], x["e"])).alias("base"), marks.alias("marks"))
 
 
-def bootstrap(marks: DataFrame, rounds: int = 6, sure: float = 0.8, support: int = 5, doubt: float = 0.2) -> DataFrame:
-    """(v, kind, score) of the accepted values. marks: p, v, kinds, seed."""
-    edges = stash(marks.select("p", "v", "kinds", "seed").distinct(), "edges")
+def bootstrap(marks: DataFrame, rounds: int = 6, sure: float = 0.8, support: int = 5, doubt: float = 1.0) -> DataFrame:
+    """(v, kind, score) of the accepted values. marks: p (the patterns of a place), v, kinds, seed."""
+    edges = stash(marks.select(F.explode("p").alias("p"), "v", "kinds", "seed").distinct(), "edges")
+    beside = marks.where("not seed").select(F.explode("p").alias("p"), F.col("p").alias("_all"), "v", "kinds").select("p", F.explode("_all").alias("q"), "v", F.explode("kinds").alias("kind"))
+    beside = stash(beside.where("p <> q").distinct(), "beside")  # two patterns of one place
     seeded = edges.where("seed").select("p", F.col("kinds")[0].alias("kind"), "v").distinct().groupBy("p", "kind").agg(F.count(F.lit(1)).alias("n"))
     open_ = edges.where("not seed").select("p", "v", "kinds").distinct()
     total = open_.groupBy("p").agg(F.count(F.lit(1)).alias("all_open"))
@@ -184,24 +189,29 @@ def bootstrap(marks: DataFrame, rounds: int = 6, sure: float = 0.8, support: int
     others = shaped.join(seeded.withColumnRenamed("kind", "other"), "p", "left").groupBy("p", "kind").agg(F.max("shaped").alias("shaped"), F.coalesce(F.max(by_kind), F.lit(0)).alias("seeds"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_seeds"))
     fixed = stash(others.join(total, "p").select("p", "kind", "seeds", "all_seeds", (F.col("all_open") - F.col("shaped")).alias("misfits")), "patterns")
     spark = marks.sparkSession
-    accepted, n = spark.createDataFrame([], "v long, kind int, score long"), 0
+    accepted, last = spark.createDataFrame([], "v long, kind int, score long"), None
     for _ in range(rounds):
         known = accepted.select("v", F.col("kind").alias("_kind"), "score")
         mine = F.col("_kind") == F.col("kind")
         told = graph.join(small_side(known), "v", "left").groupBy("p", "kind").agg(
             F.coalesce(F.sum(F.when(mine, F.col("score"))), F.lit(0)).alias("more"), F.count(F.when(mine, 1)).alias("n_more"), F.count(F.when(~mine, 1)).alias("against"), F.count(F.when(F.col("_kind").isNull(), 1)).alias("left")
         )
-        told = stash(told, "told")
+        told = stash(fixed.join(small_side(told), ["p", "kind"]), "told")
+        n_known = F.col("seeds") + F.col("n_more")
+        live = stash(told.where(n_known >= support), "live")
+        foreign = stash(told.where((n_known == 0) & (F.col("left") >= support)).select(F.col("p").alias("q"), "kind"), "foreign")
+        doubted = beside.join(small_side(live.select("p", "kind")), ["p", "kind"], "left_semi").join(small_side(foreign), ["q", "kind"], "left_semi").join(small_side(known.select("v")), "v", "left_anti")
+        doubts = stash(doubted.select("p", "kind", "v").distinct().groupBy("p", "kind").agg(F.count(F.lit(1)).alias("doubted")), "doubts")
         weight = F.col("seeds") + F.col("more") / MILLION
-        score = weight / (F.col("all_seeds") + F.col("more") / MILLION + F.col("against") + F.col("misfits") + doubt * F.col("left") + 0.5)
-        scored = fixed.join(small_side(told), ["p", "kind"]).where(F.col("seeds") + F.col("n_more") >= support).select("p", "kind", F.round(score * MILLION).cast("long").alias("score"))
+        score = weight / (F.col("all_seeds") + F.col("more") / MILLION + F.col("against") + F.col("misfits") + doubt * F.coalesce("doubted", F.lit(0)) + 0.5)
+        scored = live.join(small_side(doubts), ["p", "kind"], "left").select("p", "kind", F.round(score * MILLION).cast("long").alias("score"))
         good = stash(scored.where(F.col("score") >= round(sure * MILLION)), "good")
         best = F.max_by("kind", F.struct("score", -F.col("kind")))
         accepted = stash(graph.join(small_side(good), ["p", "kind"]).groupBy("v").agg(best.alias("kind"), F.max("score").alias("score")), "accepted")
-        now = accepted.count()
-        if now == n:
+        now = accepted.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.lit(1), "v", "kind", "score")), F.bit_xor(F.xxhash64(F.lit(2), "v", "kind", "score"))).first()  # tells sets apart
+        if now == last or not now[0]:
             break
-        n = now
+        last = now
     return accepted
 
 
@@ -215,11 +225,11 @@ def of_kind(k: int):
     return lambda x: x["kind"] == k
 
 
-def personal_data(docs: DataFrame, rounds: int = 6, sure: float = 0.8, support: int = 5, doubt: float = 0.2) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int = 6, sure: float = 0.8, support: int = 5, doubt: float = 1.0) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the seeds, spans with those found too, and n_found, their number."""
     rows = stash(extract(docs).withColumn("uid", F.monotonically_increasing_id()), "spans")
     marks = rows.select("uid", F.explode("marks").alias("m")).select("uid", "m.*")
-    accepted = bootstrap(marks.withColumn("p", F.explode("p")), rounds, sure, support, doubt)
+    accepted = bootstrap(marks, rounds, sure, support, doubt)
     hits = marks.where("not seed").select("uid", "v", "s", "e").join(small_side(accepted.select("v", "kind")), "v")
     found = hits.groupBy("uid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("found"))  # spans of one document
     out = rows.select("uid", "doc_id", "base").join(small_side(stash(found, "found")), "uid", "left")

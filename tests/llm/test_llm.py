@@ -335,11 +335,11 @@ def test_pii_accepted_values_bring_in_their_other_patterns(spark):
     assert got[72:] == ["ip:10:23", ""]
 
 
-def brute_bootstrap(texts, rounds=6, sure=0.8, support=5, doubt=0.2):
+def brute_bootstrap(texts, rounds=6, sure=0.8, support=5, doubt=1.0):
     """All spans of each text, with the graph of patterns and values as plain dictionaries."""
     import regex
 
-    names, seen, edges = dict(enumerate(pii.KINDS)), [], {}
+    names, seen, edges, beside = dict(enumerate(pii.KINDS)), [], {}, {}
     for t in texts:
         base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_pii(t).split(",") if x)]
         taken, spans = [(a, b) for _, a, b in base], []
@@ -364,26 +364,29 @@ def brute_bootstrap(texts, rounds=6, sure=0.8, support=5, doubt=0.2):
             shape = [k for k, ok in ((0, re.fullmatch("[^@]+@[^@]+", v)), (1, re.fullmatch(r"[0-9]+(\.[0-9]+){3}|[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{0,4}){2,7}", v)), (2, re.fullmatch("[0-9 -]+", v) and 12 <= digits <= 19), (3, re.fullmatch("[+0-9 ().-]+", v) and 7 <= digits <= 15)) if ok]
             for x in ps:
                 edges.setdefault(x, {}).setdefault((v, kind), shape)
+                if kind is None:
+                    beside.setdefault((x, v), set()).update(y for y in ps if y != x)
             marks.append((a, b, v, kind))
         seen.append((base, marks))
     accepted = {}
     for _ in range(rounds):
-        best = {}
-        for held in edges.values():
+        best, state = {}, {}
+        for p, held in edges.items():
             for k in range(4):
-                seeds = sum(kind == names[k] for _, kind in held)
-                mine = [accepted[v][1] for (v, kind), shape in held.items() if kind is None and k in shape and v in accepted and accepted[v][0] == k]
-                against = sum(kind is None and k in shape and v in accepted and accepted[v][0] != k for (v, kind), shape in held.items())
-                left = sum(kind is None and k in shape and v not in accepted for (v, kind), shape in held.items())
-                misfits = sum(kind is None and k not in shape for (_, kind), shape in held.items())
-                known = sum(kind is not None for _, kind in held)
-                score = round(1e6 * (seeds + sum(mine) / 1e6) / (known + sum(mine) / 1e6 + against + misfits + doubt * left + 0.5))
-                if seeds + len(mine) >= support and score >= sure * 1e6:
-                    for (v, kind), shape in held.items():
-                        if kind is None and k in shape:
-                            best[v] = max(best.get(v, (0, 0)), (score, -k))
+                shaped = [v for (v, kind), shape in held.items() if kind is None and k in shape]
+                mine = [accepted[v][1] for v in shaped if v in accepted and accepted[v][0] == k]
+                state[p, k] = (sum(kind == names[k] for _, kind in held), mine, [v for v in shaped if v not in accepted], shaped)
+        foreign = {x for x, (seeds, mine, left, _) in state.items() if not seeds and not mine and len(left) >= support}
+        for (p, k), (seeds, mine, left, shaped) in state.items():
+            against = sum(v in accepted and accepted[v][0] != k for v in shaped)
+            misfits = sum(kind is None and k not in shape for (_, kind), shape in edges[p].items())
+            known = sum(kind is not None for _, kind in edges[p])
+            score = round(1e6 * (seeds + sum(mine) / 1e6) / (known + sum(mine) / 1e6 + against + misfits + doubt * sum(any((q, k) in foreign for q in beside[p, v]) for v in left) + 0.5))
+            if seeds + len(mine) >= support and score >= sure * 1e6:
+                for v in shaped:
+                    best[v] = max(best.get(v, (0, 0)), (score, -k))
         found = {v: (-k, score) for v, (score, k) in best.items()}
-        done, accepted = len(found) == len(accepted), found
+        done, accepted = found == accepted, found
         if done:
             break
     out = []
@@ -393,6 +396,23 @@ def brute_bootstrap(texts, rounds=6, sure=0.8, support=5, doubt=0.2):
     return out
 
 
+@pytest.mark.parametrize("n_seeds, n_unseen", [(8, 9), (40, 60), (100, 400)])
+def test_pii_finds_more_unseen_than_seeds(spark, n_seeds, n_unseen):
+    """Few seeds among many identifiers that only the context tells; numbers in other contexts stay."""
+    texts = [f"dial us +1 {200 + i} 555 {1000 + i} now" for i in range(n_seeds)] + [f"dial us 0{600 + i} {1234567 + i} now" for i in range(n_unseen)]
+    texts += [f"order 0888-{1000000 + i} came" for i in range(50)] + [f"x{i} said order 0{5550000 + i}" for i in range(50)]
+    got = [x["n_found"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert not any(got[:n_seeds]) and sum(got[n_seeds : n_seeds + n_unseen]) >= 0.9 * n_unseen and not any(got[n_seeds + n_unseen :])
+
+
+def test_pii_mixed_patterns_are_doubted(spark):
+    """One word stands before identifiers and before other numbers: the longer patterns tell them apart."""
+    texts = [f"reach us at +1 {200 + i} 555 {1000 + i} daily" for i in range(20)] + [f"reach us at 0664 {1234567 + i} daily" for i in range(30)]
+    texts += [f"part at 0664 {7654321 + i} shipped" for i in range(200)]
+    got = [x["n_found"] for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got == [0] * 20 + [1] * 30 + [0] * 200
+
+
 def test_pii_against_brute_force(spark):
     """Planted identifiers in prose: the same spans as by plain dictionaries, and nine in ten of the planted ones."""
     r = random.Random(12)
