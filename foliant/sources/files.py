@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from importlib.util import find_spec
 from shutil import which
@@ -91,8 +92,12 @@ def validate(files: DataFrame, name: str = "filename", content: str = "content")
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 RELS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-SKIPPED = {W + "del", W + "moveFrom", W + "rPr", W + "pPr", W + "instrText"}
-PARAGRAPH = "para_no int, text string, style string, outline_level int, bold boolean, italic boolean, size double, indent_pt double, list_level int, in_table boolean, table_col int"
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+TWIPS = 20  # a point
+# Characters of symbol fonts that are a list's mark.
+SYMBOL_MARKS = frozenset("F0B7 F0A7 F06F F075 F0D8 F0FC F0A8".split())
+SKIPPED = {W + "del", W + "moveFrom", W + "rPr", W + "pPr", W + "instrText", W + "txbxContent"}
+PARAGRAPH = "para_no int, text string, style string, outline_level int, bold boolean, italic boolean, size double, indent_pt double, list_level int, list_bullet boolean, tab_stops array<double>, in_table boolean, table_col int"
 
 
 def _on(el) -> bool | None:
@@ -110,7 +115,8 @@ class Docx:
         for s in styles.iter(W + "style") if styles is not None else ():
             self.styles[s.get(W + "styleId")] = s
         defaults = styles.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr/{W}sz") if styles is not None else None
-        self.size = int(defaults.get(W + "val")) / 2 if defaults is not None else 10.0
+        self.size = int(defaults.get(W + "val")) / 2 if defaults is not None else 10.5
+        self.lists = self.numbering()
         rels = self.part("word/_rels/document.xml.rels")
         for r in rels if rels is not None else ():
             self.links[r.get("Id")] = r.get("Target", "")
@@ -122,6 +128,31 @@ class Docx:
         except KeyError:
             return None
 
+    def numbering(self) -> dict[tuple[str, int], tuple[bool, float | None]]:
+        """Of each list and level: whether its mark is a bullet, and its indent; a list's own levels go before those of what it refers to."""
+        root = self.part("word/numbering.xml")
+        if root is None:
+            return {}
+        value = lambda el, path, default=None: default if el is None or (x := el.find(path)) is None else x.get(W + "val", default)
+
+        def levels(node) -> dict[int, tuple[bool, float | None]]:
+            return {int(x.get(W + "ilvl", "0")): (value(x, W + "numFmt", "bullet") == "bullet", self.indent(x.find(f"{W}pPr/{W}ind"))) for x in node.iter(W + "lvl")}
+
+        shared = {a.get(W + "abstractNumId"): levels(a) for a in root.findall(W + "abstractNum")}
+        out = {}
+        for num in root.findall(W + "num"):
+            for level, what in {**shared.get(value(num, W + "abstractNumId"), {}), **levels(num)}.items():
+                out[num.get(W + "numId"), level] = what
+        return out
+
+    @staticmethod
+    def indent(el) -> float | None:
+        """Points from the margin to where the first line or its mark begins."""
+        if el is None:
+            return None
+        twips = lambda *names: next((float(x) for n in names if (x := el.get(W + n))), 0.0)
+        return max(0.0, twips("left", "start") - twips("hanging")) / TWIPS
+
     def style(self, style_id: str | None) -> list:
         """The style and those that it is based on; a circle ends."""
         chain, seen = [], set()
@@ -132,19 +163,28 @@ class Docx:
             style_id = base.get(W + "val") if base is not None else None
         return chain
 
+    @staticmethod
+    def chosen(el):
+        """Of one content in several forms the oldest, which all readers know."""
+        return next((x for x in (el.find(MC + "Fallback"), el.find(MC + "Choice")) if x is not None), ())
+
     def runs(self, node, targets: list[str]) -> Iterator[tuple[str, object]]:
         for el in node:
             if el.tag in SKIPPED:
                 continue
-            if el.tag == W + "r":
+            if el.tag == MC + "AlternateContent":
+                yield from self.runs(self.chosen(el), targets)
+            elif el.tag == W + "r":
                 props, text = el.find(W + "rPr"), ""
                 for x in el:
                     if x.tag == W + "t":
                         text += x.text or ""
                     elif x.tag in (W + "br", W + "cr"):
                         text += "\n"
+                    elif x.tag == W + "sym":
+                        text += "" if x.get(W + "char", "").upper() in SYMBOL_MARKS else "•"
                     else:
-                        text += {W + "tab": "\t", W + "noBreakHyphen": "-", W + "sym": "•"}.get(x.tag, "")
+                        text += {W + "tab": "\t", W + "noBreakHyphen": "-"}.get(x.tag, "")
                 yield text, props
             else:
                 if el.tag == W + "hyperlink" and (to := self.links.get(el.get(RELS + "id"))):
@@ -162,10 +202,15 @@ class Docx:
         heading = re.match(r"(?i)heading (\d)$", name)
         level = next((int(x.get(W + "val")) for x in [get(W + "outlineLvl"), *(s.find(f"{W}pPr/{W}outlineLvl") for s in chain)] if x is not None), -1)
         level = int(heading[1]) if heading else 1 if name.lower() == "title" else level + 1
-        numbering = next((x for x in [get(W + "numPr"), *(s.find(f"{W}pPr/{W}numPr") for s in chain)] if x is not None), None)
-        depth = numbering.find(W + "ilvl") if numbering is not None else None
-        indent = next((x for x in [get(W + "ind"), *(s.find(f"{W}pPr/{W}ind") for s in chain)] if x is not None), None)
-        twips = lambda *names: next((int(float(indent.get(W + n))) for n in names if indent is not None and indent.get(W + n)), 0)
+        listed = next((x for x in [get(W + "numPr"), *(s.find(f"{W}pPr/{W}numPr") for s in chain)] if x is not None and x.find(W + "numId") is not None), None)
+        number = listed.find(W + "numId").get(W + "val") if listed is not None else "0"  # 0 takes a paragraph out of its style's list
+        depth = listed.find(W + "ilvl") if listed is not None else None
+        level_of_list = -1 if number == "0" else int(depth.get(W + "val")) if depth is not None else 0
+        bullet, list_indent = self.lists.get((number, level_of_list), (True, None))
+        indents = [self.indent(get(W + "ind")), list_indent, *(self.indent(s.find(f"{W}pPr/{W}ind")) for s in chain)]
+        tabs = get(W + "tabs")
+        stops = [float(t.get(W + "pos", "0")) / TWIPS for t in tabs if t.get(W + "val") != "clear"] if tabs is not None else []
+
         def weighted(tag: str) -> bool:
             on = total = 0
             for t, r in runs:
@@ -175,7 +220,7 @@ class Docx:
             return total > 0 and on > 0.6 * total
         sizes = [int(x.get(W + "val")) / 2 for _, r in runs if r is not None and (x := r.find(W + "sz")) is not None]
         based = next((int(x.get(W + "val")) / 2 for s in chain if (x := s.find(f"{W}rPr/{W}sz")) is not None), self.size)
-        row = dict(style=name, outline_level=level, bold=weighted("b"), italic=weighted("i"), size=max(sizes, default=based), indent_pt=(twips("left", "start") - twips("hanging")) / 20, list_level=-1 if numbering is None else int(depth.get(W + "val")) if depth is not None else 0, in_table=in_table, table_col=col)
+        row = dict(style=name, outline_level=level, bold=weighted("b"), italic=weighted("i"), size=max(sizes, default=based), indent_pt=next((x for x in indents if x is not None), 0.0), list_level=level_of_list, list_bullet=bullet, tab_stops=stops, in_table=in_table, table_col=col)
         text = "".join(t for t, _ in runs)
         for piece in text.split("\n"):
             if piece.strip():
@@ -206,12 +251,16 @@ class Docx:
         for el in node:
             if el.tag == W + "p":
                 self.paragraph(el, False, 0)
-                for box in el.iter(W + "txbxContent"):
+                old = {id(x) for f in el.iter(MC + "Fallback") for x in f.iter(W + "txbxContent")}  # a box and its older form are one
+                boxes = [x for x in el.iter(W + "txbxContent")]
+                for box in [x for x in boxes if id(x) not in old] or boxes:
                     self.walk(box)
             elif el.tag == W + "tbl":
                 self.table(el)
-            elif el.tag in (W + "sdt", W + "sdtContent", W + "body"):
+            elif el.tag in (W + "sdt", W + "sdtContent", W + "body", W + "hdr"):
                 self.walk(el)
+            elif el.tag == MC + "AlternateContent":
+                self.walk(self.chosen(el))
 
     def paragraphs(self) -> list[dict]:
         for name in sorted(n for n in self.archive.namelist() if re.match(r"word/header\d*\.xml$", n))[:2]:
@@ -220,16 +269,44 @@ class Docx:
         return [{"para_no": i, **row} for i, row in enumerate(self.out)]
 
 
-def _paragraphs(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def flat_paragraphs(data: bytes) -> list[dict]:
+    """The texts of the document's paragraphs alone, without looks or lists."""
+    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
+    marks = {W + "tab": "\t", W + "br": "\n", W + "cr": "\n"}
+    texts = ["".join(x.text or "" if x.tag == W + "t" else marks.get(x.tag, "") for x in p.iter()) for p in root.iter(W + "p")]
+    plain = dict(style="", outline_level=0, bold=False, italic=False, size=10.5, indent_pt=0.0, list_level=-1, list_bullet=True, tab_stops=[], in_table=False, table_col=0)
+    return [{"para_no": i, "text": t, **plain} for i, t in enumerate(x.strip(" ") for text in texts for x in text.split("\n") if x.strip())]
+
+
+def _read_docx(data: bytes | None) -> dict:
+    """method, code and paragraphs: the structured reader, else the flat one, else the failure's code; one bad file ends no job."""
+    found, method = [], ""
+    for method, read in (("docx-xml", lambda: Docx(data).paragraphs()), ("docx-fallback", lambda: flat_paragraphs(data))):
+        try:
+            found = read()
+            break
+        except (zipfile.BadZipFile, zipfile.LargeZipFile, ElementTree.ParseError, KeyError, ValueError, TypeError, AttributeError, NotImplementedError, RuntimeError, OSError, zlib.error):
+            found, method = None, ""
+    code = "corrupt_docx" if found is None else "" if found else "no_text"
+    return {"method": method, "code": code, "paragraphs": found or []}
+
+
+def _read_parts(content: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in content:
-        yield part.map(lambda data: Docx(data).paragraphs(), na_action="ignore")
+        yield pd.DataFrame([_read_docx(x) for x in part], columns=["method", "code", "paragraphs"])
+
+
+def read_docx(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """key, method (docx-xml, docx-fallback or none), status (200 or 422), code and paragraphs of each file."""
+    kind = f"struct<method:string,code:string,paragraphs:array<struct<{', '.join(x.replace(' ', ':', 1) for x in PARAGRAPH.split(', '))}>>>"
+    read = F.pandas_udf(_read_parts, kind)
+    found = files.select(key, read(F.col(content)).alias("d"))
+    return found.select(key, "d.method", F.when(F.col("d.code") == "", 200).otherwise(422).alias("status"), "d.code", "d.paragraphs")
 
 
 def docx_paragraphs(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """A row for each paragraph of each DOCX: text (tabs kept, soft breaks divide), style, outline level, weight, size, list and table place."""
-    kind = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in PARAGRAPH.split(', '))}>>"
-    read = F.pandas_udf(_paragraphs, kind)
-    return files.select(key, F.explode(read(F.col(content))).alias("p")).select(key, "p.*")
+    """A row for each paragraph of each readable DOCX: text (tabs kept, soft breaks divide), style, outline level, weight, size, list, tab stops and table place."""
+    return read_docx(files, key, content).select(key, F.inline("paragraphs"))
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
