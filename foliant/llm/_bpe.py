@@ -105,8 +105,9 @@ class Pieces:
 
         self.tokenizer, self.most, self.longest, self.known, self.once = Tokenizer.from_file(path), most, longest, {}, []
         self.dtype = np.dtype("<u4") if wide or self.tokenizer.get_vocab_size() > 65536 else np.dtype("<u2")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        first = "".join(sorted({re.escape(x[0]) for x in self.special}))
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
+        first = "".join(sorted({re.escape(x[0]) for x in special}))
         self.simple = re.compile(rf" ?[^\s{first}]+")  # pieces that may stand in one text, divided by line feeds
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
@@ -122,16 +123,12 @@ class Pieces:
         new = [p for p in wanted if p not in known]
         if len(known) + len(new) > self.most:
             self.known = known = {p: known[p] for p in wanted if p in known}
-        punctuated = [(p, c) for p in new if p[-1] in PUNCTUATION and (c := p.rstrip(PUNCTUATION))[-1:] in LETTERS and not any(x in p for x in self.special)]
-        if punctuated:
-            whole = dict(punctuated)
-            parts = {x for p, c in punctuated for x in (c, p[len(c) :]) if x not in known}
-            self.encode_new([*parts.union(p for p in new if p not in whole)])
-            for p, c in punctuated:
-                known[p] = known[c] + known[p[len(c) :]]
-            new += parts
-        else:
-            self.encode_new(new)
+        whole = {p: c for p in new if p[-1] in PUNCTUATION and (c := p.rstrip(PUNCTUATION))[-1:] in LETTERS and not self.special(p)}
+        parts = {x for p, c in whole.items() for x in (c, p[len(c) :]) if x not in known}
+        self.encode_new([*parts.union(p for p in new if p not in whole)])
+        for p, c in whole.items():
+            known[p] = known[c] + known[p[len(c) :]]
+        new += parts
         self.once = [p for p in new if len(p) > self.longest]
         return known
 

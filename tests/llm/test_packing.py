@@ -11,8 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.llm import packing, queries
-from foliant.llm._bpe import default_tokenizer, loaded
+from foliant.llm._bpe import Pieces, default_tokenizer, loaded
 
+ENCODERS: dict[int, Pieces] = {}
 SCHEMA = "doc_id long, text string, ids string, loss string, segments int, offset long, parts string"
 
 
@@ -154,13 +155,19 @@ def test_query(spark):
 
 
 def test_long_pieces_are_not_kept():
-    from foliant.llm._bpe import Pieces
-
     encoder = Pieces(default_tokenizer())
     for n in range(3):
-        texts = ["漢字" * (5_000 + n), "x" * (20_000 + n), "word. next,\nline (of) words!", "A<|endoftext|>. b\n<|endoftext|>,"]
+        texts = ["漢字" * (5_000 + n), "x" * (20_000 + n), "word. next,\nline (of) words!", "A<|endoftext|>. b\n<|endoftext|>,", "a " + "y" * (30_000 + n) + " b"]
         got = encoder.encode(texts)
         assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [tokens(t) for t in texts]
-        assert sum(map(len, encoder.known)) < 31_000
-    encoder.encode(["a"])
-    assert sum(map(len, encoder.known)) < 200
+        assert sum(map(len, encoder.known)) < 91_000
+    encoder.encode(["a b"])
+    assert sum(map(len, encoder.known)) < 300
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["word", "it's", "é", "漢字", "12", "a.", "b,)", "\n", " ", "  ", "<|endoftext|>", "x" * 70, "\t", "!?", "Q&A"]), max_size=12).map("".join), max_size=6), st.integers(1, 12))
+def test_small_memories(texts, most):
+    """However little is remembered, the ids are those of the whole texts."""
+    encoder = ENCODERS.setdefault(most, Pieces(default_tokenizer(), most=most))
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [tokens(t) for t in texts]
