@@ -5,7 +5,8 @@ shapes (case, digits, marks), how varied the words are, and the share that repea
 layout: lines, line lengths, shares of white space, capitals, digits and marks. In each round both views score all
 unlabelled documents, and those that a view is surest of join the training rows of the other. At the end each view is
 calibrated on labelled rows that it was not fitted on (Platt), and the score of a document is the mean of both calibrated
-logits, weighted by what each view tells about the held-out rows.
+logits, weighted by what each view tells about the held-out rows. A document is kept where that outweighs two to one (`even`)
+for bad, not where the score is a half: among labels that are mostly good ones most bad documents would score above it.
 
 The fit uses at most `most_labelled` labelled documents, the first by hash of doc_id. Of the unlabelled ones none is left
 out of the rounds; what a view takes in a round is bounded: `share` of their number, counted up to `most_pool`, divided by
@@ -116,7 +117,7 @@ class View:
         w = w.astype(float) / np.sqrt(len(w))
         self.w = w[:-1] / self.scale
         self.b = w[-1] - float(self.mean @ self.w)
-        self.a, self.c, self.worth = 1.0, 0.0, 1.0
+        self.a, self.c, self.worth, self.good = 1.0, 0.0, 1.0, 0.5
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ class View:
             p = p - np.clip(np.linalg.solve(h, z.T @ (q - t) + 1e-2 * (p - [1, 0])), -2, 2)
         self.a, self.c = max(float(p[0]), 1e-3), float(p[1])
         q = np.clip(sigmoid(z @ [self.a, self.c]), 1e-6, 1 - 1e-6)
-        prior = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        self.good = prior = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
         least = -(prior * np.log(prior) + (1 - prior) * np.log(1 - prior))
         self.worth = max(0.02, 1 + float((y * np.log(q) + (1 - y) * np.log(1 - q)).mean()) / least)
 
@@ -155,6 +156,19 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, surest: C
     return models
 
 
+def even(models: list[View] | None, favour: float = 2.0) -> float:
+    """The score at which what the views say outweighs `favour` to one that a document is bad, whatever share of the labels is good.
+
+    Calibrated scores carry the share of good rows they were calibrated on; where that is large, a document may look bad and
+    still score above a half. Rejecting a good document counts as much as keeping `favour` bad ones.
+    """
+    if not models:
+        return 0.5
+    worth = [m.worth for m in models]
+    share = sum(w * np.log(m.good / (1 - m.good)) for w, m in zip(worth, models)) / sum(worth)
+    return float(sigmoid(share - np.log(favour)))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, key (of id, text, language and source), stratum (of language and source) and both views' features as packed numbers."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,6 +334,7 @@ def score(docs: DataFrame, models: list[View] | None, carry: list[str], threshol
     return docs.select(needed).mapInArrow(of, T.StructType(fields + own))
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, threshold: float = 0.5, only_kept: bool = False, **fit) -> DataFrame:
-    """Train on the labelled and the surest unlabelled documents, and score all."""
-    return score(docs, train(docs, labels, **fit), carry if carry is not None else docs.columns, threshold, only_kept)
+def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, threshold: float | None = None, only_kept: bool = False, favour: float = 2.0, **fit) -> DataFrame:
+    """Train on the labelled and the surest unlabelled documents, and score all; without a threshold `even` sets it."""
+    models = train(docs, labels, **fit)
+    return score(docs, models, carry if carry is not None else docs.columns, even(models, favour) if threshold is None else threshold, only_kept)

@@ -274,6 +274,65 @@ def test_classifier_learns_from_all_unlabelled_documents(spark):
     assert score(True) > score(False) + 1
 
 
+def plain_surest(rows, models, good, taken, most, share=0.1, sure=0.95):
+    """For either view the keys and labels of what the other is surest of, by sorting all unlabelled rows (key, stratum, both views' features)."""
+    edge, out = np.log(sure / (1 - sure)), []
+    for taker in (0, 1):
+        other, labels = 1 - taker, {}
+        found = [(r["key"], r["stratum"], float(models[other].logit(r["views"][other]))) for r in rows]
+        for label in (0, 1):
+            fit = [(s, -abs(z), k) for k, s, z in found if (z > 0) == label and abs(z) >= edge and k not in taken[taker]]
+            all_in = max(1, round(share * (good[taker] if label else 1 - good[taker]) * min(len(rows), most)))
+            for stratum in {s for s, _, _ in fit}:
+                own = sorted((z, k) for s, z, k in fit if s == stratum)
+                labels |= {k: label for _, k in own[: max(1, all_in * len(own) // max(all_in, len(fit)))]}
+        out.append(labels)
+    return out
+
+
+def test_rounds_take_the_surest(spark):
+    r = random.Random(9)
+    def text(good):
+        return ("\n" if good else " ").join(f"{'g' if r.random() < (0.9 if good else 0.2) else 'b'}{r.randrange(30)}" for _ in range(r.randint(5, 60)))
+    rows = [(i, text(i % 3 > 0), ["en", "de"][i % 2], f"s{i % 5 // 2}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    seen = quality_classifier.features(docs).cache()
+    plain = [{"key": x["key"], "stratum": x["stratum"], "doc_id": x["doc_id"], "views": [v[0] for v in quality_classifier.unpacked([x["at"]], [x["x"]], [x["meta"]])]} for x in seen.collect()]
+    first, rest = [x for x in plain if x["doc_id"] < 60], [x for x in plain if x["doc_id"] >= 60]
+    y = np.array([float(x["doc_id"] % 3 > 0) for x in first])
+    models = [quality_classifier.View().fit(np.array([x["views"][k] for x in first]), y) for k in (0, 1)]
+    good, most, taken = [y.mean()] * 2, 300, [set(), set()]
+    pool, by_key = quality_classifier.Pool(seen, known, most), {x["key"]: x for x in plain}
+    for _ in range(3):
+        want, got = plain_surest(rest, models, good, taken, most), pool.surest(models, good)
+        assert all(want)
+        for k, (x, labels) in enumerate(got):
+            keys = sorted(want[k])
+            assert labels.tolist() == [want[k][i] for i in keys]
+            assert np.allclose(x, np.array([by_key[i]["views"][k] for i in keys]))
+            taken[k] |= set(keys)
+
+
+def test_even_threshold():
+    a, b = quality_classifier.View(), quality_classifier.View()
+    a.good, b.good, a.worth, b.worth = 0.9, 0.5, 0.6, 0.2
+    odds = (9 ** 0.75) / 2  # the shares' odds by worth, against two to one
+    assert quality_classifier.even([a, b]) == pytest.approx(odds / (1 + odds)) and quality_classifier.even(None) == 0.5
+    a.good = 0.5
+    assert quality_classifier.even([a, b], favour=1) == pytest.approx(0.5)
+
+
+def test_classifier_on_labels_it_was_not_fitted_on(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no driver tables")
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    got = quality_classifier.classify(docs, labels.where(half == 0), carry=["doc_id"]).join(labels.where(half == 1), "doc_id").collect()
+    bad, good = ([x["kept"] for x in got if x["quality"] == q] for q in (0, 1))
+    assert len(bad) > 20 and bad.count(False) >= 0.9 * len(bad) and good.count(True) >= 0.98 * len(good)
+
+
 def brute_pii(t):
     t, out = t or "", []
     out += [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -715,7 +774,8 @@ def test_pipeline(spark):
 def plain_stages(spark, docs, labels, items):
     """What each stage leaves, in plain Python, of rows as dictionaries; the classifier's verdicts are its own."""
     frame = spark.createDataFrame(docs, PIPE)
-    scored = quality_classifier.score(frame, quality_classifier.train(frame, labels), frame.columns)
+    models = quality_classifier.train(frame, labels)
+    scored = quality_classifier.score(frame, models, frame.columns, quality_classifier.even(models))
     rows = [x.asDict() for x in scored.where("kept").select(frame.columns).collect()]
     yield rows
     fp, near = [brute_fingerprint(x["text"]) for x in rows], list(range(len(rows)))
