@@ -88,6 +88,32 @@ def _drained(spark, frame, mode):
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@query("""WITH e AS (SELECT ts, event_type, CASE WHEN event_id % 11 = 0 THEN ts + INTERVAL 4 DAY ELSE ts END AS arrived FROM events),
+b AS (SELECT *, date_diff('day', (SELECT min(arrived) FROM e)::DATE, arrived::DATE) // 6 AS step FROM e),
+w AS (SELECT step, max(max(ts)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS mark FROM b GROUP BY step),
+c AS (SELECT ts::DATE AS day, event_type, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, FALSE) AS late FROM b JOIN w USING (step))
+SELECT day, count(*) FILTER (NOT late AND event_type = 'view') AS views, count(*) FILTER (NOT late AND event_type = 'click') AS clicks, count(*) FILTER (NOT late) AS events, count(*) FILTER (late) AS late
+FROM c WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY day HAVING count(*) FILTER (NOT late) > 0""")
+def stream_daily_counts(spark, sf_dir):
+    """Finished days of events that arrive in steps of six days, one in eleven of them four days after it happened.
+
+    Each step is taken in by a stream that starts anew from its state; a day is finished two days after its end. late: events of
+    the day that came after that.
+    """
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    arrived = F.when(F.col("event_id") % 11 == 0, F.col("ts") + F.expr("interval 4 days")).otherwise(F.col("ts"))
+    first, last = events.agg(F.min(F.to_date(arrived)), F.max(F.to_date(arrived))).first()
+    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    events.limit(0).write.parquet(f"{root}-in")  # a stream's folder has to be there
+    counts = stream.daily(spark.readStream.schema(events.schema).parquet(f"{root}-in"), {"views": "event_type = 'view'", "clicks": "event_type = 'click'", "events": "true"}, late="2 days")
+    for step in range((last - first).days // 6 + 1 if first else 0):
+        events.where(F.floor(F.date_diff(arrived, F.lit(first)) / 6) == step).write.mode("append").parquet(f"{root}-in")
+        stream.take_in(counts, root, f"{root}-state")
+    found = spark.read.schema(counts.schema).parquet(root) if first else spark.createDataFrame([], counts.schema)
+    happened = events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("happened"))
+    return found.join(happened, "day").select("day", "views", "clicks", "events", (F.col("happened") - F.col("events")).alias("late"))
+
+
 @query(None)
 def headings(spark, sf_dir):
     """Lines that read like a section's heading, with the section."""

@@ -225,6 +225,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_stream_goes_on_from_its_state(spark, tmp_path):
+    """Days are written once, when they are over by the watermark; what comes for them after that is late."""
+    steps = [
+        ["01 01:00", "01 23:59", "02 05:00"],  # no day is over
+        ["02 06:00", "01 12:00", "04 00:00"],  # all in time; the watermark comes to the end of day 2
+        ["01 13:00", "02 23:00", "04 23:00"],  # days 1 and 2 are written, so two of these are late
+        ["02 08:00", "03 08:00", "06 23:00"],  # day 3 wasn't over yet
+        [],
+    ]
+    schema, days = "ts timestamp", []
+    (tmp_path / "in").mkdir()
+    counts = stream.daily(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), {"n": "true"}, late="1 day")
+    for step in steps:
+        if step:
+            spark.createDataFrame([(f"2024-01-{t}:00",) for t in step], "ts string").select(F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.take_in(counts, str(tmp_path / "out"), str(tmp_path / "state"))
+        days.append({r["day"].day: r["n"] for r in spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).collect()})
+    assert days == [{}, {1: 3, 2: 2}, {1: 3, 2: 2}, {1: 3, 2: 2, 3: 1, 4: 2}, {1: 3, 2: 2, 3: 1, 4: 2}]
+
+
 @pytest.mark.parametrize("name", ["pdf_text", "ocr"])
 def test_capabilities(spark, name):
     row = files.capabilities(spark).where(F.col("capability") == name).first()
