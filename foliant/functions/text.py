@@ -25,6 +25,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bounded(pattern: str) -> str:
+    r"""The pattern with \b between ASCII's word characters and all others; Java's own takes letters of any script into words, though \w doesn't."""
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def strip(c: Column, more: str = "") -> Column:
     """Without white space (and the characters of more) at both ends."""
     if not more:

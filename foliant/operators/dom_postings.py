@@ -32,14 +32,15 @@ def from_elements(parsed: DataFrame) -> DataFrame:
     salary, description and source, dom-known where a selector gave the description, else dom-generic."""
     elements, text = F.col("elements"), F.col("text")
     one_line = lambda c: F.translate(c, "\n", " ")
+    flat = one_line(text)  # what a text states may stand on two lines
     # the fields are read beside the text; only the descriptions without a selector's hit need the blocks
     read = parsed.select(
         "*",
         F.coalesce(F.nullif(one_line(E.element_text(text, F.get(F.filter(elements, lambda e: e["tag"] == "h1"), F.lit(0)))), F.lit("")), X.strip(F.get(F.split("title", "[-|]"), F.lit(0)))).alias("_title"),
         F.coalesce(one_line(E.first_text(COMPANY, elements, text, 2, 200)), P.titled_company(F.col("title"))).alias("company"),
-        F.coalesce(one_line(E.first_text(LOCATION, elements, text, 2, 200)), P.stated_location(text)).alias("location"),
-        P.employment_type(text).alias("employment_type"),
-        P.stated_salary(text).alias("salary"),
+        F.coalesce(one_line(E.first_text(LOCATION, elements, text, 2, 200)), P.stated_location(flat)).alias("location"),
+        P.employment_type(flat).alias("employment_type"),
+        P.stated_salary(flat).alias("salary"),
         E.first_text(DESCRIPTION, elements, text, 81).alias("_known"),
     )
     known = F.col("_known").isNotNull()
@@ -50,9 +51,9 @@ def from_elements(parsed: DataFrame) -> DataFrame:
     return out.select(*[c for c in parsed.columns if c not in ("title", "text", "elements")], *FIELDS)
 
 
-def page_postings(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """row, the carried columns and a posting's fields of each page: from its JSON-LD where it has a posting, else from its elements."""
+def page_postings(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id",), closed: bool = False) -> DataFrame:
+    """row, the carried columns and a posting's fields of each page: from its JSON-LD where it has a posting, else from its elements; closed as in `elements.parse_pages`."""
     found = pages.withColumn("_ld", P.json_ld(F.col(html)))
-    parsed = E.parse_pages(found, html, (*carry, "_ld"))
+    parsed = E.parse_pages(found, html, (*carry, "_ld"), closed)
     stated = parsed.where("_ld is not null").select("row", *carry, *(F.col(f"_ld.{f}").alias(f) for f in FIELDS[:-1]), F.lit("json-ld").alias("source"))
     return stated.unionByName(from_elements(parsed.where("_ld is null")).select("row", *carry, *FIELDS))

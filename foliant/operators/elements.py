@@ -35,15 +35,17 @@ BESIDE = frozenset("nav header footer aside".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANKS = re.compile(r"[ \t\r\n\f]+")
+OPEN_ENTITY = re.compile(r"&(?!amp|#?[a-zA-Z0-9]+;)")
 DEEPEST = 512
 
 ELEMENT = "n int, parent int, last int, tag string, id string, classes array<string>, attrs map<string,string>, start int, length int, link_length int, beside boolean"
 
 
 class Page:
-    """Reads one page from its start to its end."""
+    """Reads one page from its start to its end; closed: an entity without its semicolon, other than &amp, stands for itself."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, closed: bool = False):
+        self.unescape = (lambda raw: H.unescape(OPEN_ENTITY.sub("&amp;", raw))) if closed else H.unescape
         self.parts: list[str] = []
         self.size = self.links = self.link_from = 0  # characters of text so far, those in links, and the text where the outermost open link began
         self.gap = ""  # white space that waits for more text
@@ -70,7 +72,7 @@ class Page:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                 inside = html[at : end.start() if end else len(html)]
                 if name == "title":
-                    self.title.append(BLANKS.sub(" ", H.unescape(inside)).strip(" "))
+                    self.title.append(BLANKS.sub(" ", self.unescape(inside)).strip(" "))
                 self.text(inside)
                 self.end(name)
                 at = end.end() if end else len(html)
@@ -80,8 +82,8 @@ class Page:
     def text(self, raw: str) -> None:
         if not raw or any(self.count.get(t) for t in UNSEEN) or self.count.get("title"):
             return
-        bits = BLANKS.split(H.unescape(raw)) if BLANKS.search(raw) or "&" in raw else [raw]
-        gaps = BLANKS.findall(H.unescape(raw))
+        shown = self.unescape(raw) if "&" in raw else raw
+        bits, gaps = BLANKS.split(shown), BLANKS.findall(shown)
         for i, bit in enumerate(bits):
             if i:
                 self.gap = "\n" if "\n" in gaps[i - 1] or self.gap == "\n" else " "
@@ -145,8 +147,11 @@ class Page:
         return e[3]
 
 
-def parse_pages(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """row, the carried columns, title, text and elements of each page, as a written table; row tells pages apart, also equal ones."""
+def parse_pages(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id",), closed: bool = False) -> DataFrame:
+    """row, the carried columns, title, text and elements of each page, as a written table; row tells pages apart, also equal ones.
+
+    As in browsers an entity may lack its semicolon; with `closed` only &amp may.
+    """
     rows = pages.select(*(F.col(c) for c in carry), F.coalesce(html, F.lit("")).alias("_html"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("elements", T.ArrayType(T._parse_datatype_string(ELEMENT)))])
     kinds = [("n", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("length", pa.int32()), ("link_length", pa.int32()), ("beside", pa.bool_())]
@@ -155,7 +160,7 @@ def parse_pages(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = (
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                read_ = [Page(h) for h in part.column(part.num_columns - 1).to_pylist()]
+                read_ = [Page(h, closed) for h in part.column(part.num_columns - 1).to_pylist()]
                 every = [e for p in read_ for e in p.elements]
                 columns = [pa.array([list(e[i].items()) for e in every] if name == "attrs" else [e[i] for e in every], kind) for i, (name, kind) in enumerate(kinds)]
                 ends = [0]

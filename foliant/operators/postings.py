@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import strip
+from foliant.functions.text import bounded, strip
 
 # What a posting offers, by label and pattern.
 HIGHLIGHTS = (
@@ -54,16 +54,16 @@ def link_density(html: Column) -> Column:
 
 
 def highlights(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), label) for label, p in HIGHLIGHTS)))
+    return F.array_compact(F.array(*(F.when(text.rlike(bounded(f"(?i){p}")), label) for label, p in HIGHLIGHTS)))
 
 
 def experience_years(text: Column) -> Column:
     """The first phrase of years, as in the text."""
-    return F.regexp_extract(text, r"(?i)\b[0-9]{1,2}\+?\s*(?:(?:to|-|–|—)\s*[0-9]{1,2}\s*)?years?\b", 0)
+    return F.regexp_extract(text, bounded(r"(?i)\b[0-9]{1,2}\+?\s*(?:(?:to|-|–|—)\s*[0-9]{1,2}\s*)?years?\b"), 0)
 
 
 def seniority(text: Column) -> Column:
-    return F.regexp_extract(text, r"(?i)\b(Senior|Junior|Mid[- ]?level|Entry[- ]?level|Lead|Principal|Staff)\b", 1)
+    return F.regexp_extract(text, bounded(r"(?i)\b(Senior|Junior|Mid[- ]?level|Entry[- ]?level|Lead|Principal|Staff)\b"), 1)
 
 
 MARK = r"^[-•▪*●]\s*"
@@ -152,7 +152,7 @@ NO_COMPANY = ("least", "any", "all", "this", "that", "our", "the", "once", "firs
 
 
 def employment_type(text: Column) -> Column:
-    return F.regexp_extract(text, EMPLOYMENT, 1)
+    return F.regexp_extract(text, bounded(EMPLOYMENT), 1)
 
 
 def stated_salary(text: Column) -> Column:
@@ -163,13 +163,13 @@ def stated_salary(text: Column) -> Column:
 def stated_location(text: Column) -> Column:
     """City and country, else city and a state's two letters, as a page's text has them."""
     city = r"[A-Z][a-zA-Z.]+(?:\s[A-Z][a-zA-Z.]+)?"
-    country = F.regexp_extract(text, rf"\b({city},\s?(?:{'|'.join(COUNTRY_NAMES)}))\b", 1)
-    return F.coalesce(F.nullif(country, F.lit("")), F.regexp_extract(text, rf"\b({city},\s?[A-Z]{{2}})\b", 1))
+    country = F.regexp_extract(text, bounded(rf"\b({city},\s?(?:{'|'.join(COUNTRY_NAMES)}))\b"), 1)
+    return F.coalesce(F.nullif(country, F.lit("")), F.regexp_extract(text, bounded(rf"\b({city},\s?[A-Z]{{2}})\b"), 1))
 
 
 def titled_company(title_: Column) -> Column:
     """The employer that a page's title names: after `at`, or the second of three parts or more between dashes or bars."""
-    after = F.trim(F.regexp_extract(title_, r"\bat\s+([A-Z][\w&.,'\- ]{1,40})\b", 1))
+    after = F.trim(F.regexp_extract(title_, bounded(r"\bat\s+([A-Z][\w&.,'\- ]{1,40})\b"), 1))
     parts = F.filter(F.transform(F.split(title_, r"\s[-|–]\s"), lambda x: strip(x)), lambda x: x != "")
     named = F.when((after != "") & ~F.lower(after).isin(*NO_COMPANY), after)
     return F.coalesce(named, F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))), F.lit(""))

@@ -142,3 +142,17 @@ def test_titles_and_json_ld(spark):
     assert [(r["page_id"], r["title"], r["source"]) for r in rows] == [(0, "Baker", "dom-generic"), (1, "Head Chef", "dom-generic"), (1, "Head Chef", "dom-generic"), (2, "Cook", "json-ld"), (3, "", "dom-generic"), (4, "T", "dom-generic")]
     assert {r["tag"] for r in rows} == {"kept"}
     assert dom_postings.page_postings(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_entities_without_semicolon():
+    """Read as in browsers, or left as they stand but for &amp."""
+    raw = "a &quot &lt; &#39 &amp &ampx &copy; b &amp;quot"
+    assert of(raw)[0] == 'a " < \' & &x © b &quot'
+    assert "".join(elements.Page(raw, closed=True).parts) == "a &quot < &#39 & &x © b &quot"
+
+
+def test_statements_over_two_lines(spark):
+    page = "<body><p>A full</p><p>time post in Porto,</p><p>TX for $90K</p> - $120K</body>"
+    for html, want in ((page, ("Porto, TX", "full time", "$90K-$120K")), (page.replace("full</p><p>time", "full time"), ("Porto, TX", "full time", "$90K-$120K"))):
+        row = dom_postings.page_postings(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+        assert (row["location"], row["employment_type"], row["salary"]) == want

@@ -71,3 +71,11 @@ def test_skills_by_runs_of_words(spark):
     assert kept == [["SQL"], ["SQL", "Excel"]]
     there = spark.createDataFrame([(["K8s", "Go", "SQL"], ["kubernetes", "sql"])], "w array<string>, h array<string>").select(*matching.matched_and_missing(F.col("w"), F.col("h"))).first()
     assert list(there) == [["K8s", "SQL"], ["Go"]]
+
+
+def test_words_end_at_letters_beyond_ascii(spark):
+    r"""As in the browser: \b lies between an ASCII word character and any other."""
+    row = spark.createDataFrame([("STERTZ, BEÜIE éContractÜ, öSeniorä 5 yearsß, ÉdentalÉ",)], "t string").select(
+        postings.stated_location(F.col("t")), postings.employment_type(F.col("t")), postings.seniority(F.col("t")), postings.experience_years(F.col("t")), postings.highlights(F.col("t")), postings.titled_company(F.lit("Clerk at Acmé"))
+    ).first()
+    assert list(row) == ["STERTZ, BE", "Contract", "Senior", "5 years", ["Dental"], "Acm"]
