@@ -249,3 +249,19 @@ def test_stream_goes_on_from_its_state(spark, tmp_path):
 def test_capabilities(spark, name):
     row = files.capabilities(spark).where(F.col("capability") == name).first()
     assert row["reason"]
+
+
+def test_headings_by_windows(spark):
+    """The body's size is the commonest by characters, of equal ones the first; lines are made once and a section's key is only looked for where one may start."""
+    from pyspark.sql import functions as F
+
+    from foliant.operators import lines
+
+    rows = [(d, n, t, s, False, b, False) for d, ls in ((1, [("Skills", 12.0, False), ("aaaa", 10.0, False), ("bbbb", 10.2, False)]), (2, [("xx", 9.0, False), ("yy", 11.0, True)]), (None, [("zz", 9.0, False)])) for n, (t, s, b) in enumerate(ls)]
+    given = spark.createDataFrame(rows, "doc_id long, line_no int, text string, size double, bullet boolean, bold boolean, all_caps boolean")
+    marked = lines.mark_headings(given)
+    assert [tuple(r) for r in marked.select("doc_id", "line_no", "body_size", "heading").orderBy("doc_id", "line_no").collect()] == [(1, 0, 10.0, True), (1, 1, 10.0, False), (1, 2, 10.0, False), (2, 0, 9.0, False), (2, 1, 9.0, True)]
+    sizes = {r["doc_id"]: r["body_size"] for r in lines.body_size(given.where("doc_id is not null")).collect()}
+    assert sizes == {1: 10.0, 2: 9.0}
+    assert "Join" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    assert {r[0] for r in marked.select(F.when(lines.may_start(), F.col("text"))).collect() if r[0]} == {"Skills", "yy"}
