@@ -103,3 +103,11 @@ def test_columns_of_tables(spark):
     got = lines(spark, dict(text="left", in_table=True), dict(text="right" * 20, in_table=True, table_col=1), dict(text="top"))
     assert [r["column"] for r in got] == [0, 1, 0] and got[0]["fills_width"]
     assert [r["column"] for r in lines(spark, dict(text="a", in_table=True, table_col=1), dict(text="b", table_col=0))] == [0, 0]
+
+
+def test_windows_of_paragraph_lines(spark):
+    """One exchange, two sorts and two passes over a document's paragraphs; texts are worked on before them."""
+    kind = "doc_id int, para_no int, text string, outline_level int, bold boolean, italic boolean, size double, indent_pt double, list_level int, tab_stops array<double>, in_table boolean, table_col int"
+    plan = docx_lines.paragraph_lines(spark.createDataFrame([], kind))._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning")
+    assert (above.count(" Window "), above.count(" Sort "), above.count("regexp")) == (2, 2, 0) and "regexp" in below

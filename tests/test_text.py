@@ -87,3 +87,25 @@ def test_skill_match_and_loose_match(spark):
     truth = spark.createDataFrame([(1, "Acme Ltd."), (1, "Zed")], "k int, value string")
     parsed = spark.createDataFrame([(1, 0, "other"), (1, 1, "ACME LTD, Graz")], "k int, pos int, value string")
     assert sorted((r["truth"], r["parsed"]) for r in matching.loose_match(truth, parsed, ["k"]).collect()) == [("Acme Ltd.", "ACME LTD, Graz"), ("Zed", None)]
+
+
+def plainly_normal(t):
+    """normalise in plain Python, for texts without characters by their numbers."""
+    import re
+
+    for a, b in X.LIGATURES.items():
+        t = t.replace(a, b)
+    t = re.sub("[\u200b-\u200d\ufeff]", "", t).translate(str.maketrans("\u2018\u2019\u201b\u201c\u201d", "'''\"\""))
+    return re.sub("[\x0b-\x0d\x1c-\x20\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\u2000-\u200a]+", " ", t).strip(X.WHITE)
+
+
+def test_normal_texts_and_bullets_of_all_characters(spark):
+    import random
+
+    draw = random.Random(7)
+    signs = [*"  \t\n\r\x0b\x1c\x1f\x7f\x00abZ.\u2022\u2013o1)(-", "\u200b", "\ufeff", "\ufb01", "\ufb04", "\u2019", "\u201c", "\u00a0", "\u2009", "\u3000", "\u00e9", "\u6f22", "\U0001f600", "\u0085", "\u00ad"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 9))) for _ in range(3000)] + ["", " ", "a\n", "\n", "x  y", "\u2022  a", "o  Then it was shipped", "\u2013a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.normalise(F.col("t")).alias("n"), X.bullet_level(F.col("t")).alias("level"), F.col("t").rlike(X.MAY_MARK).alias("may"), X.bullet_text(F.col("t")).alias("body")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == [plainly_normal(t) for t in texts]
+    assert all(r["may"] or (r["level"], r["body"]) == (0, texts[r["i"]]) for r in rows) and {r["level"] for r in rows} == {0, 1, 2}
+    assert spark.range(1).select(X.normalise(F.lit(None).cast("string"))).first()[0] == ""
