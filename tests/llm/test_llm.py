@@ -897,3 +897,12 @@ def test_repeated_rows_of_line_dedup_and_mixing(spark, tmp_path):
     null_ids = spark.createDataFrame([(None, "a b c d", "s1")] * 3000 + [(1, "x y", "s2")] * 4000, "doc_id long, text string, source string")
     for x in mixing.mix(null_ids).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect():
         assert x["t"] == pytest.approx(x["g"], abs=40)
+
+
+def test_notes_of_a_small_file_are_made_in_all_tasks(spark, monkeypatch):
+    """The table customer is one file with one row group; extraction must not run in the one task that reads it."""
+    if not os.path.isdir(SF):
+        pytest.skip("no driver tables")
+    monkeypatch.setattr(queries.pii, "personal_data", lambda docs: docs.select("doc_id", F.spark_partition_id().alias("n_phone"), F.lit(0).alias("n_found"), F.lit("").alias("spans")))
+    parts = queries.pii_discovery(spark, SF).select(F.col("n_phone")).distinct().count()
+    assert parts == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
