@@ -10,13 +10,18 @@ from foliant.plans.tracker_queries import read
 
 
 def paragraphs(spark, sf_dir):
-    """Each order as a document, each of its items as a paragraph: a heading, a list's, a typed bullet's, a tabbed or a plain one."""
+    """Each order as a document, each of its items as a paragraph: a heading, a list's, a typed bullet's, a tabbed or a plain one.
+
+    Items are brought together by order before texts are made of them, so that texts aren't shuffled; the number of partitions is given, since
+    the keys alone are few bytes and would be put into few.
+    """
     q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("long") * 10_000_000_000 + F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")
     kind = F.pmod(F.col("l_partkey"), F.lit(7))
     mark = F.when(kind == 1, "• ").when(kind == 2, "– ").when(kind == 3, "o  Then ").otherwise("")
     words = F.repeat(F.lit("Shipped goods "), q)
     text = F.when(kind == 6, F.concat(F.lit("ORDER"), F.repeat(F.lit(" X"), q % 4))).otherwise(F.concat(mark, words, F.lit("by day"), q.cast("string")))
-    return read(spark, sf_dir, "lineitem").select(
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").select(
         F.col("l_orderkey").alias("doc_id"), n.alias("para_no"), text.alias("text"), F.when(kind == 6, 1 + q % 8).otherwise(0).alias("outline_level"), (q % 5 == 0).alias("bold"), (q % 3 == 0).alias("italic"),
         (F.lit(9.0) + q % 4).alias("size"), ((q % 3) * 6.0).alias("indent_pt"), F.when(kind == 4, q % 4).otherwise(-1).alias("list_level"), F.when(kind == 5, F.array(F.lit(100.0), q * 11.0)).otherwise(F.array().cast("array<double>")).alias("tab_stops"),
         (F.pmod(F.col("l_orderkey"), F.lit(3)) == 0).alias("in_table"), F.when(F.pmod(F.col("l_orderkey"), F.lit(3)) == 0, q % 2).otherwise(0).alias("table_col"),

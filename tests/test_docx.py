@@ -1,6 +1,7 @@
 """Word-processor documents: numbering, indents, tab stops, symbols, alternate content, failures, and their lines."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -111,3 +112,13 @@ def test_windows_of_paragraph_lines(spark):
     plan = docx_lines.paragraph_lines(spark.createDataFrame([], kind))._jdf.queryExecution().executedPlan().toString()
     above, below = plan.split("Exchange hashpartitioning")
     assert (above.count(" Window "), above.count(" Sort "), above.count("regexp")) == (2, 2, 0) and "regexp" in below
+
+
+def test_texts_of_the_query_are_not_shuffled(spark):
+    from foliant.plans import docx_queries
+    from tests.test_queries import SF
+
+    if not os.path.isdir(SF):
+        pytest.skip("no driver tables")
+    plan = docx_queries.paragraph_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Shipped goods" not in plan.split("Exchange")[1]
