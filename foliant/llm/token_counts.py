@@ -17,8 +17,10 @@ are applied in order of seq, of equal seq in order of place; an empty table give
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from foliant.llm._bpe import Pieces, default_tokenizer, loaded
 from foliant.llm._common import bound_batches, fresh
 
 BLOCK = 64
+#: Texts whose pieces are looked up and encoded together.
+TOGETHER = 64
 
 
 class SegmentTree:
@@ -156,16 +160,34 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None, carry: list[str]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(tokenizer)
+        width = encoder.dtype.itemsize
         for batch in batches:
-            if batch.num_rows:
-                leaves = [Counted(t, encoder) for t in batch.column(0).to_pylist()]
-                lens, counts = zip(*(c.tree.leaves() for c in leaves))
-                own = [pa.array([c.tree.n_tokens for c in leaves], pa.int64()), pa.array(lens, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], schema.names)
+            texts = batch.column(0).to_pylist()
+            lens, sizes, ends = array("i"), array("i"), [0]
+            for at in range(0, len(texts), TOGETHER):
+                split = [encoder.splitter.split(t) for t in texts[at : at + TOGETHER]]
+                known = encoder.learn(split)
+                for parts in split:
+                    lens.extend(map(len, parts))
+                    sizes.extend(map(len, map(known.__getitem__, parts)))
+                    ends.append(len(lens))
+            if texts:
+                counts = np.frombuffer(sizes, np.int32) // width
+                total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends]
+                lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (np.frombuffer(lens, np.int32), counts))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(total), pa.int64()), *lists], schema.names)
 
     return rows.mapInArrow(build, schema)
 
 
+def int_lists(column: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of a column, made from its flat values: to_pylist makes an object of Arrow for each."""
+    values, at = column.flatten().to_numpy(zero_copy_only=False), 0
+    for n in column.value_lengths().to_pylist():
+        yield None if n is None else values[at : at + n].tolist()
+        at += n or 0
+
+
 def to_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32())}
     names, types = zip(*(x.split(" ") for x in schema.split(", ")))
@@ -186,7 +208,7 @@ def apply_edits(rows: DataFrame, tokenizer: str | None = None, leaves: bool = Tr
         encoder = loaded(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text, changes, *tree in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, changes, *tree in zip(*(c.to_pylist() for c in batch.columns[:3]), *map(int_lists, batch.columns[3:])):
                 c = Counted(text or "", encoder, SegmentTree(*tree) if tree and None not in tree else None)
                 before = c.tree.n_tokens
                 for e in changes or ():

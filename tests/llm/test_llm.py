@@ -906,3 +906,19 @@ def test_notes_of_a_small_file_are_made_in_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(queries.pii, "personal_data", lambda docs: docs.select("doc_id", F.spark_partition_id().alias("n_phone"), F.lit(0).alias("n_found"), F.lit("").alias("spans")))
     parts = queries.pii_discovery(spark, SF).select(F.col("n_phone")).distinct().count()
     assert parts == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_trees_of_many_texts_are_those_of_each(spark):
+    """Leaves are counted for many texts together, and read back as lists from flat values, of a slice with nulls and empty lists too."""
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    texts = [t or "" for t in ODD] + [" ".join(draw.choices(["a", "né", "word.", "漢字", "\n", "x" * 70, "1,000"], k=draw.randint(0, 40))) for _ in range(3 * token_counts.TOGETHER)]
+    rows = token_counts.build_trees(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    encoder = loaded(default_tokenizer())
+    for r in rows:
+        tree = token_counts.Counted(texts[r["doc_id"]], encoder).tree
+        assert (r["n_tokens"], r["lens"], r["counts"]) == (tree.n_tokens, *tree.leaves())
+    assert len(rows) == len(texts)
+    lists = [[9], [1, 2], None, [], [3], None]
+    assert [*token_counts.int_lists(pa.array(lists, pa.list_(pa.int32()))[1:])] == lists[1:]
