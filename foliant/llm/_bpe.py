@@ -3,17 +3,22 @@
 No pre-token reaches over a lone space between two characters that aren't white space: a space joins only what follows
 it, and what stands before it ends there. A lone line feed between such characters is a pre-token of its own. So the ids of a text are those of
 its pieces, one after the other, where each piece but the first starts with its space or line feed. A piece that ends in a letter and punctuation
-falls apart between them, so words are encoded without it.
+falls apart between them, and so does one behind the line feed that it starts with: words are encoded without either.
+
+A column of texts is cut in its Arrow buffers, so only its distinct pieces become Python strings. A piece of letters alone, with a space before
+them or without, is one pre-token; the tokenizer's model takes it as it is, in the characters that stand for its bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 
 TWO_SPACES = re.compile(r"\s\s")
 LONE_SPACE = re.compile(r"(?<=\S)[ ](?=\S)|(?<=\S)(?=\n\S)")
@@ -36,11 +41,41 @@ def pieces(text: str) -> list[str]:
     return [parts[0], *[p if p[:1] == "\n" else " " + p for p in parts[1:]]]
 
 
+#: White space as `\s` has it: the bytes of ASCII, and the UTF-8 bytes of the others as one number.
+SPACES = np.array([b < 128 and chr(b).isspace() for b in range(256)])
+WIDE_SPACES = np.array([int.from_bytes(chr(i).encode(), "big") for i in range(128, 0x10000) if chr(i).isspace()])
+
+
+def space_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of a text belongs to white space; of three bytes the first and the last count."""
+    out = SPACES[data]
+    for lead, n in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
+        at = np.flatnonzero(data == lead)
+        code = np.zeros(len(at), np.int64)
+        for k in range(n):
+            code = code << 8 | data[at + k]
+        at = at[np.isin(code, WIDE_SPACES)]
+        out[at] = out[at + n - 1] = True
+    return out
+
+
 #: Where a pre-token ends whatever stands further on: before white space, where letters or digits end, and where other signs
 #: but an apostrophe (of 's, 'll and the like) end.
 ENDS = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
 LEAST, MOST = 16, 48
 
+#: The code point of the character that stands for each byte in a vocabulary.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+CODES = np.zeros(256, "<u2")
+CODES[PLAIN] = PLAIN
+CODES[[b for b in range(256) if b not in PLAIN]] = 256 + np.arange(256 - len(PLAIN))
+
+
+def byte_characters(texts: list[str]) -> list[str]:
+    """Texts without line feeds in the characters that stand for their bytes."""
+    data = CODES[np.frombuffer("\n".join(texts).encode(), np.uint8)].tobytes().decode("utf-16-le")
+    return data.split(chr(CODES[10]))
+
 
 class Splitter:
     """Pieces of at most about `MOST` characters, where a text has places to cut at.
@@ -53,8 +88,7 @@ class Splitter:
         import regex
 
         self.ends = regex.compile(ENDS)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        byte_of = {chr(c): b for b, c in enumerate(CODES.tolist())}
         self.meets = np.zeros((256, 256), bool)
         for token in tokenizer.get_vocab():
             at = [byte_of.get(c) for c in token]
@@ -89,8 +123,50 @@ class Splitter:
 
 
 #: What ends a word, and letters after which it does: no pre-token holds both.
-PUNCTUATION = ".,;:!?)\""
-LETTERS = frozenset(chr(i) for i in range(0x250) if chr(i).isalpha())
+PUNCTUATION = string.punctuation.replace("'", "")
+LETTERS = frozenset(chr(i) for i in range(0x530) if chr(i).isalpha())
+WORD = re.compile(rf" ?[{''.join(sorted(LETTERS))}]+")
+SIGNS = np.isin(np.arange(256), list(PUNCTUATION.encode()))
+#: By a byte and the one before it: whether a letter ends there.
+LETTER_BYTES = np.zeros(65536, bool)
+for _letter in LETTERS:
+    if _letter.isascii():
+        LETTER_BYTES[ord(_letter) :: 256] = True
+    else:
+        LETTER_BYTES[int.from_bytes(_letter.encode(), "big")] = True
+
+
+def cut(texts: pa.Array, special: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts as one Arrow array, and the place of each text's first there; the last place is their number. A null has none.
+
+    Beside those of `pieces` there are cuts after a lone line feed and between a letter and punctuation; none inside a special token.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return texts, np.zeros(1, np.int64)
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    outer = np.zeros(len(data) + 1, bool)  # where texts start and end
+    outer[ends] = True
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[~outer[at] & ~outer[at + 1]]
+    space = space_bytes(data)
+    at = at[~space[at - 1] & ~space[at + 1]]
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    first[at[data[at] == 10] + 1] = True
+    at = np.flatnonzero(SIGNS[data])
+    at = at[~outer[at]]  # so the byte before is the text's, and a letter's second byte follows its first
+    first[at[LETTER_BYTES[data[at - 1] | data[at - 2].astype(np.int64) << 8]]] = True
+    for token in filter(None, map(str.encode, special)):
+        if len(token) > 1:
+            whole, i = data.tobytes(), -1
+            while (i := whole.find(token, i + 1)) >= 0:
+                first[i + 1 : i + len(token)] = False
+    starts = np.flatnonzero(first | outer).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)), np.searchsorted(starts, ends)
 
 
 class Pieces:
@@ -101,38 +177,66 @@ class Pieces:
 
     def __init__(self, path: str, most: int = 700_000, longest: int = 64, wide: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer, self.most, self.longest, self.known, self.once = Tokenizer.from_file(path), most, longest, {}, []
         self.dtype = np.dtype("<u4") if wide or self.tokenizer.get_vocab_size() > 65536 else np.dtype("<u2")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         first = "".join(sorted({re.escape(x[0]) for x in special}))
         self.simple = re.compile(rf" ?[^\s{first}]+")  # pieces that may stand in one text, divided by line feeds
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        model, pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        plain = self.tokenizer.normalizer is None and isinstance(model, models.BPE) and not model.dropout
+        plain = plain and isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+        self.word = WORD.fullmatch if plain and not any(map(WORD.fullmatch, special)) else None  # pieces that are one pre-token
 
     @cached_property
     def splitter(self) -> Splitter:
         return Splitter(self.tokenizer)
 
     def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
+        self.values([*set().union(*texts)])
+        return self.known
+
+    def values(self, wanted: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
         known = self.known
         for p in self.once:
             known.pop(p, None)
-        wanted = set().union(*texts)
-        new = [p for p in wanted if p not in known]
+        found = list(map(known.get, wanted))
+        new = [p for p, x in zip(wanted, found) if x is None]
         if len(known) + len(new) > self.most:
-            self.known = known = {p: known[p] for p in wanted if p in known}
-        whole = {p: c for p in new if p[-1] in PUNCTUATION and (c := p.rstrip(PUNCTUATION))[-1:] in LETTERS and not self.special(p)}
-        parts = {x for p, c in whole.items() for x in (c, p[len(c) :]) if x not in known}
-        self.encode_new([*parts.union(p for p in new if p not in whole)])
-        for p, c in whole.items():
-            known[p] = known[c] + known[p[len(c) :]]
-        new += parts
+            self.known = known = {p: x for p, x in zip(wanted, found) if x is not None}
+        whole = {p: x for p in new if (p[-1] in PUNCTUATION or p[0] == "\n") and len(x := self.parts(p)) > 1}
+        if whole:
+            parts = {x for every in whole.values() for x in every if x not in known}
+            self.encode_new([*parts.union(p for p in new if p not in whole)])
+            for p, x in whole.items():
+                known[p] = b"".join(map(known.__getitem__, x))
+            new += parts
+        else:
+            self.encode_new(new)
         self.once = [p for p in new if len(p) > self.longest]
-        return known
+        return [known[p] if x is None else x for p, x in zip(wanted, found)] if new else found
+
+    def parts(self, piece: str) -> list[str]:
+        """The line feed before a piece, the piece, the punctuation after it."""
+        if self.special(piece):
+            return [piece]
+        at = 1 if piece[0] == "\n" and not piece[1:2].isspace() else 0
+        end = len(piece.rstrip(PUNCTUATION))
+        if end <= at or piece[end - 1] not in LETTERS:
+            end = len(piece)
+        return [x for x in (piece[:at], piece[at:end], piece[end:]) if x]
 
     def encode_new(self, new: list[str]) -> None:
+        if self.word:
+            words, others = [], []
+            for p in new:
+                (words if self.word(p) else others).append(p)
+            self.encode_words(words)
+            new = others
         simple = list(filter(self.simple.fullmatch, new)) if len(self.feed) == 1 else []
         if len(simple) < len(new):
             self.encode_each([*set(new).difference(simple)])
@@ -148,6 +252,13 @@ class Pieces:
                 self.known[p] = data[start:end]
                 start = end + width
 
+    def encode_words(self, words: list[str]) -> None:
+        code, tokenize = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model.tokenize
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for p, w in zip(part, byte_characters(part)):
+                self.known[p] = array(code, [t.id for t in tokenize(w)]).tobytes()
+
     def encode_each(self, new: list[str]) -> None:
         code = "H" if self.dtype.itemsize == 2 else "I"
         for at in range(0, len(new), 20_000):
@@ -155,10 +266,22 @@ class Pieces:
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[p] = array(code, e.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [pieces(t) for t in texts]
-        known = self.learn(split)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text's after the other's, and where each text's start; the last place is their number. A null has none."""
+        found, first = cut(texts, self.specials)
+        if not len(found):
+            return np.zeros(0, self.dtype), np.zeros(len(first), np.int64)
+        found = found.dictionary_encode()
+        wanted = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self.values(wanted), pa.large_binary()).take(found.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(ids) + 1] // self.dtype.itemsize
+        return np.frombuffer(data, self.dtype, int(ends[-1])), ends[first]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        ids, starts = self.encode_column(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        data, at = ids.tobytes(), (starts * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 _LOADED: dict[str, Pieces] = {}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.llm._bpe import default_tokenizer, loaded
-from foliant.llm._common import bound_batches, utf8
+from foliant.llm._common import bound_batches
 
 
 @dataclass
@@ -183,19 +183,20 @@ def pack(
         encoder = loaded(tokenizer)
         lists = batch.column(1)
         flat = lists.flatten()
-        encoded = encoder.encode([t.decode() for t in utf8(flat.field("text"))])
+        every, starts = encoder.encode_column(flat.field("text"))
+        starts = starts.tolist()
         bears = flat.field("loss").to_pylist()
         known = pa.compute.is_valid(flat).to_pylist()
         at = 0
         for doc, n in zip(batch.column(0).to_pylist(), lists.value_lengths().to_pylist()):
-            mine = [(encoded[i], bool(bears[i])) for i in range(at, at + (n or 0)) if known[i]]
+            mine = [(every[starts[i] : starts[i + 1]], bool(bears[i])) for i in range(at, at + (n or 0)) if known[i]]
             at += n or 0
             end = np.array([end_id], encoder.dtype)
-            ids = np.concatenate([*(np.frombuffer(x, encoder.dtype) for x, _ in mine), end])
+            ids = np.concatenate([*(x for x, _ in mine), end])
             if all(b for _, b in mine):
                 mask = None
             else:
-                mask = np.concatenate([*(np.full(len(x) // encoder.dtype.itemsize, b, np.uint8) for x, b in mine), np.array([mine[-1][1]], np.uint8)])
+                mask = np.concatenate([*(np.full(len(x), b, np.uint8) for x, b in mine), np.array([mine[-1][1]], np.uint8)])
             yield Piece(doc, 0, ids, mask, len(ids))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

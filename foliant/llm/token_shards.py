@@ -193,12 +193,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         writer = sink = None
         part, before, same = f"{path}.{uuid.uuid4().hex}.part", object(), 0
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids = batch.column("doc_id").to_pylist()
             if writer is None and ids:
                 fs.create_dir(fs_path[1], recursive=True)
                 sink = fs.open_output_stream(part)
                 writer = ShardWriter(sink, encoder.dtype.itemsize)
-            for doc_id, value in zip(ids, encoder.encode(texts)):
+            for doc_id, value in zip(ids, encoder.encode(batch.column("text"))):
                 same = same + 1 if doc_id == before else 0
                 before = doc_id
                 writer.add(key_of(doc_id, same), value + end)

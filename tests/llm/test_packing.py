@@ -2,16 +2,19 @@
 
 import os
 import random
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.llm import packing, queries
-from foliant.llm._bpe import Pieces, default_tokenizer, loaded
+from foliant.llm._bpe import LETTERS, PUNCTUATION, Pieces, cut, default_tokenizer, loaded
+from foliant.llm._bpe import pieces as plain_pieces
 
 ENCODERS: dict[int, Pieces] = {}
 SCHEMA = "doc_id long, text string, ids string, loss string, segments int, offset long, parts string"
@@ -171,3 +174,50 @@ def test_small_memories(texts, most):
     """However little is remembered, the ids are those of the whole texts."""
     encoder = ENCODERS.setdefault(most, Pieces(default_tokenizer(), most=most))
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [tokens(t) for t in texts]
+
+
+def test_words_are_looked_up_once_and_without_the_pre_tokenizer():
+    """Of repeated texts only the distinct words become strings, without signs around them; the model takes them as they are."""
+    encoder, passed = Pieces(default_tokenizer()), []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            passed.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    text = "Some wyrds, of a t\u00e9xt\nThat goes on. Some wyrds of a t\u00e9xt."
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode([text] * 500)] == [tokens(text)] * 500
+    assert set(encoder.known) == {"Some", " wyrds", ",", " of", " a", " t\u00e9xt", "\n", "That", " goes", " on", ".", " Some"}
+    assert set("".join(passed)) <= set(",.\n")
+
+
+def test_letters_and_punctuation_are_the_tokenizers():
+    pre = loaded(default_tokenizer()).tokenizer.pre_tokenizer.pre_tokenize_str
+    assert len(pre(" " + "".join(sorted(LETTERS)))) == 1
+    for sign in PUNCTUATION:
+        assert [at for _, at in pre(f"a{sign}")] == [(0, 1), (1, 2)] and [at for _, at in pre(f"\u00e9{sign}{sign}")] == [(0, 1), (1, 3)]
+
+
+WHITE = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+ODD = [None, "", "word", "Word", "\u00e9t\u00e9", "\u0434\u0430", "\u03b1", "\u6f22\u5b57", "\u00d7", "\u0301", "it's", "12", "<|endoftext|>", "<|", "endoftext", "|>", "\U0001f600", "'", *string.punctuation, " ", "\n", *WHITE]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD[1:]) | st.sampled_from(["word", " ", "\n", "\u00e9", ",", "\u3000"]), max_size=12).map("".join) | st.none(), max_size=8), st.integers(0, 3))
+def test_columns(texts, skip):
+    """A column, a slice of one too, has the ids of its whole texts; its pieces end wherever plain ones do."""
+    encoder, column = loaded(default_tokenizer()), pa.array(texts, pa.string()).slice(skip)
+    ids, starts = encoder.encode_column(column)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [tokens(t) for t in texts[skip:]]
+    found, first = cut(column, encoder.specials)
+    for t, a, b in zip(texts[skip:], first, first[1:]):
+        mine = found.slice(a, b - a).to_pylist()
+        ends = np.cumsum([len(x) for x in mine]).tolist()
+        assert "".join(mine) == (t or "") and all(mine) and set(np.cumsum([len(x) for x in plain_pieces(t or "")]).tolist()) <= set(ends)
